@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import chat, media_ts, packing, pii, token_files
+from driftloom.llm import chat, langid, media_ts, packing, pii, token_files, toxicity
 from driftloom.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.assess(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media_ts.store_media(table(spark, sf_dir, "documents", "doc_id", "text"))
     return media_ts.media_digests(stored)
@@ -44,6 +53,8 @@ QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op3_pii_bootstrap": op3_pii_bootstrap,
     "op4_chat_format": op4_chat_format,
+    "op5_language_crf": op5_language_crf,
+    "op6_toxicity_crf": op6_toxicity_crf,
     "op7_media_ts": op7_media_ts,
     "op8_packing_nnls": op8_packing_nnls,
 }
