@@ -1,12 +1,10 @@
 """Byte-level BPE encoding with the tokenizers library, at corpus speed.
 
 A byte-level BPE never merges across the pieces of its splitting pattern, so a
-text's ids are the ids of its pieces one after another.  A space before a visible
-character always starts a piece; texts are cut there first, which is cheap.
-Words repeat: each distinct chunk and piece goes through the library once and is
-remembered as bytes.  Chunks with characters above U+024F, whose Unicode classes
-may differ between two libraries' tables, go through the library whole, as do
-texts with a space that no visible character follows.
+text's ids are the ids of its pieces one after another.  Words repeat: each distinct
+piece goes through the library once and is remembered as bytes.  Pieces are cut by
+the same pattern with its classes spelled out up to U+024F, which is much faster;
+texts with characters beyond go through the library whole.
 
 Strings of special tokens inside a text are ordinary text
 (``encode_special_tokens``): a document can't forge a control id.
@@ -18,20 +16,29 @@ import gc
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
+
+import numpy as np
 
 from driftloom.llm.common import limit_threads
 
 #: The public file that the production queries use.
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Distinct chunks that one Python worker remembers (about 200 bytes each).
-MEMO_CHUNKS = 700_000
-#: Longer chunks aren't remembered.
+#: Distinct pieces that one Python worker remembers (about 200 bytes each).  Beyond
+#: that it keeps the half that it saw first: those are the frequent ones.
+MEMO_PIECES = 480_000
+#: Longer pieces aren't remembered.
 MEMO_LENGTH = 64
-#: Texts whose chunks are looked up together.
-GROUP = 512
+#: Texts whose pieces are looked up together.
+GROUP = 256
 
-_UNSURE = re.compile("[^\x00-\u024f]").search
-_VISIBLE = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]").match
+#: Unicode's letters, numbers and white space up to U+024F.
+_L = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_N = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_S = "\\t-\\r \u0085\u00a0"
+_split = re.compile(f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]+| ?[{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_beyond = re.compile("[^\x00-\u024f]").search
+_word = re.compile(f" ?[{_L}]+").fullmatch
 
 
 class PieceEncoder:
@@ -40,20 +47,31 @@ class PieceEncoder:
     def __init__(self, path: str) -> None:
         limit_threads()
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
         self._tokenizer.encode_special_tokens = True
-        self._split = regex.compile(public_tokenizers.PATTERN).findall
-        self._pieces: dict[str, bytes] = {}
-        #: By the text after a cut.
-        self._chunks: dict[str, bytes] = {}
+        self._tokenizer.model._resize_cache(0)  # what comes here is new
+        self._known: dict[str, bytes] = {}
+        (self._newline,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _through_library(self, texts: list[str]) -> list[bytes]:
         encode = self._tokenizer.encode_batch_fast
         return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _words_through_library(self, words: list[str]) -> list[bytes]:
+        """The same for pieces of letters; many to a text, a newline's id between."""
+        out: list[bytes] = []
+        texts = ["\n".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
+            raw, at = ids.tobytes(), 0
+            for end in (np.flatnonzero(ids == self._newline) * 4).tolist():
+                out.append(raw[at:end])
+                at = end + 4
+            out.append(raw[at:])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, in order."""
         out: list[bytes] = []
@@ -68,40 +86,32 @@ class PieceEncoder:
         return out
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.split(" ") for t in texts]
-        firsts = self._by_pieces([own[0] for own in chunks])
-        known = self._chunks
-        if len(known) > MEMO_CHUNKS:
-            known.clear()
-            self._pieces.clear()
+        known = self._known
+        if len(known) > MEMO_PIECES:
+            known = self._known = dict(islice(known.items(), MEMO_PIECES // 2))
         get = known.get
-        parts = [list(map(get, own)) for own in chunks]
-        gaps = [[k for k, ids in enumerate(own) if ids is None] for own in parts]
-        missing = {own[k] for own, at in zip(chunks, gaps, strict=True) for k in at}
-        new = list(filter(_VISIBLE, missing))
-        fresh = dict(zip(new, self._by_pieces([" " + c for c in new]), strict=True))
-        known.update(fresh if max(map(len, new), default=0) <= MEMO_LENGTH else {k: v for k, v in fresh.items() if len(k) <= MEMO_LENGTH})
-        out: list[bytes | None] = []
-        for own, own_parts, at, first in zip(chunks, parts, gaps, firsts, strict=True):
+        beyond = [not t.isascii() and _beyond(t) is not None for t in texts]
+        pieces = [[] if far else _split(t) for t, far in zip(texts, beyond, strict=True)]
+        parts = [list(map(get, own)) for own in pieces]
+        gaps = [[k for k, ids in enumerate(own) if ids is None] if None in own else () for own in parts]
+        new = {own[k] for own, at in zip(pieces, gaps, strict=True) for k in at}
+        words = list(filter(_word, new))
+        fresh = dict(zip(words, self._words_through_library(words), strict=True))
+        others = list(new.difference(fresh))
+        fresh.update(zip(others, self._through_library(others), strict=True))
+        if max(map(len, new), default=0) <= MEMO_LENGTH:
+            known.update(fresh)
+        else:
+            known.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_LENGTH)
+        for own, own_parts, at in zip(pieces, parts, gaps, strict=True):
             for k in at:
-                own_parts[k] = fresh.get(own[k])
-            own_parts[0] = first
-            out.append(None if at and None in own_parts else b"".join(own_parts))
-        whole = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(whole, self._through_library([texts[k] for k in whole]), strict=True):
+                own_parts[k] = fresh[own[k]]
+        out = list(map(b"".join, parts))
+        far = [k for k, is_far in enumerate(beyond) if is_far]
+        for k, ids in zip(far, self._through_library([texts[k] for k in far]), strict=True):
             out[k] = ids
         return out
 
-    def _by_pieces(self, chunks: list[str]) -> list[bytes]:
-        pieces = [None if _UNSURE(c) else self._split(c) for c in chunks]
-        known = self._pieces
-        new = list({p for own in pieces if own for p in own}.difference(known))
-        new += [c for c, own in zip(chunks, pieces, strict=True) if own is None]
-        fresh = dict(zip(new, self._through_library(new), strict=True)) if new else {}
-        known.update((k, v) for k, v in fresh.items() if len(k) <= MEMO_LENGTH)
-        get = lambda p: fresh[p] if p in fresh else known[p]
-        return [get(c) if own is None else b"".join(map(get, own)) for c, own in zip(chunks, pieces, strict=True)]
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str = DEFAULT_TOKENIZER) -> PieceEncoder:
