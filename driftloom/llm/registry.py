@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import chat, langid, media_ts, packing, pii, token_files, toxicity
+from driftloom.llm import chat, langid, media_ts, neardup, packing, pii, token_files, toxicity
 from driftloom.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), path)
@@ -50,6 +54,7 @@ def op8_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bagminhash": op1_bagminhash,
     "op2_token_files": op2_token_files,
     "op3_pii_bootstrap": op3_pii_bootstrap,
     "op4_chat_format": op4_chat_format,
