@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import chat, decontam, langid, media_ts, neardup, packing, pii, token_files, toxicity
+from driftloom.llm import chat, decontam, langid, media_ts, neardup, packing, pii, stupid_backoff, token_files, toxicity
 from driftloom.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op8_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontam.leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity_crf": op6_toxicity_crf,
     "op7_media_ts": op7_media_ts,
     "op8_packing_nnls": op8_packing_nnls,
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_bm25_decontamination": op10_bm25_decontamination,
 }
 
