@@ -26,7 +26,7 @@ from driftloom.llm.common import limit_threads
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pieces that one Python worker remembers (about 200 bytes each).  Beyond
 #: that it keeps the half that it saw first: those are the frequent ones.
-MEMO_PIECES = 480_000
+MEMO_PIECES = 640_000
 #: Longer pieces aren't remembered.
 MEMO_LENGTH = 64
 #: Texts whose pieces are looked up together.

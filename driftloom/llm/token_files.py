@@ -28,7 +28,7 @@ FILE_SCHEMA = "doc_id long, file_no int, start_in_file long, n_tokens long, toke
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 WRITER = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.block.size": str(ROW_GROUP_BYTES),
     "parquet.page.row.count.limit": str(PAGE_ROWS),
     "parquet.writer.version": "PARQUET_2_0",
