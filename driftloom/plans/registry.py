@@ -1,11 +1,631 @@
-"""Queries of the reference's operators."""
+"""One query per operator over the test tables, each with the same in DuckDB SQL.
+
+Generators run over existing tables by their ids, with portable draws: ``u`` below is
+the SQL of such a draw.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.operators import analytics, envelope, sizing
+from driftloom.operators.generate import TYPE_PATH, Generator
+from driftloom.plans.spec import Config, load_config_from_dict
+from driftloom.sources.rows import batch_rows
+from driftloom.sources.tables import table_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def add(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return add
+
+
+def u(path: str, role: str = "value", row_id: str = "event_id", seed: int = 42) -> str:
+    return f"(('0x'||substr(md5('{seed}|{path}|{role}|'||{row_id}),1,12))::BIGINT/281474976710656::DOUBLE)"
+
+
+def hexes(path: str, row_id: str = "event_id", seed: int = 42) -> str:
+    return f"md5('{seed}|{path}|value|'||{row_id})"
+
+
+def config(common: dict | None = None, events: list | None = None, derived: dict | None = None, **more: Any) -> Config:
+    return load_config_from_dict(
+        {
+            "generation_mode": "batch",
+            "batch_config": {"total_rows": 1000, "partitions": 4},
+            "sink_config": {"type": "parquet"},
+            "seed": 42,
+            "draws": "portable",
+            "event_types": events or [{"event_type_id": "only", "weight": 1}],
+            "common_fields": common or {},
+            "derived_fields": derived or {},
+        }
+        | more
+    )
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def over_events(spark: SparkSession, sf_dir: str, c: Config) -> DataFrame:
+    return Generator(spark, c.spec()).apply(events(spark, sf_dir).select("event_id"), "event_id", ("event_id",))
+
+
+def seconds(column: str) -> Column:
+    """Seconds since 1970 of a time without zone."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+
+
+def field(name: str, spec: dict, sql: str, shown: Callable[[], Column] | None = None) -> None:
+    """A query of one common field ``v``; ``sql`` is its value, ``shown`` what is returned of it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = over_events(spark, sf_dir, config({"v": spec}))
+        return out.select("event_id", (shown() if shown else F.col("v")).alias("v"))
+
+    query(name, f"SELECT event_id, {sql} AS v FROM events")(run)
+
+
+# --- event types --------------------------------------------------------------------------
+
+_TWO = [
+    {"event_type_id": "page", "weight": 6, "fields": {}},
+    {"event_type_id": "buy", "weight": 4, "fields": {"qty": {"type": "int", "range": [1, 100]}}},
+]
+_DEVICE = {"type": "string", "values": ["ios", "android", "web"], "weights": [5, 3, 2]}
+_TYPE_SQL = f"CASE WHEN {u(TYPE_PATH)} < 6/10.0::DOUBLE THEN 'page' ELSE 'buy' END"
+_DEVICE_SQL = f"CASE WHEN {u('device')} < 5/10.0::DOUBLE THEN 'ios' WHEN {u('device')} < 8/10.0::DOUBLE THEN 'android' ELSE 'web' END"
+_QTY_SQL = f"CASE WHEN {_TYPE_SQL} = 'buy' THEN CAST(trunc({u('qty@buy')}*(100-1)+1) AS INT) END"
+
+
+@query(
+    "e1_weighted_type",
+    f"""WITH f AS (SELECT {_TYPE_SQL} AS event_name, {_DEVICE_SQL} AS device, {_QTY_SQL} AS qty FROM events)
+    SELECT event_name, device, count(*) AS n, sum(qty)::BIGINT AS sum_qty, round(avg(qty), 6) AS avg_qty FROM f GROUP BY 1, 2""",
+)
+def e1_weighted_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = config({"event_name": {"event_type_id": True}, "device": _DEVICE}, _TWO)
+    wide = over_events(spark, sf_dir, c)
+    return wide.groupBy("event_name", "device").agg(
+        F.count("*").alias("n"), F.sum("qty").alias("sum_qty"), F.round(F.avg("qty"), 6).alias("avg_qty")
+    )
+
+
+@query("e2_discriminator_alias", f"SELECT event_id, {_TYPE_SQL} AS kind FROM events")
+def e2_discriminator_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_events(spark, sf_dir, config({"kind": {"event_type_id": True}}, _TWO)).select("event_id", "kind")
+
+
+@query("e3_rates", "SELECT * FROM (VALUES ('page', 600.0::DOUBLE), ('buy', 400.0::DOUBLE)) t(event_type, rows_per_second)")
+def e3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = config(events=_TWO, generation_mode="streaming", streaming_config={"total_rows_per_second": 1000})
+    return sizing.rates_table(spark, c.spec())
+
+
+@query("e4_expected_rows", "SELECT * FROM (VALUES ('page', 600.0::DOUBLE), ('buy', 400.0::DOUBLE)) t(event_type, rows)")
+def e4_expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(sizing.expected_rows(config(events=_TWO).spec()).items()), "event_type string, rows double")
+
+
+@query(
+    "e5_shards",
+    "SELECT event_type, greatest(1, ceil(count(*)*2.5/1000))::INT AS shards FROM events GROUP BY 1",
+)
+def e5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.count("*") * 2.5
+    return events(spark, sf_dir).groupBy("event_type").agg(sizing.shards_column(rate).alias("shards"))
+
+
+_MANY = [{"event_type_id": f"t{k:04d}", "weight": 1 + k % 5, "fields": {f"f{k % 40}": {"type": "int", "range": [0, 10 + k % 40]}}} for k in range(300)]
+_MANY_TOTAL = sum(e["weight"] for e in _MANY)
+
+
+@query(
+    "e6_many_types",
+    f"""WITH b AS (SELECT k, 1 + k % 5 AS w, sum(1 + k % 5) OVER (ORDER BY k) AS upto FROM range(300) r(k)),
+    d AS (SELECT floor({u(TYPE_PATH)}*{_MANY_TOTAL}) AS at FROM events)
+    SELECT 't' || lpad(k::VARCHAR, 4, '0') AS event_name, count(*) AS n FROM d JOIN b ON d.at >= upto - w AND d.at < upto GROUP BY 1""",
+)
+def e6_many_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = over_events(spark, sf_dir, config({"event_name": {"event_type_id": True}}, _MANY))
+    return wide.groupBy("event_name").agg(F.count("*").alias("n"))
+
+
+# --- sources ------------------------------------------------------------------------------
+
+
+@query("s3_batch_rows", "SELECT count(*) AS n, sum(r)::BIGINT AS total FROM range(1000) t(r)")
+def s3_batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_rows(spark, 1000, 8).agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
+@query("s7_table_scan", "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND value > 50")
+def s7_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).filter("event_type = 'click' AND value > 50").select("event_id", "user_id")
+
+
+_WINDOW_SQL = """SELECT strftime(time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+    count(*) AS event_count, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value,
+    round(stddev_samp(value), 6) AS stddev_value FROM events GROUP BY 1, 2"""
+
+
+def _shown_windows(windows: DataFrame) -> DataFrame:
+    start = F.date_format(F.col("window_start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    return windows.select(
+        start.alias("window_start"),
+        "event_type",
+        "event_count",
+        F.round("avg_value", 6).alias("avg_value"),
+        "min_value",
+        "max_value",
+        F.round("stddev_value", 6).alias("stddev_value"),
+    )
+
+
+@query("s4_stream_window", _WINDOW_SQL)
+def s4_stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = analytics.windowed(table_stream(spark, sf_dir, "events"), "ts", ("event_type",), ("value",), "1 hour")
+    name = "s4_stream_window"
+    started = windows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return _shown_windows(spark.table(name))
+
+
+# --- scalars ------------------------------------------------------------------------------
+
+field(
+    "g1_uuid",
+    {"type": "uuid"},
+    f"concat_ws('-', substr({hexes('v')},1,8), substr({hexes('v')},9,4), substr({hexes('v')},13,4), substr({hexes('v')},17,4), substr({hexes('v')},21,12))",
+)
+field("g2_int", {"type": "int", "range": [-20, 80]}, f"CAST(trunc({u('v')}*100::DOUBLE + -20::DOUBLE) AS INT)")
+field("g2_int_inclusive", {"type": "int", "range": [1, 6], "inclusive": True}, f"CAST(floor({u('v')}*6) + 1 AS INT)")
+field("g3_long", {"type": "long", "range": [1000000000, 9999999999]}, f"CAST(trunc({u('v')}*8999999999::DOUBLE + 1000000000::DOUBLE) AS BIGINT)")
+field("g4_short", {"type": "short", "range": [1, 100]}, f"CAST(trunc({u('v')}*99::DOUBLE + 1) AS SMALLINT)")
+field("g5_byte", {"type": "byte"}, f"CAST(trunc({u('v')}*127::DOUBLE) AS TINYINT)")
+field("g6_float", {"type": "float", "range": [3.0, 4.2]}, f"CAST({u('v')}*(4.2::DOUBLE-3.0::DOUBLE) + 3.0::DOUBLE AS FLOAT)")
+field("g7_double", {"type": "double", "range": [-90.0, 90.0]}, f"{u('v')}*180::DOUBLE + -90::DOUBLE")
+field("g8_decimal", {"type": "decimal", "range": [1.0, 999.99]}, f"CAST({u('v')}*(999.99::DOUBLE-1::DOUBLE) + 1::DOUBLE AS DECIMAL(10,2))")
+field("g9_boolean", {"type": "boolean"}, f"{u('v')} < 0.5")
+field(
+    "g11_timestamp",
+    {"type": "timestamp", "begin": "2024-01-01 00:00:00", "end": "2025-01-01 00:00:00"},
+    f"CAST(1704067200 + floor({u('v')}*31622400) AS BIGINT)",
+    lambda: F.unix_seconds("v"),
+)
+field("g12_date", {"type": "date"}, f"strftime(DATE '2020-01-01' + CAST(floor({u('v')}*1826) AS INT), '%Y-%m-%d')", lambda: F.col("v").cast("string"))
+field("g13_binary_hex", {"type": "binary"}, f"upper({hexes('v')})", lambda: F.hex("v"))
+field("g14_string_default", {"type": "string"}, "'value'")
+field("g15_single", {"type": "string", "values": ["it's"]}, "'it''s'")
+field("g16_equal_values", {"type": "string", "values": ["a", "b", "c"]}, f"['a','b','c'][CAST(floor({u('v')}*3) AS INT) + 1]")
+field(
+    "g17_weighted_values",
+    {"type": "int", "values": [10, 20, 30], "weights": [5, 3, 2]},
+    f"CASE WHEN {u('v')} < 5/10.0::DOUBLE THEN 10 WHEN {u('v')} < 8/10.0::DOUBLE THEN 20 ELSE 30 END",
+)
+field(
+    "g18_weighted_list_with_nulls",
+    {"type": "string", "values": ["x", "y"], "weights": [9, 1], "percent_nulls": 0.2},
+    f"CASE WHEN {u('v','null')} >= 0.2::DOUBLE THEN CASE WHEN {u('v')} < 9/10.0::DOUBLE THEN 'x' ELSE 'y' END END",
+)
+field("g19_typed_literals", {"type": "decimal", "precision": 6, "scale": 3, "values": ["1.5", "22.125"]}, f"[1.5::DECIMAL(6,3), 22.125::DECIMAL(6,3)][CAST(floor({u('v')}*2) AS INT) + 1]")
+
+
+@query("g20_expr", "SELECT event_id, upper(substr(event_type, 1, 3)) || '-' || (event_id % 7)::VARCHAR AS v FROM events")
+def g20_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = config({"v": {"type": "string", "expr": "concat(upper(substr(event_type, 1, 3)), '-', cast(event_id % 7 as string))"}})
+    out = Generator(spark, c.spec()).apply(events(spark, sf_dir), "event_id", ("event_id", "event_type"))
+    return out.select("event_id", "v")
+
+
+def _name_sql() -> str:
+    from driftloom.functions import text
+
+    first, last = (str(list(map(str, x))) for x in (text._FIRST, text._LAST))
+    return (
+        f"{first}[CAST(floor({u('v','first')}*{len(text._FIRST)}) AS INT)+1] || ' ' || "
+        f"{last}[CAST(floor({u('v','last')}*{len(text._LAST)}) AS INT)+1]"
+    )
+
+
+field("g21_text_name", {"type": "string", "faker": "name"}, _name_sql())
+field(
+    "g21_text_sentence",
+    {"type": "string", "faker": "sentence", "faker_args": {"nb_words": 8}},
+    "",
+    lambda: F.size(F.split("v", " ")),
+)
+ORACLES["g21_text_sentence"] = "SELECT event_id, 8 AS v FROM events"
+
+# --- nested -------------------------------------------------------------------------------
+
+_ITEMS = [f"CAST(trunc({u(f'v[{k}]')}*(10-5)::DOUBLE + 5) AS INT)" for k in range(5)]
+field("n1_fixed_array", {"type": "array", "item_type": "int", "num_features": 3, "range": [5, 10]}, f"concat_ws(',', {', '.join(_ITEMS[:3])})", lambda: F.array_join("v", ","))
+field(
+    "n2_var_array",
+    {"type": "array", "item_type": "int", "num_features": [1, 5], "range": [5, 10]},
+    f"array_to_string(list_slice([{', '.join(_ITEMS)}], 1, CAST(floor({u('v','length')}*5) AS INT) + 1), ',')",
+    lambda: F.array_join("v", ","),
+)
+field(
+    "n3_weighted_elements",
+    {"type": "array", "item_type": "string", "num_features": [2, 2], "values": ["a", "b"], "weights": [3, 1]},
+    " || '-' || ".join(f"CASE WHEN {u(f'v[{k}]')} < 3/4.0::DOUBLE THEN 'a' ELSE 'b' END" for k in range(2)),
+    lambda: F.array_join("v", "-"),
+)
+_STRUCT = {
+    "type": "struct",
+    "fields": {
+        "city": {"type": "string", "values": ["Rome", "Oslo"]},
+        "zip": {"type": "int", "range": [10000, 99999], "percent_nulls": 0.1},
+        "at": {"type": "struct", "fields": {"lat": {"type": "double", "range": [25.0, 48.0]}, "tags": {"type": "array", "item_type": "string", "num_features": 2, "values": ["p", "q"]}}},
+        "more": {"type": "map", "values": [{"k": "1"}, {"k": "2"}]},
+    },
+}
+
+
+def _struct(name: str, show: dict[str, str], sql: dict[str, str]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return over_events(spark, sf_dir, config({"v": _STRUCT})).select("event_id", *(F.expr(e).alias(n) for n, e in show.items()))
+
+    query(name, "SELECT event_id, " + ", ".join(f"{e} AS {n}" for n, e in sql.items()) + " FROM events")(run)
+
+
+_struct(
+    "n4_struct",
+    {"city": "v.city", "zip": "v.zip"},
+    {
+        "city": f"['Rome','Oslo'][CAST(floor({u('v.city')}*2) AS INT)+1]",
+        "zip": f"CASE WHEN {u('v.zip','null')} >= 0.1::DOUBLE THEN CAST(trunc({u('v.zip')}*89999::DOUBLE + 10000) AS INT) END",
+    },
+)
+_struct(
+    "n5_nested_struct",
+    {"lat": "v.at.lat", "tags": "array_join(v.at.tags, ',')"},
+    {
+        "lat": f"{u('v.at.lat')}*(48::DOUBLE-25::DOUBLE) + 25::DOUBLE",
+        "tags": f"['p','q'][CAST(floor({u('v.at.tags[0]')}*2) AS INT)+1] || ',' || ['p','q'][CAST(floor({u('v.at.tags[1]')}*2) AS INT)+1]",
+    },
+)
+_struct("n8_map_in_struct", {"k": "v.more['k']"}, {"k": f"['1','2'][CAST(floor({u('v.more')}*2) AS INT)+1]"})
+field(
+    "n6_map",
+    {"type": "map", "value_type": "int", "values": [{"a": 1, "b": 2}, {"a": 3}], "weights": [7, 3]},
+    f"CASE WHEN {u('v')} < 7/10.0::DOUBLE THEN '1,2' ELSE '3,-' END",
+    lambda: F.concat_ws(",", F.expr("cast(v['a'] as string)"), F.coalesce(F.expr("cast(v['b'] as string)"), F.lit("-"))),
+)
+field("n7_empty_map", {"type": "map"}, "0", lambda: F.size("v"))
+
+# --- routing, quality, derived ------------------------------------------------------------
+
+_ROUTED = [
+    {"event_type_id": "a", "weight": 5, "fields": {"x": {"type": "int", "range": [0, 10]}, "s": {"type": "struct", "fields": {"n": {"type": "int", "range": [0, 5]}}}, "w": {"type": "string", "values": ["a-only"]}}},
+    {"event_type_id": "b", "weight": 3, "fields": {"x": {"type": "int", "range": [100, 200]}, "s": {"type": "struct", "fields": {"n": {"type": "int", "range": [50, 55]}}}, "common": {"type": "string", "values": ["lost"]}}},
+    {"event_type_id": "c", "weight": 2, "fields": {"x": {"type": "int", "range": [0, 10]}}},
+]
+_WHICH = f"CASE WHEN {u(TYPE_PATH)} < 5/10.0::DOUBLE THEN 'a' WHEN {u(TYPE_PATH)} < 8/10.0::DOUBLE THEN 'b' ELSE 'c' END"
+
+
+def _routed(name: str, show: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = config({"kind": {"event_type_id": True}, "common": {"type": "string", "values": ["kept"]}}, _ROUTED)
+        return over_events(spark, sf_dir, c).select("event_id", "kind", F.expr(show).alias("v"))
+
+    query(name, f"SELECT event_id, kind, {sql} AS v FROM (SELECT event_id, {_WHICH} AS kind FROM events)")(run)
+
+
+_routed(
+    "r1_conditional",
+    "x",
+    f"CASE WHEN kind = 'b' THEN CAST(trunc({u('x@b')}*100::DOUBLE + 100) AS INT) ELSE CAST(trunc({u('x@a')}*10::DOUBLE) AS INT) END",
+)
+_routed(
+    "r2_conditional_struct",
+    "s.n",
+    f"CASE kind WHEN 'a' THEN CAST(trunc({u('s@a.n')}*5::DOUBLE) AS INT) WHEN 'b' THEN CAST(trunc({u('s@b.n')}*5::DOUBLE + 50) AS INT) END",
+)
+_routed("r3_common_wins", "common", "'kept'")
+_routed("r4_registry_order", "w", "CASE WHEN kind = 'a' THEN 'a-only' END")
+
+_OUT = {
+    "type": "int",
+    "range": [0, 100],
+    "outliers": [{"percent": 0.04, "expr": "-1"}, {"percent": 0.03, "expr": "-2"}, {"percent": 0.01, "expr": "-3"}],
+}
+_CORE = f"CAST(trunc({u('v')}*100::DOUBLE) AS INT)"
+_TOTAL = 0.04 + 0.03 + 0.01
+_OUT_SQL = (
+    f"CASE WHEN {u('v','outlier')} < {_TOTAL!r}::DOUBLE THEN CASE WHEN {u('v','which')} < {(_TOTAL - 0.01 - 0.03) / _TOTAL!r}::DOUBLE THEN -1 "
+    f"WHEN {u('v','which')} < {(_TOTAL - 0.01) / _TOTAL!r}::DOUBLE THEN -2 ELSE -3 END ELSE {_CORE} END"
+)
+field("q1_outliers", _OUT, _OUT_SQL)
+field("q2_nulls", {"type": "int", "range": [0, 100], "percent_nulls": 0.3}, f"CASE WHEN {u('v','null')} >= 0.3::DOUBLE THEN {_CORE} END")
+field("q1q2_layered", _OUT | {"percent_nulls": 0.1}, f"CASE WHEN {u('v','null')} >= 0.1::DOUBLE THEN {_OUT_SQL} END")
+field(
+    "q3_container_nulls",
+    {"type": "array", "item_type": "int", "num_features": 1, "range": [0, 10], "percent_nulls": 0.25, "outliers": [{"percent": 0.1, "expr": "array(-9)"}]},
+    f"CASE WHEN {u('v','null')} >= 0.25::DOUBLE THEN CASE WHEN {u('v','outlier')} < 0.1::DOUBLE THEN -9 ELSE CAST(trunc({u('v[0]')}*10::DOUBLE) AS INT) END END",
+    lambda: F.col("v")[0],
+)
+
+
+@query(
+    "d1_derived",
+    f"""WITH b AS (SELECT event_id, CAST(trunc({u('n')}*9::DOUBLE + 1) AS INT) AS n, ['p','q'][CAST(floor({u('s')}*2) AS INT)+1] AS s FROM events)
+    SELECT event_id, n * 2 AS twice, s || '/' || (n * 2)::VARCHAR AS label, length(s || '/' || (n * 2)::VARCHAR)::INT AS size FROM b""",
+)
+def d1_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = config(
+        {"n": {"type": "int", "range": [1, 10]}, "s": {"type": "string", "values": ["p", "q"]}},
+        derived={
+            "twice": {"type": "int", "expr": "n * 2"},
+            "label": {"type": "string", "expr": "concat(s, '/', cast(twice as string))", "base_columns": ["s", "twice"]},
+            "size": {"type": "int", "expr": "length(label)"},
+        },
+    )
+    return over_events(spark, sf_dir, c).select("event_id", "twice", "label", "size")
+
+
+@query(
+    "d2_expression_idioms",
+    """SELECT event_id, lpad((user_id % 100000)::VARCHAR, 8, '0') AS padded, strftime(ts, '%Y-%m-%d') AS day,
+    floor(epoch(ts + to_seconds(CAST(event_id % 300 AS INTEGER))))::BIGINT AS later, replace(event_type, 'i', '') AS squeezed FROM events""",
+)
+def d2_expression_idioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    later = e.withColumn("later", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, event_id % 300)"))
+    return later.select(
+        "event_id",
+        F.lpad((F.col("user_id") % 100000).cast("string"), 8, "0").alias("padded"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        seconds("later").alias("later"),
+        F.replace("event_type", F.lit("i"), F.lit("")).alias("squeezed"),
+    )
+
+
+@query("d3_type_filter", f"SELECT event_id, kind FROM (SELECT event_id, {_WHICH} AS kind FROM events) WHERE kind IN ('a', 'c')")
+def d3_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = over_events(spark, sf_dir, config({"kind": {"event_type_id": True}}, _ROUTED))
+    return analytics.only(wide, "kind", ("a", "c")).select("event_id", "kind")
+
+
+# --- envelopes and consumers --------------------------------------------------------------
+
+_PAYLOAD = "json_merge_patch('{}', to_json({'event_id': event_id, 'event_name': event_name, 'x': x}))::VARCHAR"
+_ENVELOPED = f"""(SELECT event_id, {_WHICH} AS event_name, CASE WHEN {_WHICH} = 'b' THEN CAST(trunc({u('x@b')}*100::DOUBLE + 100) AS INT)
+    WHEN {_WHICH} = 'a' THEN CAST(trunc({u('x@a')}*10::DOUBLE) AS INT) END AS x FROM events)"""
+_ENVELOPED_TYPES = [{k: v for k, v in e.items() if k != "fields"} | {"fields": {n: f for n, f in e["fields"].items() if n == "x" and e["event_type_id"] != "c"}} for e in _ROUTED]
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_events(spark, sf_dir, config({"event_name": {"event_type_id": True}}, _ENVELOPED_TYPES))
+
+
+@query("j1_wide", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
+def j1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir)
+
+
+@query("j2_envelope", f"SELECT event_name AS partition_key, {_PAYLOAD} AS data FROM {_ENVELOPED}")
+def j2_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return envelope.envelope(_wide(spark, sf_dir), "event_name")
+
+
+@query("j3_round_trip", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
+def j3_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _wide(spark, sf_dir)
+    return envelope.from_envelope(envelope.envelope(wide, "event_name"), wide.schema)
+
+
+@query("a1_parse_payload", f"SELECT event_name, event_id::VARCHAR AS event_id, {_PAYLOAD} AS payload FROM {_ENVELOPED}")
+def a1_parse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.parse(envelope.envelope(_wide(spark, sf_dir), "event_name")).select("event_name", "event_id", "payload")
+
+
+@query("a1_parse_props", """SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events""")
+def a1_parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return envelope.extract(events(spark, sf_dir), {"k": "int"}, data="props", keep=("event_id",))
+
+
+@query(
+    "a3_latency",
+    """SELECT event_type, count(*) AS n, sum(event_id % 120)::BIGINT AS e2e, sum(event_id % 120 - event_id % 60)::BIGINT AS arrival
+    FROM events GROUP BY 1""",
+)
+def a3_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("ts", F.timestamp_seconds(seconds("ts")))
+    times = e.withColumns({n: F.timestamp_seconds(F.unix_seconds("ts") + F.col("event_id") % k) for n, k in (("arrived", 60), ("read", 120))})
+    out = analytics.with_latency(times, "ts", "arrived", "read")
+    return out.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.sum("e2e_latency_seconds").alias("e2e"), F.sum("arrival_latency_seconds").alias("arrival")
+    )
+
+
+@query(
+    "a6_tumbling",
+    """SELECT strftime(time_bucket(INTERVAL '10 seconds', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS event_count
+    FROM events GROUP BY 1""",
+)
+def a6_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analytics.windowed(events(spark, sf_dir), "ts", (), (), "10 seconds", watermark=None)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_count")
+
+
+@query("a7_window_stats", _WINDOW_SQL)
+def a7_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_windows(analytics.windowed(events(spark, sf_dir), "ts", ("event_type",), ("value",), "1 hour", watermark=None))
+
+
+@query(
+    "a8_latest_windows",
+    f"SELECT window_start, event_type, event_count FROM ({_WINDOW_SQL}) WHERE window_start >= '2024-01-20' ORDER BY window_start DESC",
+)
+def a8_latest_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = a7_window_stats(spark, sf_dir).filter("window_start >= '2024-01-20'")
+    return analytics.latest_first(shown).select("window_start", "event_type", "event_count")
+
+
+@query(
+    "a9_percentiles",
+    """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+    round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1""",
+)
+def a9_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analytics.percentiles(events(spark, sf_dir), "value", ("event_type",), exact=True)
+    return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
+
+
+_SHARES = {"click": 3, "view": 3, "purchase": 2, "signup": 1, "error": 1}
+
+
+@query(
+    "a10_distribution",
+    """SELECT event_type, count(*) AS rows, round(count(*)/sum(count(*)) OVER (), 9) AS share,
+    CASE event_type WHEN 'click' THEN 0.3 WHEN 'view' THEN 0.3 WHEN 'purchase' THEN 0.2 ELSE 0.1 END::DOUBLE AS expected FROM events GROUP BY 1""",
+)
+def a10_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analytics.distribution(events(spark, sf_dir), "event_type", _SHARES)
+    return out.select("event_type", "rows", F.round("share", 9).alias("share"), "expected")
+
+
+_PROGRESS = [(1, 1000.0, 1200.0, 0.5), (2, 1000.0, 800.0, 0.6), (3, 1000.0, 1100.0, 0.9), (4, 1000.0, 1001.0, 1.2)]
+
+
+@query(
+    "a11_health",
+    """SELECT * FROM (VALUES (1, 'healthy'), (2, 'backlog_growing'), (3, 'near_trigger'), (4, 'over_trigger')) t(batch, state)""",
+)
+def a11_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_PROGRESS, "batch int, input_rate double, processing_rate double, batch_seconds double")
+    return analytics.health(rows, 1.0).select("batch", "state")
+
+
+@query(
+    "a12_actions",
+    """SELECT user_id % 2 = 0 AS backlog_growing, CASE WHEN user_id % 2 <> 0 THEN 'healthy' WHEN event_id % 11 = 0 THEN 'split_pipeline'
+    WHEN event_id % 100 > 80 THEN 'scale_out' WHEN event_id % 10 = 9 THEN 'scale_up' WHEN event_id % 7 = 6 THEN 'optimize_shuffle'
+    ELSE 'check_skew_source_sink_code' END AS action, count(*) AS n FROM events GROUP BY 1, 2""",
+)
+def a12_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select(
+        (F.col("user_id") % 2 == 0).alias("backlog_growing"),
+        (F.col("event_id") % 11 == 0).alias("mixed"),
+        ((F.col("event_id") % 100) / 100).alias("cpu_min"),
+        F.when(F.col("event_id") % 10 == 9, 0.9).otherwise(0.5).alias("memory"),
+        F.lit(0.01).alias("gc"),
+        F.when(F.col("event_id") % 7 == 6, 0.9).otherwise(0.1).alias("network"),
+    )
+    return e.groupBy("backlog_growing", sizing.action().alias("action")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "a13_cost",
+    "SELECT o_orderstatus, round(12.0/(count(*)*3600/1e6), 9) AS dollars FROM orders GROUP BY 1",
+)
+def a13_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("rate"))
+    return orders.select("o_orderstatus", F.round(sizing.cost_per_million(F.lit(12.0), F.col("rate")), 9).alias("dollars"))
+
+
+_STEPS = [(1, 1000.0, 1200.0), (2, 1500.0, 1650.0), (3, 2000.0, 2100.0), (4, 2500.0, 2200.0), (5, 3000.0, 2150.0)]
+_STEPS_SQL = f"(VALUES {', '.join(str(x) for x in _STEPS)}) t(step, input_rate, processing_rate)"
+
+
+@query(
+    "a14_breaking_point",
+    f"""SELECT max(processing_rate)::DOUBLE AS max_rate, max(CASE WHEN (processing_rate-input_rate)/input_rate >= 0.05 THEN input_rate END)::DOUBLE AS capacity,
+    min(CASE WHEN processing_rate < input_rate THEN input_rate END)::DOUBLE AS breaking_rate FROM {_STEPS_SQL}""",
+)
+def a14_breaking_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sizing.breaking_point(spark.createDataFrame(_STEPS, "step int, input_rate double, processing_rate double"))
+
+
+@query(
+    "a15_burst_backlog",
+    """WITH p AS (SELECT s AS second, CASE WHEN s >= 1200 AND s < 1800 THEN 3000.0 ELSE 1000.0 END::DOUBLE AS rate FROM range(0, 3000, 60) t(s)),
+    c AS (SELECT second, rate, sum((rate - 1500)*60) OVER (ORDER BY second) AS total FROM p)
+    SELECT second, rate, (total - least(0, min(total) OVER (ORDER BY second)))::DOUBLE AS backlog FROM c""",
+)
+def a15_burst_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sizing.backlog(sizing.load_profile(spark, "burst", 3000, 1000, 3000, 60), 1500, 60)
+
+
+@query(
+    "a16_skew",
+    """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+    SELECT count(*) AS keys, sum(n)::BIGINT AS rows, max(n) AS largest, round(avg(n), 9) AS average, round(max(n)/avg(n), 9) AS ratio FROM c""",
+)
+def a16_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.skew(events(spark, sf_dir), "user_id").select(
+        "keys", "rows", "largest", F.round("average", 9).alias("average"), F.round("ratio", 9).alias("ratio")
+    )
+
+
+@query(
+    "a17_fanout_groups",
+    "SELECT c_name, CAST(floor((row_number() OVER (ORDER BY c_name) - 1)/50) AS INT) AS pipeline FROM (SELECT DISTINCT c_name FROM customer)",
+)
+def a17_fanout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.fan_out(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_name")
+
+
+# --- sinks --------------------------------------------------------------------------------
+
+
+def _written(spark: SparkSession, df: DataFrame, fmt: str, **options: Any) -> DataFrame:
+    """A table written by a sink and read back."""
+    import tempfile
+    import uuid
+
+    from driftloom.streaming.writers import write
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftloom-")
+    path = f"{root.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    write(df, fmt, path, **options)
+    reader = spark.read.schema(df.schema)
+    return (reader.option("header", "true") if fmt == "csv" else reader).format(fmt).load(path).select(*df.columns)
+
+
+@query("k10_parquet", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
+def k10_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, _wide(spark, sf_dir), "parquet", partition_by=("event_name",), maxRecordsPerFile=5000, compression="zstd")
+
+
+@query("k11_json", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
+def k11_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, _wide(spark, sf_dir), "json", compression="gzip")
+
+
+@query("k12_csv", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
+def k12_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, _wide(spark, sf_dir), "csv", header="true")
+
+
+@query("k8_kafka_columns", f"SELECT event_name AS key, {_PAYLOAD} AS value FROM {_ENVELOPED}")
+def k8_kafka_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.streaming.writers import for_kafka
+
+    return for_kafka(j2_envelope(spark, sf_dir))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
