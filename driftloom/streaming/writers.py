@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +60,8 @@ def write(
             writer = writer.queryName(query_name)
         writer = writer.outputMode(output_mode).trigger(**(trigger or {"processingTime": "1 second"}))
         return writer.start(path) if path else writer.start()
-    except PySparkException as error:
-        if fmt in ("delta", "kafka") and "find" in str(error).lower():
+    except (PySparkException, Py4JJavaError) as error:
+        if fmt in ("delta", "kafka") and re.search("find|ClassNotFound", str(error)):
             raise RuntimeError(f"the {fmt} sink needs its package on Spark's class path") from error
         raise
 
