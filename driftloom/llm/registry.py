@@ -75,7 +75,27 @@ QUERIES: dict[str, Query] = {
     "op10_bm25_decontamination": op10_bm25_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_SAID = "</s>[INST] ok [/INST]"
+_CHAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+o AS (
+  SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after,
+    length(regexp_replace(x, '{chat._CONTROL}', '\\1\\\\\\2\\3', 'g')) AS size,
+    length(regexp_replace(r, '{chat._CONTROL}', '\\1\\\\\\2\\3', 'g')) AS role_size
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(size + CASE WHEN before IS NULL OR before <> r THEN {len(chat.START + chat.MESSAGE)} + role_size ELSE {len(chat.JOINT)} END
+    + CASE WHEN after IS NULL OR after <> r THEN {len(chat.END) + 1} ELSE 0 END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id"""
+
+#: SQL can't say what learned models, tokenizers and media formats give; tests compare
+#: those queries with plain versions.
+ORACLES: dict[str, str] = {"op4_chat_format": _CHAT}
 
 
 def queries() -> dict[str, Query]:

@@ -87,3 +87,17 @@ def test_escape_is_undone(spark, text):
         .collect()
     )
     assert row.u == text and row.e != text
+
+
+def test_op4_equals_its_sql(spark):
+    import duckdb
+
+    from driftloom.llm.registry import ORACLES
+
+    path = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet'")
+    relation = con.sql(ORACLES["op4_chat_format"])
+    df = QUERIES["op4_chat_format"](spark, path)
+    assert relation.columns == df.columns
+    assert sorted(relation.fetchall()) == sorted(tuple(r) for r in df.collect())
