@@ -24,33 +24,40 @@ from driftloom.operators.envelope import to_envelope
 from driftloom.plans.spec import Config, Field, Spec
 from driftloom.sources.rows import batch_rows, stream_rows
 
-ROW_ID, EVENT_TYPE = "__row_id", "__event_type"
+ROW_ID, TYPE_NUMBER, EVENT_TYPE = "__row_id", "__type_number", "__event_type"
 #: Path of the draw that decides a row's event type.
 TYPE_PATH = "__type"
 
 
-def event_type(spec: Spec, draw: Column) -> Column:
-    """A row's event type by weight: a balanced tree of comparisons with one draw."""
-    ids = [e.id for e in spec.event_types]
+def type_number(spec: Spec, draw: Column) -> Column:
+    """The number of a row's event type by weight: a balanced tree of comparisons with one draw."""
     bounds = list(accumulate(e.weight for e in spec.event_types))
     total = float(bounds[-1])
 
     def tree(lo: int, hi: int) -> Column:
         if hi - lo == 1:
-            return F.lit(ids[lo])
+            return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(draw < F.lit(bounds[mid - 1] / total), tree(lo, mid)).otherwise(tree(mid, hi))
 
-    return tree(0, len(ids))
+    return tree(0, len(bounds))
+
+
+def type_name(spec: Spec, number: Column) -> Column:
+    """The event type of a number: a lookup in one literal array."""
+    ids, mark = [e.id for e in spec.event_types], "\u0001"
+    if any(mark in i for i in ids):
+        return F.element_at(F.array(*map(F.lit, ids)), number + 1)
+    return F.element_at(F.split(F.lit(mark.join(ids)), mark), number + 1)
 
 
 def type_of(spec: Spec, u: float) -> str:
-    """The event type that ``event_type`` gives for a draw; for tests and tools."""
+    """The event type that the planner gives for a draw; for tests and tools."""
     bounds = list(accumulate(e.weight for e in spec.event_types))
     return spec.event_types[bisect_right([b / bounds[-1] for b in bounds[:-1]], u)].id
 
 
-def _conditional(name: str, by_type: dict[str, Field], draws: Draws, which: Column) -> Column:
+def _conditional(name: str, by_type: dict[str, Field], draws: Draws, which: Column, numbers: dict[str, int]) -> Column:
     """A field with a specification per event type, null for the others.
 
     Event types with equal specifications share a branch and its draws.
@@ -60,7 +67,7 @@ def _conditional(name: str, by_type: dict[str, Field], draws: Draws, which: Colu
         groups.setdefault(field, []).append(event)
     out = None
     for field, events in groups.items():
-        here = which == events[0] if len(events) == 1 else which.isin(events)
+        here = F.col(TYPE_NUMBER).isin([numbers[e] for e in events])
         branch = valued(field, draws, f"{name}@{events[0]}", which)
         out = F.when(here, branch) if out is None else out.when(here, branch)
     return out
@@ -90,11 +97,13 @@ def generate(rows: DataFrame, row_id: str, spec: Spec, keep: tuple[str, ...] = (
     if clash:
         raise ConfigurationError(f"columns {sorted(clash)} are both kept and generated")
     columns = [valued(f, draws, n, which).alias(n) for n, f in spec.common]
-    columns += [_conditional(n, by, draws, which).alias(n) for n, by in spec.conditional.items()]
+    numbers = {e.id: k for k, e in enumerate(spec.event_types)}
+    columns += [_conditional(n, by, draws, which, numbers).alias(n) for n, by in spec.conditional.items()]
     first = draws.shared(TYPE_PATH)
     base = rows.select(*(F.col(k) for k in keep), F.col(row_id).alias(ROW_ID))
     drawn = base.select("*", *(c.alias(n) for n, c in draws.sheet.items()))
-    typed = drawn.select("*", event_type(spec, first).alias(EVENT_TYPE))
+    numbered = drawn.select("*", type_number(spec, first).alias(TYPE_NUMBER))
+    typed = numbered.select("*", type_name(spec, F.col(TYPE_NUMBER)).alias(EVENT_TYPE))
     out = typed.select(*(F.col(k) for k in keep), ROW_ID, EVENT_TYPE, *columns)
     for layer in _derived_layers(spec):
         own = Draws(spec.seed, F.col(ROW_ID), spec.draws)
