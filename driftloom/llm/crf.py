@@ -143,10 +143,11 @@ class Features:
         self.offsets = np.concatenate([[0], np.cumsum(per_word)])
         self.slots = np.empty(int(self.offsets[-1]), np.int32)
         base = self.offsets[:-1]
-        word_of = np.repeat(np.arange(len(lengths)), lengths)
-        within = np.arange(len(three)) - np.repeat(offsets, lengths)
-        self.slots[base[word_of] + within] = three
-        self.slots[base[word_of] + lengths[word_of] + within] = four
+        at = np.repeat((base - offsets).astype(np.int32), lengths) + np.arange(len(three), dtype=np.int32)
+        self.slots[at] = three
+        at += np.repeat(lengths.astype(np.int32), lengths)
+        self.slots[at] = four
+        del at
         for k, row in enumerate(whole):
             self.slots[base + 2 * lengths + k] = row
 

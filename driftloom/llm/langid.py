@@ -32,23 +32,22 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def sample(docs: DataFrame, label: str, per_label: int, most_labels: int) -> list:
-    """About ``per_label`` rows (text, label) of each label, the same on every run.
+def drawn(known: DataFrame, label: str, per_label: int, most_labels: int) -> DataFrame:
+    """About ``per_label`` rows of each label, the same on every run; never more than twice as many.
 
-    Rows are taken by a hash of their text and id against the label's share; labels
-    beyond the ``most_labels`` most frequent are left out.  ``docs`` has doc_id, text
-    and the label's column.
+    Rows of ``known`` are taken by a hash of their doc_id against the label's share;
+    labels beyond the ``most_labels`` most frequent are left out.
     """
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
     sizes = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    if not sizes:
-        return []
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, per_label / r["count"]))).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.filter(draw < share).select("doc_id", "text", label).limit(2 * per_label * len(sizes))
-    return sorted(rows.collect(), key=lambda r: (str(r[label]), r["doc_id"] is not None, r["doc_id"], r["text"]))
+    return known.filter(draw < share).limit(2 * per_label * len(sizes))
+
+
+def in_order(rows: list, label: str) -> list:
+    return sorted(rows, key=lambda r: (str(r[label]), r["doc_id"] is not None, r["doc_id"], r["text"]))
 
 
 def spliced_chains(words: Words, tag_of_doc: np.ndarray, n_labels: int, per_label: int, seed: int = 11) -> tuple[list, list]:
@@ -77,7 +76,8 @@ def spliced_chains(words: Words, tag_of_doc: np.ndarray, n_labels: int, per_labe
 
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> crf.Model:
     """Fit on a sample of the rows of ``docs`` (doc_id, text, lang) with a text and a language."""
-    rows = sample(docs, "lang", per_language, MAX_LANGUAGES)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = in_order(drawn(known, "lang", per_language, MAX_LANGUAGES).collect(), "lang")
     labels = sorted({r["lang"] for r in rows})
     words = Words([r["text"] for r in rows])
     tag_of_doc = np.array([labels.index(r["lang"]) for r in rows], dtype=np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from driftloom.llm import crf
 from driftloom.llm.common import limit_threads, wider
-from driftloom.llm.langid import remainder, sample
+from driftloom.llm.langid import drawn, in_order, remainder
 from driftloom.llm.words import Words, grouped
 
 #: Documents of each label that a model is fitted on, about.
@@ -140,9 +140,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.05), float(b)
 
 
-def fit(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL) -> ToxicityModel:
-    """Fit on a sample of ``labelled`` (doc_id, text, toxic 0 or 1)."""
-    rows = sample(labelled.filter(F.col("toxic").isin(0, 1)), "toxic", per_label, 2)
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> ToxicityModel:
+    """Fit on a sample of ``labels`` (doc_id, toxic 0 or 1), with the texts of ``docs`` (doc_id, text).
+
+    The sample's ids, ``4 * per_label`` at most, go to the texts.
+    """
+    ids = drawn(labels.filter(F.col("toxic").isin(0, 1)), "toxic", per_label, 2)
+    found = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    rows = in_order(found.limit(4 * per_label).collect(), "toxic")
     words = Words([r["text"] for r in rows])
     toxic = np.array([r["toxic"] == 1 for r in rows], dtype=bool)
     mark = seed_marks(words, toxic)
@@ -216,7 +221,7 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     held = remainder("doc_id", 5) == 0
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = fit(docs.select("doc_id", "text"), known)
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
     said = F.array_join(
         F.transform("tox_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","
