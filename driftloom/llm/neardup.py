@@ -14,9 +14,9 @@ registers meet in a bucket.  First each node is compared with the largest hub of
 buckets, which joins most of a large group of copies.  Then, in rounds, in the buckets
 that still hold several components, the strays' registers are compared with all
 members', in blocks of bounded size that emit the likeliest partners of each stray
-only; those are verified by the exact multisets and join components, until a round
-brings no new link.  Each stray has new partners in each of its buckets and rounds; the
-number of verified pairs grows with the strays, not with the square of a group.
+first; those are verified by the exact multisets and join components.  In the next
+round a stray goes on behind the last partner that it proposed, until each pair that
+agrees enough is verified or within one component.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Registers' agreement below which a pair can't be similar: nearly 4 deviations off.
 LEAST_AGREEMENT = 0.66
-#: Nodes of a block; partners that a stray proposes from a block in a round.
-BLOCK, PER_STRAY = 2048, 8
+#: Nodes of a block; partners that a stray proposes from a block in the first round, and in any (it doubles).
+BLOCK, PER_STRAY, MOST_PER_STRAY = 2048, 8, 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -220,19 +220,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).append_column("ok", pa.array(ok, pa.bool_()))
 
 
-def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): node, component (its smallest node).
 
     Labels go to neighbours' minima and then to their labels' labels, until nothing
-    changes: about the logarithm of the longest path in rounds.  With ``steps`` they
-    stop after so many, and a component may still have several labels.
+    changes: about the logarithm of the longest path in rounds.
     """
     both = stored(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
     )
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while steps is None or steps > 0:
-        steps = None if steps is None else steps - 1
+    while True:
         heard = (
             both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         )
@@ -245,9 +243,8 @@ def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
         )
         moved = stored(moved, "labels")
         labels = moved.drop("changed")
-        if steps is None and is_empty(moved.filter("changed")):
-            break
-    return labels
+        if is_empty(moved.filter("changed")):
+            return labels
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -261,14 +258,18 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     return met.groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
 
 
-def _stray_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Blocks (band, i, j) of nodes to compare: node, component, bands, sig, stray.
+def _stray_blocks(members: DataFrame, sketches: DataFrame, left: DataFrame | None) -> DataFrame:
+    """Blocks (band, i, j) of nodes to compare: node, component, bands, sig, stray, lost, partner.
 
     In each bucket with several components, the strays are those that aren't in its
     largest hub's.  Pairs of different components have a stray, so strays against all
     members are all of them.  Members are dealt to blocks i and strays to blocks j of
-    about ``BLOCK`` each; every member meets every stray in one block.
+    about ``BLOCK`` each; every member meets every stray in one block.  ``left`` (band, i,
+    node, lost, partner) are the strays that go on, and their last partners: a bucket's
+    members, and so its i, are the same in all rounds.
     """
+    if left is not None:
+        members = members.join(left.select("band").distinct(), "band", "left_semi")
     main = members.groupBy("band").agg(
         F.max(F.struct("hub", "node", "component"))["component"].alias("main"),
         F.min("component").alias("least"),
@@ -284,25 +285,45 @@ def _stray_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
     own = ("node", "component", "bands", "sig")
     against = rows.select("band", at("n_i", 1).alias("i"), every("n_j").alias("j"), *own, F.lit(False).alias("stray"))
     strays = rows.filter("stray").select("band", every("n_i").alias("i"), at("n_j", 2).alias("j"), *own, F.lit(True).alias("stray"))
-    return against.unionByName(strays).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    start = {"lost": F.lit(-1), "partner": F.lit(0).cast("long")}
+    if left is None:
+        strays = strays.withColumns(start)
+    else:
+        against = against.join(left.select("band", "i").distinct(), ["band", "i"], "left_semi")
+        strays = strays.join(left, ["band", "i", "node"])
+    return against.withColumns(start).unionByName(strays).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
 
+_MET = "a long, b long, band long, i int, node long, lost int, partner long, more boolean"
 
-def _meet():
-    """Pairs (a, b) of each block: per stray the ``PER_STRAY`` members of other components that agree most.
 
-    Two nodes meet in the first band that they share only.
+def _meet(per_stray: int):
+    """Pairs (a, b) of each block: per stray the next ``per_stray`` members of other components, those that agree most first.
+
+    Members are in the order of the registers that they have lost, and of their numbers;
+    ``lost`` and ``partner`` are the place of the last that the stray has proposed, and
+    ``more`` tells whether others follow.  Two nodes meet in the first band that they
+    share only.
     """
+    most = int(REGISTERS * (1 - LEAST_AGREEMENT) + 1e-9)
 
-    def pairs(band: int, node: np.ndarray, component: np.ndarray, bands: np.ndarray, sig: np.ndarray, stray: np.ndarray) -> Iterator[tuple]:
+    def pairs(
+        band: int, i: int, node: np.ndarray, component: np.ndarray, bands: np.ndarray, sig: np.ndarray, stray: np.ndarray,
+        lost: np.ndarray, partner: np.ndarray,
+    ) -> Iterator[tuple]:
         members, strays = np.flatnonzero(~stray), np.flatnonzero(stray)
         earlier = bands[:, : int((bands[0] == band).argmax())]
         for x in strays:
-            share = (sig[members] == sig[x]).mean(axis=1)
-            good = np.flatnonzero((share >= LEAST_AGREEMENT) & (component[members] != component[x]))
+            off = (sig[members] != sig[x]).sum(axis=1)
+            behind = (off > lost[x]) | ((off == lost[x]) & (node[members] > partner[x]))
+            good = np.flatnonzero((off <= most) & behind & (component[members] != component[x]))
             good = good[~(earlier[members[good]] == earlier[x]).any(axis=1)]
             if len(good):
-                order = good[np.lexsort((node[members[good]], -share[good]))]
-                yield from ((min(node[x], y), max(node[x], y)) for y in node[members[order[:PER_STRAY]]])
+                order = good[np.lexsort((node[members[good]], off[good]))]
+                more, order = len(order) > per_stray, order[:per_stray]
+                own, met = np.full(len(order), node[x]), node[members[order]]
+                same = (np.full(len(order), v) for v in (band, i))
+                yield np.minimum(own, met), np.maximum(own, met), *same, own, off[order], met, np.full(len(order), more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit_threads()
@@ -310,7 +331,9 @@ def _meet():
 
         def through(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
             table = table.combine_chunks()
-            band, i, j, node, component = (table.column(c).to_numpy() for c in ("band", "i", "j", "node", "component"))
+            band, i, j, node, component, lost, partner = (
+                table.column(c).to_numpy() for c in ("band", "i", "j", "node", "component", "lost", "partner")
+            )
             stray = table.column("stray").to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
             bands = pa.compute.list_flatten(table.column("bands")).to_numpy().reshape(-1, BANDS)
@@ -318,7 +341,8 @@ def _meet():
             begins = [0, *new.tolist(), *([len(band)] if last else [])]
             out: list = []
             for a, b in zip(begins[:-1], begins[1:], strict=True):
-                out += pairs(band[a], node[a:b], component[a:b], bands[a:b], sig[a:b], stray[a:b])
+                own = (x[a:b] for x in (node, component, bands, sig, stray, lost, partner))
+                out += pairs(band[a], i[a], *own)
             return out, None if last else table.slice(begins[-1])
 
         for batch in batches:
@@ -334,8 +358,10 @@ def _meet():
 
 
 def _pair_batch(found: list[tuple]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], ["a", "b"])
+    names, kinds = zip(*(x.split() for x in _MET.split(", ")), strict=True)
+    columns = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0)] * len(names)
+    of = {"long": np.int64, "int": np.int32, "boolean": np.bool_}
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(of[k])) for x, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -352,22 +378,25 @@ def _links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFra
     likely = starred.mapInArrow(_agreement, "a long, b long")
     tested = stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = _verified(tested, texts, "verified")
-    linked = not is_empty(links)
+    known = None if is_empty(links) else components(links)
+    left, per_stray = None, PER_STRAY
     while True:
         members = buckets.withColumn("component", F.col("node"))
-        if linked:
-            known = components(links, steps=1)  # enough to tell most of what needn't be compared
+        if known is not None:
             members = buckets.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        met = _stray_blocks(members, sketches).mapInArrow(_meet(), "a long, b long")
-        fresh = stored(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if is_empty(fresh):
-            break
-        tested = tested.union(fresh)
-        more = _verified(fresh, texts, "verified")
-        if is_empty(more):
-            break
-        links, linked = links.union(more), True
-    return components(links) if linked else None
+        met = stored(_stray_blocks(members, sketches, left).mapInArrow(_meet(per_stray), _MET), "met")
+        fresh = stored(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not is_empty(fresh):
+            tested = tested.union(fresh)
+            more = _verified(fresh, texts, "verified")
+            if not is_empty(more):
+                links = links.union(more)
+                known = components(links)
+        last = F.max(F.struct("lost", "partner"))
+        left = met.filter("more").groupBy("band", "i", "node").agg(last["lost"].alias("lost"), last["partner"].alias("partner"))
+        if is_empty(left):
+            return known
+        left, per_stray = stored(left, "left"), min(2 * per_stray, max(MOST_PER_STRAY, per_stray))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -82,6 +82,27 @@ def test_groups_of_copies(spark):
     assert sorted(kept) == sorted(set(got.values()))
 
 
+def test_strays_try_all_their_partners(spark, monkeypatch):
+    """Each stray is just apart from 120 copies, and near one text that needn't agree with it most."""
+    monkeypatch.setattr(neardup, "PER_STRAY", 1)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+
+    def text(edits):
+        return " ".join(edits.get(k, w) for k, w in enumerate(base))
+
+    rows = [text({rng.choice(range(205, 395, 10)): f"copy{k}"}) for k in range(120)]
+    for k in range(10):
+        own = {at: f"own{k}at{at}" for at in (5 + 6 * k, *rng.sample(range(65, 195, 6), 7))}
+        rows += [text(own), text({5 + 6 * k: own[5 + 6 * k]})]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    want = _brute(rows)
+    assert len(set(want.values())) == 1 and got == want
+
+
 @pytest.mark.parametrize("weights", [(1, 1), (3, 1), (6, 9), (1000, 700)])
 def test_registers_agree_as_often_as_weights_overlap(weights):
     rng = np.random.default_rng(4)
