@@ -66,3 +66,10 @@ def test_op9_odd(request, which):
 def test_numbers_pack():
     for x in (np.array([], np.uint64), np.array([0, 1, 2**63], np.uint64), np.arange(1000, dtype=np.uint32)):
         assert (sb.unpack_numbers(sb.pack_numbers(x), x.dtype.type) == x).all()
+
+
+def test_op9_scores_two_words_of_context(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in QUERIES["op9_stupid_backoff"](spark, sf_dir).collect()}
+    for d, n, s in _brute(docs, 3):
+        assert got[d].n_words == n and got[d].sum_log == pytest.approx(s, abs=1e-6)
