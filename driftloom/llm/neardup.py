@@ -35,8 +35,8 @@ from driftloom.llm.words import Words, grouped, mix
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Registers' agreement below which a pair can't be similar: nearly 4 deviations off.
-LEAST_AGREEMENT = 0.66
+#: Registers' agreement below which a pair can't be similar: over 5 deviations off.
+LEAST_AGREEMENT = 0.6
 #: Nodes of a block; partners that a stray proposes from a block in the first round, and in any (it doubles).
 BLOCK, PER_STRAY, MOST_PER_STRAY = 2048, 8, 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)

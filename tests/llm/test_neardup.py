@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from math import ceil, comb
 
 import numpy as np
 import pytest
@@ -103,6 +104,12 @@ def test_strays_try_all_their_partners(spark, monkeypatch):
     assert len(set(want.values())) == 1 and got == want
 
 
+def test_similar_pairs_agree_enough():
+    m = neardup.REGISTERS
+    least = ceil(m * neardup.LEAST_AGREEMENT - 1e-9)
+    assert sum(comb(m, k) * 0.8**k * 0.2 ** (m - k) for k in range(least)) < 1e-6
+
+
 @pytest.mark.parametrize("weights", [(1, 1), (3, 1), (6, 9), (1000, 700)])
 def test_registers_agree_as_often_as_weights_overlap(weights):
     rng = np.random.default_rng(4)
