@@ -59,6 +59,19 @@ def wider(schema: StructType, **kinds: str | DataType) -> StructType:
     return out
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken yet, upper and lower case alike."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names that may hold dots or blanks."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -9,14 +9,15 @@ uniform in its range and a register.  A text of multiplicity w sees the points b
 level w, in order of time and only as far as its registers need; a register keeps its
 first point.  Two texts' registers agree with the probability of their similarity.
 
-*Band.*  Texts of one shingle multiset are one node.  Nodes that share a band of
-registers meet in a bucket.  First each node is compared with the largest hub of its
-buckets, which joins most of a large group of copies.  Then, in rounds, in the buckets
-that still hold several components, the strays' registers are compared with all
-members', in blocks of bounded size that emit the likeliest partners of each stray
-first; those are verified by the exact multisets and join components.  In the next
-round a stray goes on behind the last partner that it proposed, until each pair that
-agrees enough is verified or within one component.
+*Band.*  Texts of one shingle multiset are one node, named by 128 bits of its content.
+Nodes that share a band of registers meet in a bucket.  First each node is compared with
+the largest hub of its buckets, which joins most of a large group of copies.  In the
+buckets that still hold several components, the strays (nodes outside the largest hub's
+component) meet all members, in blocks of bounded size.  A block compares registers,
+decides the pairs that agree enough by their exact multisets, most alike first, and
+passes over pairs that its links already connect.  So each pair of a bucket whose
+registers agree enough is decided or within one component, nothing is capped, and what
+leaves a block is at most one link for each of its nodes.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import is_empty, limit_threads, stored, whole_text
+from driftloom.llm.common import is_empty, limit_threads, quoted, stored, unused, whole_text
 from driftloom.llm.words import Words, grouped, mix
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -37,8 +38,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Registers' agreement below which a pair can't be similar: over 5 deviations off.
 LEAST_AGREEMENT = 0.6
-#: Nodes of a block; partners that a stray proposes from a block in the first round, and in any (it doubles).
-BLOCK, PER_STRAY, MOST_PER_STRAY = 2048, 8, 128
+#: Nodes, and characters of their texts, that a block has of members and of strays, about.
+BLOCK, BLOCK_CHARS = 2048, 16 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -125,12 +126,13 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-_SKETCH = "doc long, k1 long, k2 long, bands array<long>, sig binary"
+_SKETCH = "doc long, h1 long, h2 long, chars long, node binary, size long, bands array<long>, sig binary"
 
 
-def sketch_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two content hashes, and registers, of each text."""
+def sketch_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two content hashes, the number of shingles, and registers, of each text."""
     k1, k2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    sizes = np.zeros(len(texts), np.int64)
     registers = np.full((len(texts), REGISTERS), -1, np.int64)
     for start, end in grouped(texts):
         for a in range(start, end, 2048):
@@ -139,6 +141,7 @@ def sketch_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h, counts = shingle_hashes(words)
             if not len(h):
                 continue
+            sizes[a:b] = counts
             doc = np.repeat(np.arange(b - a), counts)
             # sums over the multiset: equal for equal multisets, in any order
             begins = np.append(0, np.cumsum(counts))
@@ -152,72 +155,90 @@ def sketch_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             keys = keys[at]
             own = (keys >> np.uint64(52)).astype(np.int64)
             registers[a:b] = bag_min_hash(keys << np.uint64(12), weights, own, b - a)
-    return k1, k2, registers
+    return k1, k2, sizes, registers
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One byte of each register is kept: unlike registers agree by chance in 1 of 256, which only adds pairs to verify."""
     limit_threads()
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
-            k1, k2, registers = sketch_texts(batch.column("text").to_pylist())
-            plain = registers[:, 0] < 0  # no words: its text's own hash tells it
-            text_hash = batch.column("text_hash").to_numpy()
-            k1 = np.where(plain, text_hash, k1.view(np.int64))
+            k1, k2, sizes, registers = sketch_texts(batch.column("text").to_pylist())
+            plain = registers[:, 0] < 0  # no words: its text's own hashes name it
+            content = np.stack([np.where(plain, batch.column(h), k.view(np.int64)) for h, k in (("h1", k1), ("h2", k2))], axis=1)
             bands = band_keys(registers)
             offsets = np.where(plain, 0, BANDS).cumsum()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc"),
-                    pa.array(k1),
-                    pa.array(k2.view(np.int64)),
+                    *(batch.column(c) for c in ("doc", "h1", "h2", "chars")),
+                    pa.array([x.tobytes() for x in content], pa.binary()),
+                    pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(np.append(0, offsets).astype(np.int32)), pa.array(bands[~plain].ravel())),
                     pa.array([r.tobytes() for r in registers.astype(np.uint8)], pa.binary()),
                 ],
-                ["doc", "k1", "k2", "bands", "sig"],
+                [f.split()[0] for f in _SKETCH.split(", ")],
             )
 
 
+def _likely(sig: np.ndarray, size: np.ndarray, own_sig: np.ndarray, own_size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs may be similar, by registers and sizes, and the registers in which they differ."""
+    off = (sig != own_sig).sum(axis=1)
+    low, high = np.minimum(size, own_size), np.maximum(size, own_size)
+    return (off <= REGISTERS * (1 - LEAST_AGREEMENT) + 1e-9) & (low >= THRESHOLD * high - 1e-6), off
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b")
-        )
-        share = (a == b).mean(axis=1) if len(a) else np.zeros(0)
-        yield batch.select(["a", "b"]).filter(pa.array(share >= LEAST_AGREEMENT))
+        a, b = (_signatures(batch.column(c)) for c in ("sig_a", "sig_b"))
+        good, _ = _likely(a, batch.column("size_a").to_numpy(), b, batch.column("size_b").to_numpy())
+        yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
-class _Multisets:
-    """Shingle multisets of texts; remembers the last few, as centres come in runs."""
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    return float(similarities(a, [b])[0])
 
-    def __init__(self) -> None:
-        self._last: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def of(self, node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = self._last.get(node)
-        if found is None:
-            if len(self._last) >= 64:
-                self._last.clear()
-            h, _ = shingle_hashes(Words([text], digits=True))
-            found = self._last[node] = np.unique(h, return_counts=True)
-        return found
+def similarities(own: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard coefficients of a multiset (sorted hashes, counts) with others."""
+    h, n = own
+    keys, counts = (np.concatenate(x) for x in zip(*others, strict=True))
+    of = np.repeat(np.arange(len(others)), [len(x[0]) for x in others])
+    both = np.zeros(len(others), np.int64)
+    if len(h) and len(keys):
+        at = np.searchsorted(h, keys)
+        at[at == len(h)] = 0
+        met = h[at] == keys
+        both = np.bincount(of[met], weights=np.minimum(counts[met], n[at[met]]), minlength=len(others)).astype(np.int64)
+    either = n.sum() + np.bincount(of, weights=counts, minlength=len(others)).astype(np.int64) - both
+    return both / np.maximum(either, 1)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    either = int(a[1].sum() + b[1].sum()) - both
-    return both / either if either else 0.0
+def _multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
+    h, _ = shingle_hashes(Words([text], digits=True))
+    return np.unique(h, return_counts=True)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs whose multisets are similar; hubs come in runs, so the last few are remembered."""
     limit_threads()
-    sets = _Multisets()
+    last: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if node not in last:
+            if len(last) >= 64:
+                last.clear()
+            last[node] = _multiset(text)
+        return last[node]
+
     for batch in batches:
-        ok = []
-        for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-            ok.append(weighted_jaccard(sets.of(a, s), sets.of(b, t)) >= THRESHOLD)
-        yield batch.select(["a", "b"]).append_column("ok", pa.array(ok, pa.bool_()))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)
+        ok = [weighted_jaccard(of(a, s), of(b, t)) >= THRESHOLD for a, b, s, t in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,188 +279,166 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     return met.groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
 
 
-def _stray_blocks(members: DataFrame, sketches: DataFrame, left: DataFrame | None) -> DataFrame:
-    """Blocks (band, i, j) of nodes to compare: node, component, bands, sig, stray, lost, partner.
+def _blocks(members: DataFrame, data: DataFrame) -> DataFrame:
+    """Blocks (band, i, j) of nodes to compare: node, component, stray, and the columns of ``data``.
 
     In each bucket with several components, the strays are those that aren't in its
     largest hub's.  Pairs of different components have a stray, so strays against all
-    members are all of them.  Members are dealt to blocks i and strays to blocks j of
-    about ``BLOCK`` each; every member meets every stray in one block.  ``left`` (band, i,
-    node, lost, partner) are the strays that go on, and their last partners: a bucket's
-    members, and so its i, are the same in all rounds.
+    members are all of them.  Members are dealt to blocks i and strays to blocks j; every
+    member meets every stray in one block.  ``members`` has band, node, chars, hub, component.
     """
-    if left is not None:
-        members = members.join(left.select("band").distinct(), "band", "left_semi")
     main = members.groupBy("band").agg(
         F.max(F.struct("hub", "node", "component"))["component"].alias("main"),
         F.min("component").alias("least"),
         F.max("component").alias("most"),
     )
     open_ = members.join(main.filter("least < most").select("band", "main"), "band").withColumn("stray", F.col("component") != F.col("main"))
-    blocks = open_.groupBy("band").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("n_i"), F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("n_j")
+    share = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_CHARS)).cast("int")
+    sizes = open_.groupBy("band").agg(
+        share(F.count("*"), F.sum("chars")).alias("n_i"),
+        share(F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("chars")).otherwise(0))).alias("n_j"),
     )
-    rows = open_.join(blocks, "band").join(sketches.select(F.col("doc").alias("node"), "bands", "sig"), "node")
-    at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ("node", "component", "bands", "sig")
+    rows = open_.join(sizes, "band").select("band", "node", "component", "stray", "n_i", "n_j").join(data, "node")
+    at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    own = ("node", "component", *(c for c in data.columns if c != "node"))
     against = rows.select("band", at("n_i", 1).alias("i"), every("n_j").alias("j"), *own, F.lit(False).alias("stray"))
     strays = rows.filter("stray").select("band", every("n_i").alias("i"), at("n_j", 2).alias("j"), *own, F.lit(True).alias("stray"))
-    start = {"lost": F.lit(-1), "partner": F.lit(0).cast("long")}
-    if left is None:
-        strays = strays.withColumns(start)
-    else:
-        against = against.join(left.select("band", "i").distinct(), ["band", "i"], "left_semi")
-        strays = strays.join(left, ["band", "i", "node"])
-    return against.withColumns(start).unionByName(strays).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-
+    return against.unionByName(strays).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
-_MET = "a long, b long, band long, i int, node long, lost int, partner long, more boolean"
 
+def block_links(block: pa.Table) -> list[tuple[int, int]]:
+    """Links (row numbers) of a block's strays with its members, as many as its components need.
 
-def _meet(per_stray: int):
-    """Pairs (a, b) of each block: per stray the next ``per_stray`` members of other components, those that agree most first.
-
-    Members are in the order of the registers that they have lost, and of their numbers;
-    ``lost`` and ``partner`` are the place of the last that the stray has proposed, and
-    ``more`` tells whether others follow.  Two nodes meet in the first band that they
-    share only.
+    Of each stray's likely partners in other components, the most alike are decided
+    first.  Partners that a link connects to the stray are passed over, and so are
+    pairs that meet in an earlier band, as they are decided there.
     """
-    most = int(REGISTERS * (1 - LEAST_AGREEMENT) + 1e-9)
-
-    def pairs(
-        band: int, i: int, node: np.ndarray, component: np.ndarray, bands: np.ndarray, sig: np.ndarray, stray: np.ndarray,
-        lost: np.ndarray, partner: np.ndarray,
-    ) -> Iterator[tuple]:
-        members, strays = np.flatnonzero(~stray), np.flatnonzero(stray)
-        earlier = bands[:, : int((bands[0] == band).argmax())]
-        for x in strays:
-            off = (sig[members] != sig[x]).sum(axis=1)
-            behind = (off > lost[x]) | ((off == lost[x]) & (node[members] > partner[x]))
-            good = np.flatnonzero((off <= most) & behind & (component[members] != component[x]))
-            good = good[~(earlier[members[good]] == earlier[x]).any(axis=1)]
-            if len(good):
-                order = good[np.lexsort((node[members[good]], off[good]))]
-                more, order = len(order) > per_stray, order[:per_stray]
-                own, met = np.full(len(order), node[x]), node[members[order]]
-                same = (np.full(len(order), v) for v in (band, i))
-                yield np.minimum(own, met), np.maximum(own, met), *same, own, off[order], met, np.full(len(order), more)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit_threads()
-        rest: pa.Table | None = None
-
-        def through(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
-            table = table.combine_chunks()
-            band, i, j, node, component, lost, partner = (
-                table.column(c).to_numpy() for c in ("band", "i", "j", "node", "component", "lost", "partner")
-            )
-            stray = table.column("stray").to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            bands = pa.compute.list_flatten(table.column("bands")).to_numpy().reshape(-1, BANDS)
-            new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            begins = [0, *new.tolist(), *([len(band)] if last else [])]
-            out: list = []
-            for a, b in zip(begins[:-1], begins[1:], strict=True):
-                own = (x[a:b] for x in (node, component, bands, sig, stray, lost, partner))
-                out += pairs(band[a], i[a], *own)
-            return out, None if last else table.slice(begins[-1])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            found, rest = through(table if rest is None else pa.concat_tables([rest, table]), False)
-            yield _pair_batch(found)
-        if rest is not None and rest.num_rows:
-            yield _pair_batch(through(rest, True)[0])
-
-    return run
-
+    stray = block.column("stray").to_numpy(zero_copy_only=False)
+    component = block.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+    size, sig = block.column("size").to_numpy(), _signatures(block.column("sig"))
+    bands = pa.compute.list_flatten(block.column("bands")).to_numpy().reshape(-1, BANDS)
+    earlier = bands[:, : int((bands[0] == block.column("band")[0].as_py()).argmax())]
+    text = block.column("text")
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    links: list[tuple[int, int]] = []
+
+    def of(row: int) -> tuple[np.ndarray, np.ndarray]:
+        if row not in sets:
+            sets[row] = _multiset(text[row].as_py())
+        return sets[row]
+
+    members = np.flatnonzero(~stray)
+    for x in np.flatnonzero(stray).tolist():
+        others = members[component[members] != component[x]]
+        good, off = _likely(sig[others], size[others], sig[x], size[x])
+        good &= ~(earlier[others] == earlier[x]).any(axis=1)
+        left = others[good][np.argsort(off[good], kind="stable")]
+        while len(left):
+            few, left = left[:16], left[16:]
+            alike = similarities(of(x), [of(y) for y in few.tolist()]) >= THRESHOLD
+            for y in few[alike].tolist():
+                if component[y] != component[x]:
+                    links.append((x, y))
+                    component[component == component[y]] = component[x]
+            if alike.any():
+                left = left[component[left] != component[x]]
+    return links
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of all blocks; their rows follow each other."""
+    limit_threads()
+    rest: pa.Table | None = None
 
-def _pair_batch(found: list[tuple]) -> pa.RecordBatch:
-    names, kinds = zip(*(x.split() for x in _MET.split(", ")), strict=True)
-    columns = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0)] * len(names)
-    of = {"long": np.int64, "int": np.int32, "boolean": np.bool_}
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(of[k])) for x, k in zip(columns, kinds, strict=True)], list(names))
+    def through(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        band, i, j = (table.column(c).to_numpy() for c in ("band", "i", "j"))
+        new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        begins = [0, *new.tolist(), *([len(band)] if last else [])]
+        found = [(a + x, a + y) for a, b in zip(begins[:-1], begins[1:], strict=True) for x, y in block_links(table.slice(a, b - a))]
+        node = table.column("node").combine_chunks()
+        ends = [node.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"]), table.slice(begins[-1])
 
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            links, rest = through(table if rest is None else pa.concat_tables([rest, table]), False)
+            yield links
+    if rest is not None and rest.num_rows:
+        yield through(rest, True)[0]
+
+
+def _links(buckets: DataFrame, data: DataFrame) -> DataFrame:
+    """Component of every node with a link: node, component.  ``buckets``: band, node, chars, hub; ``data``: node, size, bands, sig, text."""
+    of = lambda c, *names: data.select(F.col("node").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in names))
+    starred = _hub_pairs(buckets).join(of("a", "sig", "size"), "a").join(of("b", "sig", "size"), "b")
+    likely = starred.select("a", "b", "sig_a", "sig_b", "size_a", "size_b").mapInArrow(_agreement, "a binary, b binary")
+    pairs = stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    both = pairs.join(of("a", "text"), "a").join(of("b", "text"), "b").select("a", "b", "text_a", "text_b")
+    links = stored(both.mapInArrow(_verify, "a binary, b binary"), "links")
+    known = components(links)
+    members = buckets.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = stored(_blocks(members, data).mapInArrow(_decide, "a binary, b binary").distinct(), "links")
+    return known if is_empty(more) else components(links.union(more))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with its class: doc, h1, h2 (hashes of its text), component."""
+    text = whole_text()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"), *_text_hashes(text), F.length(text).cast("long").alias("chars"))
+    sketched = stored(rows.mapInArrow(_sketch, _SKETCH), "sketches")
+    columns = ("size", "bands", "sig")
+    nodes = sketched.groupBy("node").agg(F.min(F.struct("h1", "h2", "chars")).alias("h"), *(F.first(c).alias(c) for c in columns))
+    nodes = stored(nodes.select("node", "h.*", *columns), "nodes")
+    bands = nodes.select("node", "chars", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = stored(bands.join(shared, "band"), "buckets")
+    hubs = buckets.groupBy("node").agg(F.sum("n").alias("hub"))
+    buckets = stored(buckets.join(hubs, "node").select("band", "node", "chars", "hub"), "buckets")
+    # the data of nodes in buckets; it grows with the corpus, so the plan is the same at every size
+    wanted = nodes.join(hubs.select("node").hint("merge"), "node", "left_semi").hint("merge")
+    texts = rows.select("h1", "h2", "text").join(wanted, ["h1", "h2"])
+    data = texts.groupBy("node").agg(*(F.first(c).alias(c) for c in (*columns, "text")))
+    known = _links(buckets, stored(data, "node-data"))
+    labelled = sketched.select("doc", "h1", "h2", "node").join(known, "node", "left")
+    return stored(labelled.select("doc", "h1", "h2", F.coalesce("component", "node").alias("component")), "labelled")
 
-def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose multisets are similar."""
-    text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_verify, "a long, b long, ok boolean"), name).filter("ok").select("a", "b")
 
-
-def _links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Component of every node with a verified link: node, component.  ``buckets``: band, node, hub."""
-    sig = lambda c: sketches.select(F.col("doc").alias(c), F.col("sig").alias(f"sig_{c}"))
-    starred = _hub_pairs(buckets).join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
-    likely = starred.mapInArrow(_agreement, "a long, b long")
-    tested = stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = _verified(tested, texts, "verified")
-    known = None if is_empty(links) else components(links)
-    left, per_stray = None, PER_STRAY
-    while True:
-        members = buckets.withColumn("component", F.col("node"))
-        if known is not None:
-            members = buckets.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        met = stored(_stray_blocks(members, sketches, left).mapInArrow(_meet(per_stray), _MET), "met")
-        fresh = stored(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not is_empty(fresh):
-            tested = tested.union(fresh)
-            more = _verified(fresh, texts, "verified")
-            if not is_empty(more):
-                links = links.union(more)
-                known = components(links)
-        last = F.max(F.struct("lost", "partner"))
-        left = met.filter("more").groupBy("band", "i", "node").agg(last["lost"].alias("lost"), last["partner"].alias("partner"))
-        if is_empty(left):
-            return known
-        left, per_stray = stored(left, "left"), min(2 * per_stray, max(MOST_PER_STRAY, per_stray))
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Near-duplicate class of every row of ``docs``: doc_id, class_id.
 
-    ``class_id`` is the smallest doc_id of the class.  Texts with equal shingle
-    multisets are alike; texts without words are alike only where they are equal (a
-    null text counts as empty).  Rows that repeat a doc_id each have their row; a row with
-    a null doc_id takes its text's hash for one.  Other columns are left out; no rows, no
-    result.
+    ``class_id`` is the smallest doc_id of the class.  Where rows of unlike texts share
+    a doc_id and so two classes would share their smallest one, or a class has only
+    null ones, it is a negative number drawn from the class's content.  Texts with equal
+    shingle multisets are alike; texts without words are alike only where they are equal
+    (a null text counts as empty).  Rows that repeat each have their row, and a null
+    doc_id stays null.  Other columns are left out, whatever their names; no rows, no result.
     """
-    text = whole_text()
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("text_hash")
+    labelled = _labelled(docs)
+    firsts = labelled.groupBy("component").agg(F.min("doc").alias("first"))
+    owners = firsts.groupBy("first").agg(F.min("component").alias("owner"))
+    own = -F.xxhash64("component").bitwiseAND((1 << 62) - 1) - 1
+    ids = firsts.join(owners, "first", "left").select(
+        "component", F.when(F.col("component") == F.col("owner"), F.col("first")).otherwise(own).alias("class_id")
     )
-    sketched = stored(rows.mapInArrow(_sketch, _SKETCH), "sketches")
-    nodes = stored(sketched.groupBy("k1", "k2").agg(F.min("doc").alias("node")), "nodes")
-    # one row of each node: rows that share a doc_id are told apart by their content
-    own = nodes.select(F.col("node").alias("doc"), "k1", "k2")
-    sketches = sketched.join(own, ["doc", "k1", "k2"], "left_semi").dropDuplicates(["doc"])
-    sketches = stored(sketches.select("doc", "bands", "sig"), "node-sketches")
-    bands = sketches.select(F.col("doc").alias("node"), F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = stored(bands.join(shared, "band"), "buckets")
-    hubs = buckets.groupBy("node").agg(F.sum("size").alias("hub"))
-    buckets = stored(buckets.join(hubs, "node"), "buckets")
-    wanted = buckets.select("node").distinct().hint("merge")  # grows with the corpus: the same plan at every size
-    texts = stored(rows.select(F.col("doc").alias("node"), "text").join(wanted, "node").dropDuplicates(["node"]), "texts")
-    found = _links(buckets, sketches, texts)
-    if found is not None:
-        nodes = nodes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("node"))
-    return sketched.select("doc", "k1", "k2").join(nodes, ["k1", "k2"]).select(F.col("doc").alias("doc_id"), F.col("node").alias("class_id"))
+    return labelled.join(ids, "component").select(F.col("doc").alias("doc_id"), "class_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays.  All columns stay as they are.
+    Null ids come last; rows of unlike texts stay, also where they share a doc_id, and
+    of rows that repeat one stays.  A null text counts as empty.  All columns stay as
+    they are, whatever their names; no rows, no result.
     """
-    text = whole_text()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
-    first = classes(docs).filter("doc_id = class_id").select(F.col("class_id").alias("driftloom_doc")).distinct()
-    kept = docs.withColumn("driftloom_doc", key).join(first, "driftloom_doc", "left_semi")
-    return kept.dropDuplicates(["driftloom_doc"]).select(*docs.columns)
-
-
+    labelled = _labelled(docs)
+    row = F.struct(F.col("doc").isNull().alias("none"), "doc", "h1", "h2")
+    key = unused("key", docs.columns)
+    kept = labelled.groupBy("component").agg(F.min(row).alias("r")).select(F.struct("r.doc", "r.h1", "r.h2").alias(key))
+    own = F.struct(F.col("doc_id").cast("long").alias("doc"), *_text_hashes(whole_text()))
+    return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).select(*quoted(docs.columns))

@@ -85,7 +85,7 @@ def test_groups_of_copies(spark):
 
 def test_strays_try_all_their_partners(spark, monkeypatch):
     """Each stray is just apart from 120 copies, and near one text that needn't agree with it most."""
-    monkeypatch.setattr(neardup, "PER_STRAY", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 40)
     rng = random.Random(2)
     base = [f"w{rng.randrange(3000)}" for _ in range(400)]
 
@@ -123,6 +123,59 @@ def test_registers_agree_as_often_as_weights_overlap(weights):
     assert abs(np.mean(agree) - 35 * low / (35 * high + 15 * (low + high))) < 0.025
 
 
+def _block(rows):
+    """Rows: (component, stray, bands, registers, text)."""
+    import pyarrow as pa
+
+    return pa.table(
+        {
+            "band": pa.array([rows[0][2][0]] * len(rows)),
+            "component": pa.array([r[0] for r in rows], pa.binary()),
+            "stray": [r[1] for r in rows],
+            "bands": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+            "sig": pa.array([bytes(r[3]) for r in rows], pa.binary()),
+            "size": pa.array([len(_multiset(r[4])[1]) for r in rows], pa.int64()),
+            "text": [r[4] for r in rows],
+        }
+    )
+
+
+def test_a_block_passes_over_no_pair():
+    """Thirty decoys agree with the stray more than its one similar partner does."""
+    words = [f"w{k}" for k in range(300)]
+    near = " ".join(words[:-3])
+    decoys = [" ".join(words[:200] + [f"d{n}x{k}" for k in range(100)]) for n in range(30)]
+    most = neardup.REGISTERS * (1 - neardup.LEAST_AGREEMENT)
+    sig = lambda off: [1] * off + [0] * (neardup.REGISTERS - off)
+    bands = [7, *range(100, 100 + neardup.BANDS - 1)]
+    rows = [(b"a%d" % k, False, bands, sig(k), t) for k, t in enumerate(decoys)]
+    rows += [(b"b", False, bands, sig(int(most)), near), (b"x", False, bands, sig(0), " ".join(words)), (b"x", True, bands, sig(0), " ".join(words))]
+    assert neardup.block_links(_block(rows)) == [(32, 30)]
+
+
+def test_unlike_texts_may_share_an_id(spark):
+    a, b, c = ("alpha " * 3 + f"{x} one two three four five six {x} seven" for x in "abc")
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, c), (None, "all alone here in the dark"), (8, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.class_id) for r in neardup.classes(docs).collect()]
+    of = {d: {c for e, c in got if e == d} for d, _ in got}
+    assert len(got) == 7 and len(of[5]) == 2 and 5 in of[5] and len(of[6]) == len(of[7]) == 1
+    assert of[6] | of[7] == of[5] and of[6] != of[7] and of[8] == {8} and min(of[None]) < 0
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (8, c), (None, "all alone here in the dark")], key=str)
+
+
+def test_names_that_clash(spark):
+    from pyspark.sql import functions as F
+
+    names = ["key", "KEY_", "doc", "h1", "h2", "node", "component", "a.b", "chars", "size", "bands", "sig", "driftloom_doc", "none", "r"]
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six")], "doc_id long, text string")
+    docs = docs.withColumns({n: F.lit("x") for n in names})
+    (row,) = neardup.keep_one_of_each(docs).collect()
+    assert row.doc_id == 1 and row.asDict() == {"doc_id": 1, "text": row.text, **dict.fromkeys(names, "x")}
+    assert neardup.classes(docs).count() == 2
+
+
 @pytest.mark.parametrize("which", ["odd_docs", "no_docs", "clashing_docs"])
 def test_op1_odd(request, which):
     docs = request.getfixturevalue(which)
