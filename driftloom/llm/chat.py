@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm.arrays import cut, let, pieces, sums_before
+
 START, MESSAGE, JOINT, END = "<|im_start|>", "<|im_msg|>", "<|im_sep|>", "<|im_end|>"
 #: Inside texts also the marks of other common templates are escaped.
 _CONTROL = r"([<\[])(\\*)(\|im_(?:start|msg|sep|end)\|>|/?s>|/?INST\]|<SYS>>|</SYS>>|\|endoftext\|>)"
@@ -37,7 +39,8 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     ``turns`` has conv_id, turn, role, text; other columns are left out.  Null roles
     and texts count as empty.  Rows that share a turn number are all kept, ordered by
     role and text; a null turn number comes first.  A null conv_id is one
-    conversation.  No turns, no rows.
+    conversation.  No turns, no rows.  A conversation is one row, of a size that its own
+    turns bound; the time that it takes is in proportion to them.
     """
     turn = F.struct(
         F.col("turn").alias("turn"),
@@ -45,79 +48,51 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
         F.coalesce("text", F.lit("")).alias("text"),
     )
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    before = lambda i: F.element_at("t", i)  # noqa: E731  element_at counts from 1
-    opens = lambda x, i: (i == 0) | (x["role"] != F.coalesce(before(F.greatest(i, F.lit(1)))["role"], F.lit("")))
-    size = F.size("t")
-    closes = lambda x, i: (i == size - 1) | (x["role"] != before(F.least(i + 2, size))["role"])
-    laid = gathered.withColumn(
-        "s",
-        F.transform(
-            "t",
-            lambda x, i: F.struct(
-                F.when(opens(x, i), F.concat(F.lit(START), escape(x["role"]), F.lit(MESSAGE)))
-                .otherwise(F.lit(JOINT))
-                .alias("head"),
-                escape(x["text"]).alias("body"),
-                F.when(closes(x, i), F.lit(END + "\n")).otherwise(F.lit("")).alias("tail"),
-                (x["role"] == trained_role).alias("loss"),
-            ),
-        ),
-    )
+    # neighbours by shifted arrays: an array that a lambda takes by position may be worked out for each element
+    roles = F.transform("t", lambda x: x["role"])
+    shift = lambda r, x: F.concat(F.array(F.lit(None).cast("string")), F.slice(r, 1, F.size(r) - 1)) if x < 0 else F.concat(F.slice(r, 2, F.size(r) - 1), F.array(F.lit(None).cast("string")))
+    beside = lambda r: F.zip_with(shift(r, -1), shift(r, 1), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+
+    def lay(x: Column, by: Column) -> Column:
+        return F.struct(
+            F.when(x["role"].eqNullSafe(by["before"]), F.lit(JOINT))
+            .otherwise(F.concat(F.lit(START), escape(x["role"]), F.lit(MESSAGE)))
+            .alias("head"),
+            escape(x["text"]).alias("body"),
+            F.when(x["role"].eqNullSafe(by["after"]), F.lit("")).otherwise(F.lit(END + "\n")).alias("tail"),
+            (x["role"] == trained_role).alias("loss"),
+        )
+
+    laid = gathered.withColumn("s", F.zip_with("t", let(roles, beside), lay))
     formatted = F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["body"], x["tail"])), "")
-    spans = F.aggregate(
-        "s",
-        F.struct(
-            F.lit(0).cast("long").alias("at"),
-            F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
-        ),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])).cast("long").alias("at"),
-            F.when(
-                x["loss"],
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["head"])).cast("long").alias("start"),
-                            (acc["at"] + F.length(x["head"]) + F.length(x["body"])).cast("long").alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return laid.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+    sizes = F.transform("s", lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"]))
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["head"])
+        return F.struct(x["loss"].alias("loss"), start.cast("long").alias("start"), (start + F.length(x["body"])).cast("long").alias("end"))
+
+    spans = F.filter(F.zip_with("s", "at", span), lambda x: x["loss"])
+    spans = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    placed = laid.withColumn("at", sums_before(sizes))
+    return placed.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation: array<struct<role, text>>, unescaped."""
     blocks = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda b: b != "")
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.substring_index(b, MESSAGE, -1), r"<\|im_sep\|>"),
-                lambda text: F.struct(
-                    unescape(F.substring_index(F.substring_index(b, MESSAGE, 1), START, -1)).alias("role"),
-                    unescape(text).alias("text"),
-                ),
-            ),
-        )
-    )
+
+    def turns(b: Column) -> Column:
+        texts = F.split(F.substring_index(b, MESSAGE, -1), r"<\|im_sep\|>")
+        said = unescape(F.substring_index(F.substring_index(b, MESSAGE, 1), START, -1))
+        return let(said, lambda role: F.transform(texts, lambda text: F.struct(role.alias("role"), unescape(text).alias("text"))))
+
+    return F.flatten(F.transform(blocks, turns))
 
 
 def read_loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(
-        F.transform(
-            spans,
-            lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))),
-        ),
-        "",
-    )
+    texts = lambda parts: F.transform(spans, lambda s: unescape(cut(parts, s["start"].cast("int"), s["end"].cast("int"))))
+    return F.array_join(let(pieces(formatted), texts), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are what the base expressions find (email, ip, card, phone).  Every token with
-a digit or an at sign is an instance; its shape together with the words before it,
-and with the word after it, are its patterns.  Over the graph of patterns and
-instances, scores go to and fro: a pattern is worth the mean score of its distinct
-instances (seeds count 1), an instance the noisy-or of its patterns.  Patterns of
-high worth then mark the occurrences that no base expression found.
+Seeds are what the base expressions find (email, ip, card, phone).  A candidate is a run
+of characters with a digit or an at sign, up to a separator; groups of digits with
+single blanks between them are one candidate, so no base span leaves its candidate.
+Every candidate is an instance; its shape together with the words before it, and with
+the word after it, are its patterns.  Over the graph of patterns and instances, scores
+go to and fro: a pattern is worth the mean score of its distinct instances (seeds count
+1), an instance the noisy-or of its patterns.  Scores only rise; rounds go on until one
+brings no further pattern of high worth.  These patterns then mark the occurrences that
+no base expression found.
 
 Positions are code points, ends exclusive.  All expressions run in linear time over a
 text: the quantifiers are possessive and begin only where a run begins.
@@ -16,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import stored, whole_text
+from driftloom.llm.arrays import cut, largest_before, let, pieces, sums_before
+from driftloom.llm.common import quoted, stored, unused, whole_text
 
 #: The kinds in order.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,14 +37,17 @@ _NEEDED = {
     "card": r"[0-9](?:[ -]?[0-9]){15}",
     "phone": r"\+[0-9][ ().0-9-]",
 }
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: Characters between candidates, and around one that aren't part of what it says.
+_SEPARATORS = r"\s,;|\"'<>{}\[\]=&"
+_CANDIDATE = (
+    rf"(?<![^{_SEPARATORS}])[^{_SEPARATORS}0-9@]*+[0-9@][^{_SEPARATORS}]*+"
+    rf"(?:(?<=[0-9().-]) [ ().-]*+[0-9][^{_SEPARATORS}]*+)*+"
+)
+_LEAD, _TAIL = r"^[(]++", r"(?<![).:!?])[).:!?]++$"
 
-ROUNDS = 3
 #: A pattern needs so many distinct instances and such a worth; an instance such a score.
 MIN_INSTANCES, MIN_WORTH, MIN_SCORE = 4, 0.8, 0.8
-#: Longer tokens aren't identifiers.
-MAX_TOKEN = 128
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -67,20 +74,16 @@ def _counts(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _located(matches: str, gaps: str) -> Column:
+def _located(matches: Column, gaps: Column) -> Column:
     """Starts of ``matches``, from the text between them."""
-    sizes = F.transform(
-        matches, lambda m, i: F.struct(F.length(F.element_at(gaps, i + 1)).alias("gap"), F.length(m).alias("own"))
-    )
-    return F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+
+    def starts(own: Column, sizes: Column) -> Column:
+        return let(
+            sums_before(F.zip_with(own, F.slice(sizes, 1, F.size(own)), lambda m, g: F.length(m) + g)),
+            lambda before: F.zip_with(before, F.slice(sizes, 1, F.size(own)), lambda at, g: at + g),
+        )
+
+    return let(matches, lambda own: let(F.transform(gaps, F.length), lambda sizes: starts(own, sizes)))
 
 
 def _matches(docs: DataFrame, name: str, expression: str, needed: Column) -> DataFrame:
@@ -92,12 +95,11 @@ def _matches(docs: DataFrame, name: str, expression: str, needed: Column) -> Dat
             f"{name}_g": F.when(needed, F.split("text", expression, -1)).otherwise(none),
         }
     )
-    return found.withColumn(f"{name}_s", _located(f"{name}_m", f"{name}_g")).drop(f"{name}_g")
+    return found.withColumn(f"{name}_s", _located(F.col(f"{name}_m"), F.col(f"{name}_g"))).drop(f"{name}_g")
 
 
 def _as_span(kind: str):
-    def span(match: Column, i: Column) -> Column:
-        start = F.element_at(f"{kind}_s", i + 1)
+    def span(match: Column, start: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             start.alias("start"),
@@ -120,7 +122,7 @@ def _base(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         needed = (F.contains("text", F.lit("@")) if kind == "email" else F.col("has_digit")) & F.col("text").rlike(_NEEDED[kind])
         out = _matches(out, kind, _EXPRESSIONS[kind], needed)
-        spans = F.transform(f"{kind}_m", _as_span(kind))
+        spans = F.zip_with(f"{kind}_m", f"{kind}_s", _as_span(kind))
         kept = F.filter(spans, lambda s: s["ok"])
         per_kind.append(
             F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -144,48 +146,64 @@ def scan(docs: DataFrame) -> DataFrame:
             "c_m": F.when(relevant, F.regexp_extract_all("text", F.lit(_CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")),
             "c_g": F.when(relevant, F.split("text", _CANDIDATE, -1)).otherwise(F.array().cast("array<string>")),
         }
-    ).withColumn("c_s", _located("c_m", "c_g"))
-    tokens = F.transform(
-        "c_m",
-        lambda m, i: F.struct(
-            m.alias("token"),
-            F.element_at("c_s", i + 1).alias("start"),
-            (F.element_at("c_s", i + 1) + F.length(m)).alias("end"),
-            F.lower(F.trim(F.regexp_replace(F.right(F.element_at("c_g", i + 1), F.lit(48)), r"\s++", " "))).alias("before"),
-            F.lower(F.trim(F.regexp_replace(F.left(F.element_at("c_g", i + 2), F.lit(24)), r"\s++", " "))).alias("after"),
+    ).withColumn("c_s", _located(F.col("c_m"), F.col("c_g")))
+    blanks = lambda gap: F.trim(F.regexp_replace(gap, r"\s++", " "))
+    tokens = lambda gaps: F.zip_with(
+        F.zip_with("c_m", "c_s", lambda m, s: F.struct(m.alias("token"), s.alias("start"))),
+        F.zip_with(
+            F.slice(gaps, 1, F.size(gaps) - 1),
+            F.slice(gaps, 2, F.size(gaps) - 1),
+            lambda g, h: F.struct(
+                F.lower(F.substring_index(g, " ", -2)).alias("before"), F.lower(F.substring_index(h, " ", 1)).alias("after")
+            ),
         ),
+        lambda t, c: F.struct(t["token"].alias("token"), t["start"].alias("start"), c["before"].alias("before"), c["after"].alias("after")),
     )
+    none = F.array().cast("array<struct<token:string,start:int,before:string,after:string>>")
+    found = found.withColumn("tokens", F.when(F.size("c_m") > 0, let(F.transform("c_g", blanks), tokens)).otherwise(none))
     return found.select(
         "doc_id",
         F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("size")).alias("key"),
         "base",
-        F.filter(tokens, lambda t: F.length(t["token"]) <= MAX_TOKEN).alias("tokens"),
+        "tokens",
     )
 
 
+def _seed(token: Column) -> Column:
+    """The first kind of which the token has a base span; null if it has none."""
+    said = lambda kind: F.exists(F.regexp_extract_all(token, F.lit(_EXPRESSIONS[kind]), F.lit(0)), lambda m: _counts(kind, m))
+    return F.coalesce(*(F.when(token.rlike(_NEEDED[kind]) & said(kind), F.lit(kind)) for kind in KINDS))
+
+
 def _occurrences(scanned: DataFrame) -> DataFrame:
-    """Candidate tokens with the kind of the base span that they touch, if any."""
-    one = scanned.select("doc_id", "key", "base", F.explode("tokens").alias("o"))
-    touching = F.filter("base", lambda s: (s["start"] < F.col("o.end")) & (s["end"] > F.col("o.start")))
-    core = F.regexp_replace("o.token", r"^[\"'(\[{<]++|[\"')\]}>.,;:!?]++$", "")
-    shape = _shape(core)
-    return one.select(
+    """Candidates with the kind of their base span, if any: their cores, where these are, and their patterns."""
+    one = scanned.select("doc_id", "key", F.explode("tokens").alias("o"))
+    cored = one.withColumn("led", F.regexp_replace("o.token", _LEAD, ""))
+    core = F.regexp_replace("led", _TAIL, "")
+    start = F.col("o.start") + F.length("o.token") - F.length("led")
+    cored = cored.select("doc_id", "key", "o", core.alias("instance"), start.alias("start"))
+    shape = _shape(F.col("instance"))
+    return cored.select(
         "doc_id",
         "key",
-        F.col("o.start").alias("start"),
-        F.col("o.end").alias("end"),
-        core.alias("instance"),
-        F.get(touching, F.lit(0))["kind"].alias("seed"),
+        "start",
+        (F.col("start") + F.length("instance")).alias("end"),
+        "instance",
+        _seed(F.col("o.token")).alias("seed"),
         F.array(
-            F.concat_ws("\u0001", F.lit("before"), F.substring_index("o.before", " ", -2), shape),
-            F.concat_ws("\u0001", F.lit("after"), F.substring_index("o.after", " ", 1), shape),
+            F.concat_ws("\u0001", F.lit("before"), "o.before", shape),
+            F.concat_ws("\u0001", F.lit("after"), "o.after", shape),
             F.concat_ws("\u0001", F.lit("shape"), F.substring_index("o.before", " ", -1), shape),
         ).alias("patterns"),
     )
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Worth of patterns per kind after ``rounds`` over the graph: pattern, kind, worth."""
+def bootstrap(occurrences: DataFrame) -> DataFrame:
+    """Worth of patterns per kind over the graph: pattern, kind, worth.
+
+    Edges are distinct pairs.  A pattern or instance that very many others share is a key
+    of inner joins alone, whose large partitions Spark splits, and of sums.
+    """
     edges = stored(
         occurrences.select(F.explode("patterns").alias("pattern"), "instance", "seed")
         .groupBy("pattern", "instance")
@@ -194,11 +212,15 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_INSTANCES)
     seeds = edges.filter("seed is not null").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
-    scores, worth = seeds, None
-    for k in range(rounds):
+    scores, known = seeds, 0
+    while True:
         mass = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
         worth = mass.join(sizes, "pattern").select("pattern", "kind", F.least(F.col("mass") / F.col("n"), F.lit(1.0)).alias("worth"))
-        worth = stored(worth.filter(F.col("worth") > 0.05), f"pii-worth-{k}")
+        worth = stored(worth.filter(F.col("worth") > 0.05), "pii-worth")
+        high = worth.filter(F.col("worth") >= MIN_WORTH).count()
+        if high <= known:
+            return worth
+        known = high
         heard = (
             edges.filter("seed is null")
             .join(worth, "pattern")
@@ -206,7 +228,6 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .agg((1 - F.exp(F.sum(F.log(1.0 - F.least("worth", F.lit(0.999)))))).alias("score"))
         )
         scores = seeds.unionByName(heard)
-    return worth
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -253,40 +274,36 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets.
 
     Overlapping spans are replaced as one, under the first one's kind.  ``n_chars``
-    is counted anew where a text changed; null texts stay null; all rows and columns stay.
+    is counted anew where a text changed; null texts stay null, empty ones empty; all
+    rows, repeated ones too, and all columns stay, whatever their names.
     """
+    doc, key, marks = (unused(n, docs.columns) for n in ("pii_doc", "pii_key", "pii_spans"))
+    said = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     found = find(docs).select(
-        F.col("doc_id").alias("pii_doc"),
-        F.col("key").alias("pii_key"),
-        F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("pii_spans"),
-    ).filter(F.size("pii_spans") > 0).distinct()
+        F.col("doc_id").alias(doc),
+        F.col("key").alias(key),
+        F.array_sort(F.transform(F.concat("base", "found"), said)).alias(marks),
+    ).filter(F.size(marks) > 0).distinct()
     text = whole_text()
-    key = F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("size"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("pii_doc")) & (key == F.col("pii_key"))
+    own = F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("size"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (own == F.col(key))
     # spans need a digit or an at sign: other texts, nearly all, stay where they are
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     joined = docs.filter(may).join(found, same, "left")
-    parts = F.aggregate(
-        "pii_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    acc["text"],
-                    F.substring("text", acc["at"] + 1, s["start"] - acc["at"]),
-                    F.lit("["),
-                    F.upper(F.regexp_replace(s["kind"], "^found_", "")),
-                    F.lit("]"),
-                ).alias("text"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["text"].alias("text"))),
-        lambda acc: F.concat(acc["text"], F.substring("text", acc["at"] + 1, F.length("text"))),
-    )
-    clean = F.when(F.col("pii_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(parts)
-    out = joined
+
+    def replaced(parts: Column, spans: Column, before: Column) -> Column:
+        def one(s: Column, at: Column) -> Column:
+            kind = F.concat(F.lit("["), F.upper(F.regexp_replace(s["kind"], "^found_", "")), F.lit("]"))
+            return F.when(s["start"] >= at, F.concat(cut(parts, at, s["start"]), kind)).otherwise(F.lit(""))
+
+        last = F.greatest(F.element_at(before, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.zip_with(spans, before, one), ""), cut(parts, last, F.length("text")))
+
+    ends = largest_before(F.transform(marks, lambda s: s["end"]))
+    clean = let(pieces(F.col("text")), lambda parts: let(ends, lambda before: let(F.col(marks), lambda spans: replaced(parts, spans, before))))
+    touched = F.col(marks).isNotNull()
+    out = joined.withColumn("text", F.when(touched, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        untouched = F.col("pii_spans").isNull() | F.col("text").isNull()
-        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.length(parts).cast("long")))
-    return out.withColumn("text", clean).select(*docs.columns).union(docs.filter(~may))
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*quoted(docs.columns)).union(docs.filter(~may))

@@ -101,3 +101,9 @@ def test_op4_equals_its_sql(spark):
     df = QUERIES["op4_chat_format"](spark, path)
     assert relation.columns == df.columns
     assert sorted(relation.fetchall()) == sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("roles", [("user", "assistant"), ("assistant", "assistant")])
+def test_a_conversation_of_very_many_turns(spark, roles):
+    rows = [(1, k, roles[k % 2], f"a{k} </s>") for k in range(50_000)]
+    assert _got(chat.digests(chat.format_conversations(spark.createDataFrame(rows, TURNS)))) == _want(rows)

@@ -105,3 +105,71 @@ def test_redaction(contexts, odd_docs):
     odd = pii.redact(odd_docs)
     assert odd.columns == odd_docs.columns
     assert sorted(map(str, odd.collect())) == sorted(map(str, odd_docs.collect()))
+
+
+def test_octets_of_zeros(spark):
+    """0 and its like, in each place."""
+    texts = {}
+    for octet in ("0", "00", "000", "0255", "255", "256", "0256", "999", "01", "1000", "00000000000000000000000000000007"):
+        for place in range(4):
+            parts = ["10", "2", "30", "4"]
+            parts[place] = octet
+            texts[len(texts)] = f"at {'.'.join(parts)} it is"
+    texts |= {100: "0.0.0.0", 101: "127.0.0.1 and 10.0.0.1, 10.0.0.0/8", 102: "00.00.00.00.0"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    rows = pii.digests(pii.find(docs)).collect()
+    _check(rows, texts)
+    assert {r.doc_id: r.n_ip for r in rows}[101] == 3
+
+
+def test_texts_of_very_many_candidates(spark):
+    """Far more than a quadratic expression gets through in the time of this test."""
+    texts = {
+        0: " ".join(f"u{k}@b.co" for k in range(40_000)),
+        1: " ".join(f"1.2.{k % 300}.0" for k in range(40_000)),
+        2: " ".join(f"w x{k}" for k in range(40_000)) + "." * 50_000 + "1",
+        3: "é\U0001f600" * 30_000 + " a@b.cd " + "\U0001f600" * 3_000 + "+1 555 555 0100",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    _check(pii.digests(pii.find(docs)).collect(), texts)
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[0] == " ".join(["[EMAIL]"] * 40_000) and not _base(out[1])
+    assert out[3] == "é\U0001f600" * 30_000 + " [EMAIL] " + "\U0001f600" * 3_000 + "[PHONE]"
+
+
+def test_candidates_hold_whole_numbers(spark):
+    text = 'x 4111 1111-1111 1111, (a@b.cd) id=77;"k":"+1 (555) 555-0100." 5\t6 7'
+    scanned = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    rows = pii._occurrences(scanned).collect()
+    assert [(r.instance, r.seed) for r in rows] == [
+        ("4111 1111-1111 1111", "card"), ("a@b.cd", "email"), ("77", None), ("+1 (555) 555-0100", "phone"), ("5", None), ("6 7", None),
+    ]
+    assert all(text[r.start : r.end] == r.instance for r in rows)
+
+
+def test_redaction_leaves_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ["pii_doc", "pii_key", "pii_spans", "base", "found", "tokens", "key", "d", "k", "s", "a.b"]
+    docs = spark.createDataFrame([(1, "mail a@b.cd now"), (1, "mail a@b.cd now"), (1, "another"), (None, "1.2.3.4")], "doc_id long, text string")
+    docs = docs.withColumns({n: F.lit("x") for n in names}).withColumn("n_chars", F.length("text"))
+    out = pii.redact(docs)
+    assert out.schema.names == docs.schema.names
+    rows = out.collect()
+    assert sorted(r.text for r in rows) == ["[IP]", "another", "mail [EMAIL] now", "mail [EMAIL] now"]
+    assert all(r[n] == "x" for r in rows for n in names) and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_running_folds():
+    import numpy as np
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    from driftloom.llm import arrays
+
+    rng = np.random.default_rng(1)
+    rows = [(rng.integers(0, 50, n).tolist(),) for n in (0, 1, 63, 64, 65, 4096, 4097, 20_000)]
+    df = SparkSession.getActiveSession().createDataFrame(rows, "v array<int>")
+    for v, sums, most in df.select("v", arrays.sums_before(F.col("v")), arrays.largest_before(F.col("v"))).collect():
+        assert sums == np.append(0, np.cumsum(v)[:-1]).astype(int).tolist()[: len(v)]
+        assert most == np.append(0, np.maximum.accumulate(v)[:-1] if v else []).astype(int).tolist()[: len(v)]
