@@ -131,7 +131,8 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _shape(token: Column) -> Column:
-    shape = F.regexp_replace(token, "[0-9]+", "9")
+    """Digits keep their number, which tells a card from a year; runs of letters don't."""
+    shape = F.regexp_replace(token, "[0-9]", "9")
     shape = F.regexp_replace(shape, r"[\p{Lu}]+", "A")
     return F.regexp_replace(shape, r"[\p{Ll}]+", "a")
 
