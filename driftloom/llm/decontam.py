@@ -1,13 +1,20 @@
 """Benchmark decontamination: a BM25 index of test items, searched by block-max WAND.
 
-Every passage of every training text is a query.  Passages are windows of words, long
-and close enough that each item lies whole in one of them.  An item's score is that of
-BM25 over the item's own terms that the passage has, as a share of the item's score
-against itself.  All items at ``SCORE`` or above are retrieved and verified by the
-overlap of their five-word shingles, for question and answer.
+Every passage of every training text is a query.  Passages are windows of words, three
+times as long as the longest item and one such length apart, so a copy of an item lies
+whole in one of them, also where edits have made it twice as long.  An item's score is
+that of BM25 over the item's own terms that the passage has, as a share of the item's
+score against itself.  All items at their thresholds or above are retrieved and verified
+by the overlap of their five-word shingles, for question and answer, with the passage
+and as much text again as an item's length on both sides.
+
+An item's threshold is the least score that an overlap of 0.8 can leave it: a word can't
+be missing without a shingle of its own missing, the one that ends or begins with it on
+the side of what is left; so no more words are missing than shingles may be, and at worst
+those of the largest impacts.
 
 The terms are split as in MaxScore: frequent ones, which together can't bring any item
-above half the threshold, don't generate candidates; block-max WAND runs over the
+above half its threshold, don't generate candidates; block-max WAND runs over the
 others with the threshold less that half, and the score is completed for what it finds.
 Windows whose largest possible score is too small are left out by arithmetic on arrays.
 """
@@ -16,7 +23,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -25,16 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import limit_threads, whole_text, wider
+from driftloom.llm.common import limit_threads, stored, whole_text, wider
 from driftloom.llm.neardup import SHINGLE, THRESHOLD
 from driftloom.llm.words import Words, grouped, mix
 
 K1, B = 1.2, 0.75
-#: Share of its own score that an item must reach to be retrieved.
-SCORE = 0.6
 BLOCK = 64
-#: Items of fewer words can't tell a leak.
-LEAST_WORDS = 5
+#: Items of fewer words than a shingle leak where they are a text's only words.
+LEAST_WORDS = SHINGLE
 #: Characters of items that one index holds; more items make more indexes.
 INDEX_CHARS = 32 << 20
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -68,6 +73,14 @@ class Item:
     impacts: dict[int, float]
     #: Shingles of the whole, the question, the answer, and their size in words.
     parts: list[tuple[int, np.ndarray]] = field(default_factory=list)
+    #: Share of its own score below which the item can't be verified.
+    least: float = 1.0
+
+    def set_least(self) -> None:
+        missing = [int(len(wanted) * (1 - THRESHOLD) + 1e-9) for _, wanted in self.parts]
+        largest = sorted(self.impacts.values(), reverse=True)
+        # some word is left, whatever is missing
+        self.least = max(1.0 - sum(largest[: max(missing[0], missing[1] + missing[2])]), largest[-1]) - 1e-9
 
 
 @dataclass
@@ -76,11 +89,13 @@ class Index:
     #: Sorted hashes of the terms that generate candidates, and their largest impacts.
     terms: np.ndarray
     most: np.ndarray
-    #: Per such term: item numbers, impacts, last item and largest impact of each block.
+    #: Per such term: item numbers, impacts as shares of the item's threshold, last item and largest impact of each block.
     postings: list[tuple[list[int], list[float], list[int], list[float]]]
-    #: Threshold for the terms that generate candidates.
+    #: Threshold, as a share, for the terms that generate candidates.
     rest: float
-    window: int
+    step: int
+    #: Items too short for shingles, by their number of words and the hash of these.
+    short: dict[tuple[int, int], list[int]]
 
     def __post_init__(self) -> None:
         self.filter = np.zeros(1 << 20, bool)
@@ -111,8 +126,13 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
             hashes = Words([part], digits=True).hashes()
             size = min(SHINGLE, len(hashes))
             item.parts.append((size, np.unique(grams(hashes, size))))
+        item.set_least()
         items.append(item)
-    # frequent terms leave the candidate search while no item can owe them half the threshold
+    short: dict[tuple[int, int], list[int]] = {}
+    for k in np.flatnonzero((words.counts > 0) & (words.counts < LEAST_WORDS)).tolist():
+        n = int(words.counts[k])
+        short.setdefault((n, int(grams(h[words.firsts[k] : words.firsts[k] + n], n)[0])), []).append(rows[k][0])
+    # frequent terms leave the candidate search while no item can owe them half its threshold
     owed, frequent = np.zeros(len(items)), set()
     where: dict[int, list[int]] = {}
     for k, item in enumerate(items):
@@ -121,21 +141,21 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
     for t in sorted(df, key=lambda t: (-df[t], t)):
         if df[t] < 2:
             break
-        more = np.array([items[k].impacts[t] for k in where[t]])
-        if (owed[where[t]] + more).max() <= SCORE / 2:
+        more = np.array([items[k].impacts[t] / items[k].least for k in where[t]])
+        if (owed[where[t]] + more).max() <= 0.5:
             owed[where[t]] += more
             frequent.add(t)
     terms = np.array(sorted(set(df) - frequent), dtype=np.uint64)
     postings = []
     for t in terms.tolist():
-        impacts = [items[k].impacts[t] for k in where[t]]
+        impacts = [items[k].impacts[t] / items[k].least for k in where[t]]
         blocks = range(0, len(impacts), BLOCK)
         postings.append(
             (where[t], impacts, [where[t][min(b + BLOCK, len(impacts)) - 1] for b in blocks], [max(impacts[b : b + BLOCK]) for b in blocks])
         )
     most = np.array([max(p[1]) for p in postings])
     longest = max((len(own[k]) for k in kept), default=1)
-    return Index(items, terms, most, postings, SCORE - float(owed.max(initial=0.0)), 2 * max(32, longest))
+    return Index(items, terms, most, postings, 1.0 - float(owed.max(initial=0.0)), max(32, longest), short)
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[int]:
@@ -192,14 +212,13 @@ def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[int
                     seek(c, item)
 
 
-def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last word of each passage, and its text."""
-    step = window // 2
-    per_text = np.where(words.counts > 0, np.maximum(1, -(-(words.counts - step) // step)), 0)
+def _windows(words: Words, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and the one after the last of each passage of three steps, and its text."""
+    per_text = np.where(words.counts > 0, np.maximum(1, -(-(words.counts - 2 * step) // step)), 0)
     doc = np.repeat(np.arange(words.n_texts), per_text)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     begin = words.firsts[doc] + k * step
-    return begin, np.minimum(begin + window, words.firsts[doc] + words.counts[doc]), doc
+    return begin, np.minimum(begin + 3 * step, words.firsts[doc] + words.counts[doc]), doc
 
 
 def find_leaks(index: Index, texts: list[str]) -> list[tuple[int, int, float, float, float, float]]:
@@ -208,9 +227,15 @@ def find_leaks(index: Index, texts: list[str]) -> list[tuple[int, int, float, fl
     An item counts once in a text, with its best passage.
     """
     best: dict[tuple[int, int], tuple] = {}
-    for a, b in grouped(texts) if len(index.terms) else ():
+    for a, b in grouped(texts) if index.items or index.short else ():
         words = Words(texts[a:b], digits=True)
         h = words.hashes()
+        for doc in np.flatnonzero((words.counts > 0) & (words.counts < LEAST_WORDS)).tolist() if index.short else ():
+            n = int(words.counts[doc])
+            for item_id in index.short.get((n, int(grams(h[words.firsts[doc] : words.firsts[doc] + n], n)[0])), ()):
+                best[a + doc, item_id] = (1.0,) * 4
+        if not index.items:
+            continue
         likely = np.flatnonzero(index.filter[(h >> np.uint64(44)).astype(np.int64)])
         term = np.searchsorted(index.terms, h[likely])
         term[term == len(index.terms)] = 0
@@ -219,7 +244,7 @@ def find_leaks(index: Index, texts: list[str]) -> list[tuple[int, int, float, fl
         gain = np.zeros(len(h) + 1)
         gain[at + 1] = index.most[term]
         sums = np.cumsum(gain)
-        begin, end, doc = _windows(words, index.window)
+        begin, end, doc = _windows(words, index.step)
         for w in np.flatnonzero(sums[end] - sums[begin] >= index.rest - 1e-9).tolist():
             lo, hi = np.searchsorted(at, (begin[w], end[w]))
             own = np.unique(term[lo:hi]).tolist()
@@ -227,14 +252,16 @@ def find_leaks(index: Index, texts: list[str]) -> list[tuple[int, int, float, fl
             if not items:
                 continue
             have = set(h[begin[w] : end[w]].tolist())
+            first = words.firsts[doc[w]]
+            low, high = max(begin[w] - index.step, first), min(end[w] + index.step, first + words.counts[doc[w]])
             for k in items:
                 item = index.items[k]
                 score = sum(x for t, x in item.impacts.items() if t in have)
-                if score < SCORE:
+                if score < item.least:
                     continue
                 shares = []
                 for size, wanted in item.parts:
-                    got = grams(h[begin[w] : end[w]], size)
+                    got = grams(h[low:high], size)
                     shares.append(float(np.isin(wanted, got).mean()) if len(wanted) else 1.0)
                 whole, question, answer = shares
                 if whole >= THRESHOLD or (question >= THRESHOLD and answer >= THRESHOLD):
@@ -243,66 +270,81 @@ def find_leaks(index: Index, texts: list[str]) -> list[tuple[int, int, float, fl
     return [(*key, *value) for key, value in best.items()]
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of all items of ``benchmark`` (item_id, text), each of a bounded size.
+def indexes(benchmark: DataFrame) -> tuple[int, Iterator[Index]]:
+    """Indexes of all items of ``benchmark`` (item_id, text), each of a bounded size: how many, and one after another.
 
     Items are dealt to indexes by a hash, as many as their characters need.
     """
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + int(size // INDEX_CHARS)
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        yield build_index([(r["item_id"], r["text"]) for r in rows])
+
+    def build() -> Iterator[Index]:
+        for k in range(shards):
+            rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
+            yield build_index([(r["item_id"], r["text"]) for r in rows])
+
+    return shards, build()
+
+
+def _pass(docs: DataFrame, index: Index, run: Callable, schema: object, last: bool) -> DataFrame:
+    """One pass of an index over ``docs``.  Of several, each ends before the next index is broadcast."""
+    own = docs.sparkSession.sparkContext.broadcast(index)
+    out = docs.mapInArrow(lambda batches: run(own.value, batches), schema)
+    if not last:
+        out = stored(out, "leaks")
+        own.destroy()
+    return out
 
 
 _LEAKS = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Leaks of ``benchmark`` (item_id, text) in every whole ``text`` of ``docs``, a row per text and item.
+def _leak_rows(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    limit_threads()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            found = find_leaks(index, batch.column("text").to_pylist())
+            ids = batch.column("doc_id").to_pylist()
+            columns = list(zip(*((ids[x[0]], *x[1:]) for x in found), strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _LEAKS.split(", ")]
+            )
 
-    Null and empty texts, and items of fewer than five words, have none.  Rows that
-    repeat are searched each for itself; a null doc_id stays null; items of one text
-    are all reported.  Other columns are left out.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
 
-    def one(index: Index) -> DataFrame:
-        own = docs.sparkSession.sparkContext.broadcast(index)
+def _clean_rows(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    limit_threads()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            clean = np.ones(len(texts), bool)
+            clean[[x[0] for x in find_leaks(index, texts)]] = False
+            yield batch.filter(pa.array(clean))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            limit_threads()
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    found = find_leaks(own.value, batch.column("text").to_pylist())
-                    ids = batch.column("doc_id").to_pylist()
-                    columns = list(zip(*((ids[x[0]], *x[1:]) for x in found), strict=True)) or [()] * 6
-                    kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _LEAKS.split(", ")]
-                    )
 
-        return rows.mapInArrow(run, _LEAKS)
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Leaks of ``benchmark`` (item_id, text) in every whole ``text`` of ``docs``, a row per text and item.
 
-    return reduce(DataFrame.union, map(one, indexes(benchmark)))
+    Null and empty texts and items have none; an item of fewer than five words leaks
+    where a text has just these words.  Rows that repeat are searched each for itself; a
+    null doc_id stays null; items of one text are all reported.  Other columns are left
+    out, whatever their names; no rows or no items, no result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    shards, built = indexes(benchmark)
+    return reduce(DataFrame.union, (_pass(rows, index, _leak_rows, _LEAKS, shards == 1) for index in built))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak; all columns stay as they are."""
-    for index in indexes(benchmark):
-        own = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            limit_threads()
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    texts = [t or "" for t in batch.column("text").to_pylist()]
-                    clean = np.ones(len(texts), bool)
-                    clean[[x[0] for x in find_leaks(own.value, texts)]] = False
-                    yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, wider(docs.schema))
+    """The rows of ``docs`` without a leak.
+
+    Null and empty texts stay, and so do repeated rows; all columns stay as they are,
+    whatever their names.  Without items all rows stay.
+    """
+    shards, built = indexes(benchmark)
+    for k, index in enumerate(built):
+        docs = _pass(docs, index, _clean_rows, wider(docs.schema), k == shards - 1)
     return docs

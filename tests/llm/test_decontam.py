@@ -29,6 +29,8 @@ def _brute(docs, items):
         words = _words(text)
         for i, item in items:
             if len(_words(item)) < 5:
+                if _words(item) and _words(item) == words:
+                    out.add((d, i))
                 continue
             q, a = decontam.split_item(item)
             if _overlap(item, words) >= 0.8 or (_overlap(q, words) >= 0.8 and _overlap(a, words) >= 0.8):
@@ -44,7 +46,7 @@ def test_op10_whole_table(spark, sf):
     rows = QUERIES["op10_bm25_decontamination"](spark, path).collect()
     got = {(r.doc_id, r.item_id) for r in rows}
     assert len(got) == len(rows) and got == _brute(docs, items) and got
-    assert all(r.score >= decontam.SCORE for r in rows)
+    assert all(0 < r.score <= 1 + 1e-9 for r in rows)
 
 
 def test_wand_finds_what_full_scores_find():
@@ -57,7 +59,7 @@ def test_wand_finds_what_full_scores_find():
         own = sorted(rng.sample(range(len(index.terms)), rng.randint(1, min(60, len(index.terms)))))
         threshold = rng.choice([0.05, 0.2, 0.4])
         keys = [int(index.terms[t]) for t in own]
-        want = [k for k, item in enumerate(index.items) if sum(item.impacts.get(t, 0.0) for t in keys) >= threshold - 1e-9]
+        want = [k for k, item in enumerate(index.items) if sum(item.impacts.get(t, 0.0) / item.least for t in keys) >= threshold - 1e-9]
         assert decontam.block_max_wand(index, own, threshold) == want
 
 
@@ -79,7 +81,7 @@ def test_edited_and_cut_items(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()}
-    assert got == _brute(docs, [i for i in items if i[1]]) and len(got) == 21
+    assert got == _brute(docs, [i for i in items if i[1]]) and len(got) == 22 and (201, 101) in got
     kept = {r.doc_id for r in decontam.keep_clean(d, b).collect()}
     assert kept == {k for k, _ in docs} - {k for k, _ in got}
 
@@ -100,8 +102,31 @@ def test_many_indexes_find_the_same(spark, monkeypatch):
     path = "/root/testdata/sf0.001"
     docs, items = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
     one = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+    clean = {r.doc_id for r in decontam.keep_clean(docs, items).collect()}
     monkeypatch.setattr(decontam, "INDEX_CHARS", 2_000)
+    assert decontam.indexes(items)[0] > 1
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == one
+    assert {r.doc_id for r in decontam.keep_clean(docs, items).collect()} == clean
+
+
+def test_cut_items_of_unequal_words(spark):
+    """Cuts that leave 0.8 of the shingles but take the rare words, the most of the BM25 weight."""
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(12)]
+    items = []
+    for k in range(40):
+        words = rng.choices(common, k=64)
+        items.append((k, " ".join(words[:48] + [f"rare{k}x{j}" for j in range(12)] + words[48:52])))
+    items.append((50, "the short one"))
+    docs = [(k, " ".join(rng.choices(common, k=rng.randint(0, 300)) + t.split()[: 64 - 12] + rng.choices(common, k=90))) for k, t in items]
+    docs += [(100 + k, " ".join(t.split()[:48])) for k, t in items] + [(200, "The short, ONE!"), (201, "the short one more")]
+    long = [" ".join(t.split()[:30] + [f"in{j}" for j in range(60)] + t.split()[30:]) for _, t in items[:9]]
+    docs += [(300 + k, " ".join(rng.choices(common, k=17 * k) + t.split())) for k, t in enumerate(long)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()}
+    assert got == _brute(docs, items) and (200, 50) in got and (201, 50) not in got
+    assert {x for x, _ in got} >= {300 + k for k in range(9)}
 
 
 def test_grams_are_of_runs():
