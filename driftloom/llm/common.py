@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -72,6 +74,18 @@ def quoted(names: list[str]) -> list[str]:
     return [f"`{n.replace('`', '``')}`" for n in names]
 
 
+def map_rows(docs: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, dots and blanks included."""
+    names = docs.columns
+    plain = StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns(plain.names)
+
+    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

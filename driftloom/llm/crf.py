@@ -6,8 +6,10 @@ all hashed into one table of weights per label.  Transitions between labels are
 learned with them.  Training is by stochastic gradients of the conditional
 log-likelihood; labels come from forward-backward marginals.
 
-Whole texts are labelled.  A chain is at most ``CHAIN`` words; a longer text is
-several chains, one after another.
+Whole texts are labelled, each as one chain.  Its words are dealt to blocks of ``CHAIN``
+that are worked on side by side; the messages between a long text's blocks come from the
+products of all their steps, so the marginals are those of the whole chain.  Training
+chains are of one block.
 """
 
 from __future__ import annotations
@@ -89,16 +91,16 @@ class Model:
         """Label probabilities of each word; ``counts`` words belong to each text."""
         if not len(emissions):
             return emissions
-        chains, place = chain_places(counts)
-        grid = np.zeros((CHAIN, chains, emissions.shape[1]), np.float32)
+        blocks, place = chain_places(counts)
+        grid = np.zeros((CHAIN, blocks, emissions.shape[1]), np.float32)
         grid[place[1], place[0]] = emissions
-        used = np.zeros((CHAIN, chains), bool)
+        used = np.zeros((CHAIN, blocks), bool)
         used[place[1], place[0]] = True
-        return forward_backward(grid, used, self.transitions, self.begin)[place[1], place[0]]
+        return forward_backward(grid, used, self.transitions, self.begin, -(-counts // CHAIN))[place[1], place[0]]
 
 
 def chain_places(counts: np.ndarray) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
-    """Deals the words of texts to chains: how many, and each word's (chain, step)."""
+    """Deals the words of texts to blocks: how many, and each word's (block, step)."""
     per_text = -(-counts // CHAIN)
     firsts = np.concatenate([[0], np.cumsum(counts)])[:-1]
     within = np.arange(int(counts.sum())) - np.repeat(firsts, counts)
@@ -106,22 +108,60 @@ def chain_places(counts: np.ndarray) -> tuple[int, tuple[np.ndarray, np.ndarray]
     return int(per_text.sum()), (np.repeat(first_chain, counts) + within // CHAIN, within % CHAIN)
 
 
-def forward_backward(grid: np.ndarray, used: np.ndarray, transitions: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Marginals for scores (step, chain, label); chains end where ``used`` does.
+def _seams(
+    e: np.ndarray, used: np.ndarray, move: np.ndarray, begin: np.ndarray, blocks: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Messages into each block from the left (before its first scores) and from the right.
 
-    Messages are scaled at each step, which leaves marginals as they are.
+    ``blocks`` in a row belong to each chain.
+    """
+    n = e.shape[2]
+    left, right = np.tile(begin, (e.shape[1], 1)), np.ones((e.shape[1], n), e.dtype)
+    in_chain = np.repeat(blocks, blocks)
+    rank = np.arange(len(in_chain)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    long = np.flatnonzero(in_chain > 1)
+    if not len(long):
+        return left, right
+    # a block's steps as one matrix: its first scores, then a move and the scores of each further step
+    through = np.eye(n, dtype=e.dtype) * e[0, long][:, None, :]
+    for t in range(1, len(e)):
+        further = (through.reshape(-1, n) @ move).reshape(-1, n, n) * e[t, long][:, None, :]
+        through = np.where(used[t, long][:, None, None], further, through)
+        through /= through.sum(axis=(1, 2), keepdims=True)
+    place = np.zeros(len(in_chain), np.int64)
+    place[long] = np.arange(len(long))
+    order = np.argsort(rank[long], kind="stable")
+    waves = np.split(long[order], np.cumsum(np.bincount(rank[long]))[:-1])
+    for now in waves[1:]:
+        message = np.einsum("bi,bij->bj", left[now - 1], through[place[now - 1]]) @ move
+        left[now] = message / message.sum(axis=1, keepdims=True)
+    for now in waves[:0:-1]:
+        message = np.einsum("bij,bj->bi", through[place[now]], right[now]) @ move.T
+        right[now - 1] = message / message.sum(axis=1, keepdims=True)
+    return left, right
+
+
+def forward_backward(
+    grid: np.ndarray, used: np.ndarray, transitions: np.ndarray, begin: np.ndarray, blocks: np.ndarray | None = None
+) -> np.ndarray:
+    """Marginals for scores (step, block, label); chains end where ``used`` does.
+
+    ``blocks`` in a row belong to each chain, all but the last of them full; without it
+    each block is a chain.  Messages are scaled at each step, which leaves marginals as
+    they are.
     """
     steps = len(grid)
     e = np.exp(grid - grid.max(axis=2, keepdims=True))
     e[~used] = 1.0
     move = np.exp(transitions - transitions.max()).astype(np.float32)
+    first = np.exp(begin - begin.max()).astype(np.float32)
+    left, beta = _seams(e, used, move, first, np.ones(grid.shape[1], np.int64) if blocks is None else blocks)
     alpha = np.empty_like(e)
-    a = np.exp(begin - begin.max()).astype(np.float32) * e[0]
+    a = left * e[0]
     alpha[0] = a / a.sum(axis=1, keepdims=True)
     for t in range(1, steps):
         a = (alpha[t - 1] @ move) * e[t]
         alpha[t] = a / a.sum(axis=1, keepdims=True)
-    beta = np.ones_like(e[0])
     back = move.T
     for t in range(steps - 1, -1, -1):
         gamma = alpha[t] * beta

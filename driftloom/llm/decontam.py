@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from driftloom.llm.common import limit_threads, stored, whole_text, wider
+from driftloom.llm.common import limit_threads, map_rows, stored, whole_text, wider
 from driftloom.llm.neardup import SHINGLE, THRESHOLD
 from driftloom.llm.words import Words, grouped, mix
 
@@ -287,17 +288,19 @@ def indexes(benchmark: DataFrame) -> tuple[int, Iterator[Index]]:
     return shards, build()
 
 
-def _pass(docs: DataFrame, index: Index, run: Callable, schema: object, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, index: Index, run: Callable, schema: StructType, last: bool) -> DataFrame:
     """One pass of an index over ``docs``.  Of several, each ends before the next index is broadcast."""
     own = docs.sparkSession.sparkContext.broadcast(index)
-    out = docs.mapInArrow(lambda batches: run(own.value, batches), schema)
+    out = map_rows(docs, lambda batches: run(own.value, batches), schema)
     if not last:
         out = stored(out, "leaks")
         own.destroy()
     return out
 
 
-_LEAKS = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+_LEAKS = wider(
+    StructType(), doc_id="long", item_id="long", score="double", overlap="double", question_overlap="double", answer_overlap="double"
+)
 
 
 def _leak_rows(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +313,7 @@ def _leak_rows(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             columns = list(zip(*((ids[x[0]], *x[1:]) for x in found), strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _LEAKS.split(", ")]
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _LEAKS.names
             )
 
 

@@ -8,7 +8,7 @@ over its words; the score is that sum's share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm import crf
-from driftloom.llm.common import limit_threads, wider
+from driftloom.llm.common import limit_threads, map_rows, quoted, unused, wider
 from driftloom.llm.words import Words, grouped
 
-#: Documents of each language that a model is fitted on, about; languages at most.
+#: Documents of each language that a model is fitted on, about.  Every language is learned.
 TRAIN_PER_LANGUAGE = 300
-MAX_LANGUAGES = 64
-#: Words of the sample that chains are spliced from, of each language.
-TRAIN_WORDS = 60_000
+#: Words of the training chains that are spliced from the sample: of all languages, and of each at most and at least.
+TRAIN_WORDS, MOST_TRAIN_WORDS, LEAST_TRAIN_WORDS = 240_000, 60_000, 2_000
 UNDETERMINED = "und"
 
 
@@ -32,13 +31,13 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def drawn(known: DataFrame, label: str, per_label: int, most_labels: int) -> DataFrame:
+def drawn(known: DataFrame, label: str, per_label: int) -> DataFrame:
     """About ``per_label`` rows of each label, the same on every run; never more than twice as many.
 
-    Rows of ``known`` are taken by a hash of their doc_id against the label's share;
-    labels beyond the ``most_labels`` most frequent are left out.
+    Rows of ``known`` are taken by a hash of their doc_id against the label's share.  So
+    the sample is bounded by the number of labels, of which a model has a row of weights each.
     """
-    sizes = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    sizes = known.groupBy(label).count().orderBy(label).collect()
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, per_label / r["count"]))).otherwise(share)
@@ -77,11 +76,12 @@ def spliced_chains(words: Words, tag_of_doc: np.ndarray, n_labels: int, per_labe
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> crf.Model:
     """Fit on a sample of the rows of ``docs`` (doc_id, text, lang) with a text and a language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rows = in_order(drawn(known, "lang", per_language, MAX_LANGUAGES).collect(), "lang")
+    rows = in_order(drawn(known, "lang", per_language).collect(), "lang")
     labels = sorted({r["lang"] for r in rows})
     words = Words([r["text"] for r in rows])
     tag_of_doc = np.array([labels.index(r["lang"]) for r in rows], dtype=np.int64)
-    chains, tags = spliced_chains(words, tag_of_doc, len(labels), TRAIN_WORDS)
+    per_label = max(LEAST_TRAIN_WORDS, min(MOST_TRAIN_WORDS, TRAIN_WORDS // max(1, len(labels))))
+    chains, tags = spliced_chains(words, tag_of_doc, len(labels), per_label)
     return crf.fit(words, chains, tags, labels)
 
 
@@ -107,14 +107,16 @@ def label_texts(model: crf.Model, texts: list[str]) -> tuple[list[str], np.ndarr
     return names, np.where([x != UNDETERMINED for x in names], np.clip(score, 0, 1), 0.0), switches
 
 
-def predict(docs: DataFrame, model: crf.Model) -> DataFrame:
+ADDED = ("lang_pred", "lang_score", "lang_switches")
+
+
+def predict(docs: DataFrame, model: crf.Model, names: Sequence[str] = ADDED) -> DataFrame:
     """Adds lang_pred, lang_score, lang_switches to every row of ``docs``, from ``text`` alone.
 
     A null text, one without letters, or a model without labels gives ``und`` with
-    score 0.  All rows and columns stay, repeated ones too; columns of these three
-    names are replaced.
+    score 0.  All rows and columns stay, repeated ones too; columns of the three
+    ``names`` are replaced.
     """
-    names = ("lang_pred", "lang_score", "lang_switches")
     kept = docs.drop(*names)
     own = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -130,15 +132,17 @@ def predict(docs: DataFrame, model: crf.Model) -> DataFrame:
                     [*batch.schema.names, *names],
                 )
 
-    schema = wider(kept.schema, lang_pred="string", lang_score="double", lang_switches="long")
-    return kept.mapInArrow(run, schema)
+    schema = wider(kept.schema, **dict(zip(names, ("string", "double", "long"), strict=True)))
+    return map_rows(kept, run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Language of every row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
     Learns from rows whose id isn't held out (remainder 2 of 4) and whose lang is known.
-    A null id is neither held out nor learned from.
+    A null id is neither held out nor learned from.  A null or empty text, and any text
+    where nothing could be learned, is ``und`` with score 0.  Rows that repeat each have
+    their row; other columns are left out, whatever their names; no rows, no result.
     """
     held = remainder("doc_id", 4) == 2
     model = fit(docs.select("doc_id", "text", "lang").filter(~held))
@@ -147,13 +151,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose words are mostly of one language.
+    """The rows of ``docs`` (doc_id, text, lang) whose words are mostly of one language.
 
     Rows whose text is null, has no letters, or whose best language has less than
-    ``least`` of the words go.  All columns stay.
+    ``least`` of the words go; without a labelled row all do.  Repeated rows stay
+    together; all columns stay as they are, whatever their names.
     """
     model = fit(docs.select("doc_id", "text", "lang"))
-    found = predict(docs, model)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*docs.columns)
-
-
+    names = [unused(n, docs.columns) for n in ADDED]
+    lang, score, _ = quoted(names)
+    found = predict(docs, model, names)
+    return found.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*quoted(docs.columns))

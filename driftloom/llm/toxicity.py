@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from driftloom.llm import crf
-from driftloom.llm.common import limit_threads, wider
+from driftloom.llm.common import limit_threads, map_rows, wider
 from driftloom.llm.langid import drawn, in_order, remainder
 from driftloom.llm.words import Words, grouped
 
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) ->
 
     The sample's ids, ``4 * per_label`` at most, go to the texts.
     """
-    ids = drawn(labels.filter(F.col("toxic").isin(0, 1)), "toxic", per_label, 2)
+    ids = drawn(labels.filter(F.col("toxic").isin(0, 1)), "toxic", per_label)
     found = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
     rows = in_order(found.limit(4 * per_label).collect(), "toxic")
     words = Words([r["text"] for r in rows])
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 )
 
     span = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
-    return kept.mapInArrow(run, wider(kept.schema, tox_score="double", tox_spans=span))
+    return map_rows(kept, run, wider(kept.schema, tox_score="double", tox_spans=span))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,7 +217,9 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learns from ``labels`` (doc_id, toxic) whose id isn't held out (remainder 0 of 5).
     Repeated labels of an id count once, a disputed one as toxic; a null id is neither
-    held out nor learned from.
+    held out nor learned from.  A null text counts as empty, and has no spans.  Rows that
+    repeat each have their row; other columns are left out, whatever their names; no rows
+    of ``docs``, no result, and without labels a score says only that nothing was learned.
     """
     held = remainder("doc_id", 5) == 0
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

@@ -34,7 +34,11 @@ def clashing_docs(odd_docs):
     """Extra columns with the names that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = "part row rank length tokens start file_no n base window key band h w t s id score label value count words".split()
+    names = (
+        "part row rank length tokens start file_no n base window key band h w t s id score label value count words doc node "
+        "component h1 h2 sig size pii_doc pii_key pii_spans found lang_pred lang_score lang_switches tox_score tox_spans "
+        "driftloom_doc unit p at last total pieces sequence_id offset a.b c0"
+    ).split()
     return odd_docs.withColumns({n: F.lit("x") for n in names})
 
 

@@ -49,6 +49,42 @@ def test_forward_backward_against_all_paths():
     np.testing.assert_allclose(pair, pairs, rtol=1e-4)
 
 
+def test_long_texts_are_one_chain(monkeypatch):
+    """Marginals don't depend on how a text's words are dealt to blocks."""
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 5):
+        counts = np.array([1, 4, 5, 0, 8, 29, 40, 3, 12])
+        model = crf.Model([""] * n, np.zeros((n, 1)), 2 * rng.normal(size=(n, n)).astype(np.float32), rng.normal(size=n).astype(np.float32))
+        scores = rng.normal(size=(int(counts.sum()), n)).astype(np.float32)
+        want = model.marginals(scores, counts)
+        for size in (1, 2, 4, 7):
+            monkeypatch.setattr(crf, "CHAIN", size)
+            np.testing.assert_allclose(model.marginals(scores, counts), want, atol=1e-5)
+        monkeypatch.undo()
+
+
+def test_op5_learns_every_language(spark):
+    """Far more languages than any table of codes in common use has in one corpus."""
+    rng = np.random.default_rng(6)
+    letters = [chr(x) for x in range(ord("a"), ord("z") + 1)]
+    rows = []
+    for lang in range(70):
+        words = ["".join(rng.choice(letters, 6)) for _ in range(8)]
+        rows += [(10 * lang + k, " ".join(rng.choice(words, 12)), f"l{lang}") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert np.mean([got[d] == lang for d, _, lang in rows]) > 0.95
+
+
+def test_identified_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "the words of a text", "en"), (2, "die worte des textes", "de")], "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    docs = docs.withColumns({n: F.lit("KEEP") for n in (*langid.ADDED, "a.b")})
+    rows = langid.keep_identified(docs).collect()
+    assert len(rows) == 2 and all(r[n] == "KEEP" for r in rows for n in (*langid.ADDED, "a.b"))
+
+
 def test_op5_held_out_accuracy(spark):
     truth = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op5_language_crf"](spark, SF).collect()
