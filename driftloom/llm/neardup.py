@@ -13,9 +13,10 @@ first point.  Two texts' registers agree with the probability of their similarit
 Nodes that share a band of registers meet in a bucket.  First each node is compared with
 the largest hub of its buckets, which joins most of a large group of copies.  In the
 buckets that still hold several components, the strays (nodes outside the largest hub's
-component) meet all members, in blocks of bounded size.  A block compares registers,
-decides the pairs that agree enough by their exact multisets, most alike first, and
-passes over pairs that its links already connect.  So each pair of a bucket whose
+component) meet all members, in blocks of bounded size.  A block first compares
+registers and lets go of nodes without a likely partner.  The others get their texts;
+the block decides the pairs that agree enough by their exact multisets, most alike
+first, and passes over pairs that its links already connect.  So each pair of a bucket whose
 registers agree enough is decided or within one component, nothing is capped, and what
 leaves a block is at most one link for each of its nodes.
 """
@@ -304,22 +305,51 @@ def _blocks(members: DataFrame, data: DataFrame) -> DataFrame:
     own = ("node", "component", *(c for c in data.columns if c != "node"))
     against = rows.select("band", at("n_i", 1).alias("i"), every("n_j").alias("j"), *own, F.lit(False).alias("stray"))
     strays = rows.filter("stray").select("band", every("n_i").alias("i"), at("n_j", 2).alias("j"), *own, F.lit(True).alias("stray"))
-    return against.unionByName(strays).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return against.unionByName(strays)
 
 
-def block_links(block: pa.Table) -> list[tuple[int, int]]:
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+class _Block:
+    """What tells a block's likely pairs: strays and members of unlike components that meet here first."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        stray = rows.column("stray").to_numpy(zero_copy_only=False)
+        self.strays, self.members = np.flatnonzero(stray), np.flatnonzero(~stray)
+        self.component = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        self.size, self.sig = rows.column("size").to_numpy(), _signatures(rows.column("sig"))
+        bands = pa.compute.list_flatten(rows.column("bands")).to_numpy().reshape(-1, BANDS)
+        self.earlier = bands[:, : int((bands[0] == rows.column("band")[0].as_py()).argmax())]
+
+    def partners(self, x: int) -> np.ndarray:
+        """Members that may be similar to a stray, the most alike first."""
+        others = self.members[self.component[self.members] != self.component[x]]
+        good, off = _likely(self.sig[others], self.size[others], self.sig[x], self.size[x])
+        good &= ~(self.earlier[others] == self.earlier[x]).any(axis=1)
+        return others[good][np.argsort(off[good], kind="stable")]
+
+
+def likely_rows(rows: pa.Table) -> np.ndarray:
+    """Which rows of a block have a likely partner in it."""
+    block, out = _Block(rows), np.zeros(len(rows), bool)
+    for x in block.strays.tolist():
+        partners = block.partners(x)
+        out[partners] = True
+        out[x] = len(partners) > 0
+    return out
+
+
+def block_links(rows: pa.Table) -> list[tuple[int, int]]:
     """Links (row numbers) of a block's strays with its members, as many as its components need.
 
     Of each stray's likely partners in other components, the most alike are decided
     first.  Partners that a link connects to the stray are passed over, and so are
     pairs that meet in an earlier band, as they are decided there.
     """
-    stray = block.column("stray").to_numpy(zero_copy_only=False)
-    component = block.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
-    size, sig = block.column("size").to_numpy(), _signatures(block.column("sig"))
-    bands = pa.compute.list_flatten(block.column("bands")).to_numpy().reshape(-1, BANDS)
-    earlier = bands[:, : int((bands[0] == block.column("band")[0].as_py()).argmax())]
-    text = block.column("text")
+    block, text = _Block(rows), rows.column("text")
+    component = block.component
     sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     links: list[tuple[int, int]] = []
 
@@ -328,12 +358,8 @@ def block_links(block: pa.Table) -> list[tuple[int, int]]:
             sets[row] = _multiset(text[row].as_py())
         return sets[row]
 
-    members = np.flatnonzero(~stray)
-    for x in np.flatnonzero(stray).tolist():
-        others = members[component[members] != component[x]]
-        good, off = _likely(sig[others], size[others], sig[x], size[x])
-        good &= ~(earlier[others] == earlier[x]).any(axis=1)
-        left = others[good][np.argsort(off[good], kind="stable")]
+    for x in block.strays.tolist():
+        left = block.partners(x)
         while len(left):
             few, left = left[:16], left[16:]
             alike = similarities(of(x), [of(y) for y in few.tolist()]) >= THRESHOLD
@@ -346,27 +372,37 @@ def block_links(block: pa.Table) -> list[tuple[int, int]]:
     return links
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of all blocks; their rows follow each other."""
-    limit_threads()
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Blocks of (band, i, j), whose rows follow each other."""
     rest: pa.Table | None = None
-
-    def through(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
         band, i, j = (table.column(c).to_numpy() for c in ("band", "i", "j"))
         new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        begins = [0, *new.tolist(), *([len(band)] if last else [])]
-        found = [(a + x, a + y) for a, b in zip(begins[:-1], begins[1:], strict=True) for x, y in block_links(table.slice(a, b - a))]
-        node = table.column("node").combine_chunks()
-        ends = [node.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays(ends, ["a", "b"]), table.slice(begins[-1])
+        begins = [0, *new.tolist()]
+        for a, b in zip(begins[:-1], begins[1:], strict=True):
+            yield table.slice(a, b - a)
+        rest = table.slice(begins[-1])
+    if rest is not None:
+        yield rest
 
-    for batch in batches:
-        if batch.num_rows:
-            table = pa.Table.from_batches([batch])
-            links, rest = through(table if rest is None else pa.concat_tables([rest, table]), False)
-            yield links
-    if rest is not None and rest.num_rows:
-        yield through(rest, True)[0]
+
+def _keep_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    limit_threads()
+    for block in _each_block(batches):
+        yield from block.filter(pa.array(likely_rows(block))).to_batches()
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    limit_threads()
+    for block in _each_block(batches):
+        if found := block_links(block):
+            node = block.column("node").combine_chunks()
+            ends = [node.take(pa.array(list(x), pa.int64())) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
 def _links(buckets: DataFrame, data: DataFrame) -> DataFrame:
@@ -379,7 +415,10 @@ def _links(buckets: DataFrame, data: DataFrame) -> DataFrame:
     links = stored(both.mapInArrow(_verify, "a binary, b binary"), "links")
     known = components(links)
     members = buckets.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = stored(_blocks(members, data).mapInArrow(_decide, "a binary, b binary").distinct(), "links")
+    blocks = _blocks(members, data.drop("text"))
+    likely = stored(_dealt(blocks).mapInArrow(_keep_likely, blocks.schema), "likely")
+    texts = likely.join(of("node", "text").withColumnRenamed("text_node", "text"), "node")
+    more = stored(_dealt(texts).mapInArrow(_decide, "a binary, b binary").distinct(), "links")
     return known if is_empty(more) else components(links.union(more))
 
 
@@ -439,6 +478,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     labelled = _labelled(docs)
     row = F.struct(F.col("doc").isNull().alias("none"), "doc", "h1", "h2")
     key = unused("key", docs.columns)
-    kept = labelled.groupBy("component").agg(F.min(row).alias("r")).select(F.struct("r.doc", "r.h1", "r.h2").alias(key))
-    own = F.struct(F.col("doc_id").cast("long").alias("doc"), *_text_hashes(whole_text()))
+    named = lambda doc, *hashes: F.concat_ws(":", doc.cast("string"), *(h.cast("string") for h in hashes))
+    kept = labelled.groupBy("component").agg(F.min(row).alias("r"))
+    kept = kept.select(named(F.col("r.doc"), F.col("r.h1"), F.col("r.h2")).alias(key))
+    own = named(F.col("doc_id").cast("long"), *_text_hashes(whole_text()))
     return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).select(*quoted(docs.columns))
