@@ -9,7 +9,9 @@ are gathered to units of a bounded number of characters.  A unit's exploded n-gr
 each distinct one once with its number, go to the partitions that own them (a frequent
 n-gram is one entry of a unit, however often it occurs), are summed up there and come
 back joined to the unit's n-grams, where their logarithms are summed per document.
-Between the two, hashes travel sorted, as differences in byte planes.
+Between the two, hashes travel sorted, as differences in byte planes: a run of n-grams of
+one unit and one partition is one row.  There are never more rows than n-grams, and no
+row is larger than a unit.  Both sides of the join gather the units from the documents.
 """
 
 from __future__ import annotations
@@ -59,12 +61,12 @@ def gram_keys(word: np.ndarray, position: np.ndarray, order: int) -> list[np.nda
         total = np.full(len(word), np.uint64(n))
         for j in range(n):
             before = n - 1 - j
-            total += np.concatenate([np.zeros(before, np.uint64), word[: len(word) - before]]) * np.uint64(_ODD[j % 5])
+            total += np.concatenate([np.zeros(before, np.uint64), word])[: len(word)] * np.uint64(_ODD[j % 5])
         out.append(np.where(position >= n - 1, mix(total), np.uint64(0)))
     return out
 
 
-_UNIT = "unit long, doc_ids array<long>, counts binary, words binary, ids binary, n_words long"
+_UNIT = "unit long, doc_ids array<long>, counts binary, words binary, ids binary"
 
 
 def _to_unit(unit: int, ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -82,7 +84,6 @@ def _to_unit(unit: int, ids: list, texts: list[str]) -> pa.RecordBatch:
             pa.array([pack_numbers(np.concatenate(counts).astype(np.uint32))], pa.binary()),
             pa.array([pack_numbers(_differences(distinct))], pa.binary()),
             pa.array([pack_numbers(number.astype(np.uint32))], pa.binary()),
-            pa.array([len(h)], pa.int64()),
         ],
         [f.split()[0] for f in _UNIT.split(", ")],
     )
@@ -161,8 +162,14 @@ def _answer(asked: pa.Table) -> pa.Table:
     return pa.table({"unit": asked.column("unit"), "p": asked.column("p"), "n": pa.array(answers, pa.binary())})
 
 
-def score_words(by_order: list[np.ndarray], count_of: list[np.ndarray], total: int, alpha: float, min_count: int) -> np.ndarray:
-    """Logarithm of S for each word; ``count_of`` has the corpus counts of ``by_order``'s n-grams."""
+def score_words(
+    by_order: list[np.ndarray], count_of: list[np.ndarray], alpha: float, min_count: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of S for each word, but for the share of single words, and which words back off to that.
+
+    ``count_of`` has the corpus counts of ``by_order``'s n-grams.  A single word's S lacks
+    the division by the number of all words.
+    """
     size = len(by_order[0])
     score = np.full(size, -np.inf)
     open_ = np.ones(size, bool)
@@ -175,40 +182,34 @@ def score_words(by_order: list[np.ndarray], count_of: list[np.ndarray], total: i
         score[at] = penalty[at] + np.log(count_of[n - 1][at] / context)
         open_ &= ~good
         penalty[open_ & exists] += np.log(alpha)
-    score[open_] = penalty[open_] + np.log(count_of[0][open_] / max(total, 1))
-    return score
+    score[open_] = penalty[open_] + np.log(count_of[0][open_])
+    return score, open_
 
 
-_SCORES = "doc_id long, n_words long, sum_log double, score double"
+_SUMS = "doc_id long, n_words long, n_single long, sum_log double"
 
 
-def _score(order: int, total: int, alpha: float, min_count: int):
+def _score(order: int, alpha: float, min_count: int):
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
         limit_threads()
-        rows = []
+        out = []
         said = dict(zip(answers.column("p").to_pylist(), answers.column("n").to_pylist(), strict=True))
         for row in units.select(["doc_ids", "counts", "words", "ids"]).to_pylist():
             count, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
             keys, number = np.unique(np.concatenate(by_order), return_inverse=True)
             found = np.concatenate([unpack_numbers(said[p], np.uint64) for p in sorted(said)]) if said else np.zeros(0, np.uint64)
-            assert len(found) == len(keys)
+            if len(found) != len(keys):
+                raise ValueError("the documents differ between two readings; store them first")
             per_word = np.split(found[number].astype(np.float64), order)
-            logs = score_words(by_order, per_word, total, alpha, min_count)
+            logs, single = score_words(by_order, per_word, alpha, min_count)
             doc = np.repeat(np.arange(len(count)), count)
-            sums = np.bincount(doc, weights=logs, minlength=len(count)).astype(np.float64)
-            rows.append((row["doc_ids"], count, sums))
-        ids = [i for r in rows for i in r[0]]
-        count = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-        sums = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, pa.int64()),
-                "n_words": pa.array(count),
-                "sum_log": pa.array(sums),
-                "score": pa.array(sums / np.maximum(count, 1), mask=count == 0),
-            }
-        )
+            sums, singles = (np.bincount(doc, weights=x, minlength=len(count)) for x in (logs, single))
+            ids = pa.array(row["doc_ids"], pa.int64())
+            out.append(pa.table([ids, pa.array(count), pa.array(singles.astype(np.int64)), pa.array(sums.astype(np.float64))], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names)
 
+    names = [f.split()[0] for f in _SUMS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
     return run
 
 
@@ -217,13 +218,20 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     Words are runs of letters and digits, case folded.  A null text counts as empty; a
     text without words has sum 0 and a null score.  Rows that repeat, also a doc_id,
-    count and are scored each for itself.  Other columns are left out; no rows, no result.
+    count and are scored each for itself.  Other columns are left out, whatever their
+    names; no rows, no result.  ``docs`` is read twice and must say the same each time, as
+    tables do.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    units = stored(rows.mapInArrow(_gather, _UNIT), "lm-units")
-    size = units.agg(F.count("*").alias("units"), F.sum("n_words").alias("words")).first()
-    parts = 1 + (size["units"] or 0) // UNITS_PER_PARTITION
-    asked = units.mapInArrow(_ask(order, parts), "p int, unit long, grams binary, n binary")
-    answers = asked.groupBy("p").applyInArrow(_answer, "unit long, p int, n binary")
-    run = _score(order, size["words"] or 0, alpha, min_count)
-    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(run, _SCORES)
+    units = rows.mapInArrow(_gather, _UNIT)
+    chars = rows.agg(F.sum(F.length("text").cast("long") + 1)).first()[0] or 0
+    parts = 1 + chars // (UNIT_CHARS * UNITS_PER_PARTITION)
+    asked = units.mapInArrow(_ask(order, parts), "p int, unit long, grams binary, n binary").repartition(parts, "p")
+    answers = asked.groupBy("p").applyInArrow(_answer, "unit long, p int, n binary").repartition(parts, "unit")
+    sums = units.repartition(parts, "unit").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score(order, alpha, min_count), _SUMS)
+    sums = stored(sums, "lm-sums")
+    total = sums.agg(F.sum("n_words")).first()[0] or 1
+    log = F.col("sum_log") - F.col("n_single") * float(np.log(total))
+    return sums.select(
+        "doc_id", "n_words", log.alias("sum_log"), F.when(F.col("n_words") > 0, log / F.col("n_words")).alias("score")
+    )
