@@ -1,7 +1,7 @@
 """Realistic text as lookups in small vocabularies, keyed by draws.
 
 No Python runs per row.  Methods that are not listed in ``PROVIDERS`` go to the Faker
-package through a vectorised function where it is installed.
+package where it is installed, with a call of it for each row: a fallback for few rows.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.shared import checkpointed
+
 
 def parse(envelopes: DataFrame, time: str = "event_timestamp", data: str = "data", keep: tuple[str, ...] = ()) -> DataFrame:
     """event_name, event_id, event key and time from a payload."""
@@ -55,7 +57,11 @@ def latest_first(windows: DataFrame) -> DataFrame:
 def percentiles(
     events: DataFrame, measure: str, keys: tuple[str, ...] = (), at: tuple[float, ...] = (0.5, 0.95, 0.99), exact: bool = False
 ) -> DataFrame:
-    """p50, p95, p99 and the like; the approximate ones need bounded memory per group."""
+    """p50, p95, p99 and the like.
+
+    The approximate ones need bounded memory per group; their ranks are off by 1 in 10,000
+    of a group's rows at most.  The exact ones keep a count of each distinct value.
+    """
     how = F.percentile if exact else F.percentile_approx
     return events.groupBy(*keys).agg(*(how(measure, F.lit(p)).alias(f"p{round(100 * p):02d}") for p in at))
 
@@ -63,8 +69,7 @@ def percentiles(
 def distribution(events: DataFrame, key: str, weights: dict[str, int] | None = None) -> DataFrame:
     """Rows and share per key, and the share that weights configure."""
     counts = events.groupBy(key).agg(F.count("*").alias("rows"))
-    whole = Window.partitionBy()
-    out = counts.withColumn("share", F.col("rows") / F.sum("rows").over(whole))
+    out = counts.withColumn("share", F.col("rows") / events.agg(F.count("*")).scalar())
     if weights:
         total, expected = float(sum(weights.values())), None
         for k, w in weights.items():
@@ -89,10 +94,11 @@ def skew(events: DataFrame, key: str) -> DataFrame:
 def fan_out(names: DataFrame, column: str, block: int = 50) -> DataFrame:
     """Names in blocks of ``block``, in order: name, pipeline.
 
-    The distinct names are ranked in ranges, so that no task sees all of them.
+    The distinct names are ranked in ranges, so that no task sees all of them.  The ranges
+    are kept in the shared folder, as their sizes and their rows are two readings.
     """
     distinct = names.select(column).distinct()
-    ranged = distinct.repartitionByRange(column).select(column, F.spark_partition_id().alias("part"))
+    ranged = checkpointed(distinct.repartitionByRange(column).select(column, F.spark_partition_id().alias("part")))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -6,17 +6,22 @@ the SQL of such a draw.
 
 from __future__ import annotations
 
+import copy
+import time
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.errors import ConfigurationError
 from driftloom.operators import analytics, envelope, sizing
 from driftloom.operators.generate import TYPE_PATH, Generator
 from driftloom.plans.spec import Config, load_config_from_dict
-from driftloom.sources.rows import batch_rows
+from driftloom.sources.rows import batch_rows, stream_rows
+from driftloom.sources.shared import shared_path
 from driftloom.sources.tables import table_stream
+from driftloom.streaming.writers import for_kafka, read_merged, write
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -177,13 +182,29 @@ def _shown_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-@query("s4_stream_window", _WINDOW_SQL)
-def s4_stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = analytics.windowed(table_stream(spark, sf_dir, "events"), "ts", ("event_type",), ("value",), "1 hour")
-    name = "s4_stream_window"
-    started = windows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return _shown_windows(spark.table(name))
+@query("s4_rate_rows", "SELECT range AS id, 1 AS n FROM range(1000)")
+def s4_rate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thousand ids of the endless stream: each of them, once."""
+    path, first = shared_path(spark, "rate"), 1000
+    stream = write(stream_rows(spark, 5000, 2), "parquet", path, checkpoint=shared_path(spark, "rate-log"))
+    until = time.monotonic() + 120
+    while sum(p["numInputRows"] for p in stream.recentProgress) < first:
+        if not stream.isActive or time.monotonic() > until:
+            raise RuntimeError(f"the stream of rows stopped: {stream.exception()}")
+        time.sleep(0.2)
+    stream.stop()
+    rows = spark.read.parquet(path).filter(F.col("id") < first)
+    return rows.groupBy("id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("a5_stream_watermark", f"""SELECT w.* FROM ({_WINDOW_SQL}) w
+    WHERE strptime(w.window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '30 seconds' FROM events)""")
+def a5_stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's windows in append mode: those that the watermark has passed, each once."""
+    windows = analytics.windowed(table_stream(spark, sf_dir, "events"), "ts", ("event_type",), ("value",), "1 hour", watermark="30 seconds")
+    path = shared_path(spark, "windows")
+    write(windows, "parquet", path, checkpoint=shared_path(spark, "windows-log"), trigger={"availableNow": True}).awaitTermination()
+    return _shown_windows(spark.read.schema(windows.schema).parquet(path))
 
 
 # --- scalars ------------------------------------------------------------------------------
@@ -243,14 +264,20 @@ def _name_sql() -> str:
     )
 
 
+def _sentence_sql(n: int) -> str:
+    from driftloom.functions import text
+
+    words = str(list(map(str, text._WORD)))
+    said = " || ' ' || ".join(f"{words}[CAST(floor({u('v', f'w{k}')}*{len(text._WORD)}) AS INT)+1]" for k in range(n))
+    return f"upper(substr({said}, 1, 1)) || substr({said}, 2) || '.'"
+
+
 field("g21_text_name", {"type": "string", "faker": "name"}, _name_sql())
 field(
     "g21_text_sentence",
     {"type": "string", "faker": "sentence", "faker_args": {"nb_words": 8}},
-    "",
-    lambda: F.size(F.split("v", " ")),
+    _sentence_sql(8),
 )
-ORACLES["g21_text_sentence"] = "SELECT event_id, 8 AS v FROM events"
 
 # --- nested -------------------------------------------------------------------------------
 
@@ -426,12 +453,39 @@ def j2_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelope.envelope(_wide(spark, sf_dir), "event_name")
 
 
-@query("j3_round_trip", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
-def j3_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("j2_round_trip", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
+def j2_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _wide(spark, sf_dir)
     return envelope.from_envelope(envelope.envelope(wide, "event_name"), wide.schema)
 
 
+@query(
+    "j3_timestamp_backfill",
+    """SELECT event_id::VARCHAR AS event_id, TRUE AS stamped_now, CAST(strftime(ts, '%Y-%m-%d %H:%M:%S') AS VARCHAR) AS own_time FROM events""",
+)
+def j3_timestamp_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables without a timestamp get the present one; a table that has ``event_timestamp`` keeps it."""
+    spec = config({"event_name": {"event_type_id": True}}, sink_config={"type": "kinesis", "partition_key_field": "event_name"}).spec()
+    read = events(spark, sf_dir).select("event_id", F.lit("only").alias("event_name"), F.col("ts").alias("event_timestamp"))
+    data = lambda df: analytics.parse(envelope.to_envelope(df, spec)).select("event_id", "event_timestamp")
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("event_timestamp")
+    now = data(read.drop("event_timestamp")).select("event_id", F.abs(age).between(0, 3600).alias("stamped_now"))
+    own = data(read).select("event_id", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss").alias("own_time"))
+    return now.join(own, "event_id")
+
+
+@query(
+    "a2_event_time",
+    """SELECT event_id::VARCHAR AS event_id, event_type AS event_name, user_id::VARCHAR AS event_key, floor(epoch(ts))::BIGINT AS seconds FROM events""",
+)
+def a2_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload's time as a timestamp again."""
+    e = events(spark, sf_dir)
+    wide = e.select("event_id", F.col("event_type").alias("event_name"), F.col("user_id").alias("event_key"), F.col("ts").alias("event_timestamp"))
+    parsed = analytics.parse(envelope.envelope(wide, "event_key"))
+    return parsed.select("event_id", "event_name", "event_key", F.unix_seconds("event_timestamp").alias("seconds"))
+
+
 @query("a1_parse_payload", f"SELECT event_name, event_id::VARCHAR AS event_id, {_PAYLOAD} AS payload FROM {_ENVELOPED}")
 def a1_parse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.parse(envelope.envelope(_wide(spark, sf_dir), "event_name")).select("event_name", "event_id", "payload")
@@ -473,11 +527,10 @@ def a7_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a8_latest_windows",
-    f"SELECT window_start, event_type, event_count FROM ({_WINDOW_SQL}) WHERE window_start >= '2024-01-20' ORDER BY window_start DESC",
+    f"SELECT window_start, event_type, event_count FROM ({_WINDOW_SQL}) ORDER BY window_start DESC",
 )
 def a8_latest_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = a7_window_stats(spark, sf_dir).filter("window_start >= '2024-01-20'")
-    return analytics.latest_first(shown).select("window_start", "event_type", "event_count")
+    return analytics.latest_first(a7_window_stats(spark, sf_dir)).select("window_start", "event_type", "event_count")
 
 
 @query(
@@ -490,6 +543,25 @@ def a9_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
 
 
+@query(
+    "a9_approximate_percentiles",
+    "SELECT event_type, TRUE AS p50_in_bounds, TRUE AS p95_in_bounds, TRUE AS p99_in_bounds FROM events GROUP BY 1",
+)
+def a9_approximate_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ranks of the approximate percentiles are within their bound of the true ones."""
+    e = events(spark, sf_dir)
+    near = analytics.percentiles(e, "value", ("event_type",))
+    bound = 1 / 10_000
+
+    def fits(name: str, p: float) -> Column:
+        # a group of n rows has ranks in steps of 1 / n
+        below, upto = (F.count_if(c) / F.count("*") for c in (F.col("value") < F.col(name), F.col("value") <= F.col(name)))
+        step = 1 / F.count("*")
+        return ((below <= p + bound + step) & (upto >= p - bound - step)).alias(f"{name}_in_bounds")
+
+    return e.join(near, "event_type").groupBy("event_type").agg(*(fits(n, p) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+
+
 _SHARES = {"click": 3, "view": 3, "purchase": 2, "signup": 1, "error": 1}
 
 
@@ -589,13 +661,7 @@ def a17_fanout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, df: DataFrame, fmt: str, **options: Any) -> DataFrame:
     """A table written by a sink and read back."""
-    import tempfile
-    import uuid
-
-    from driftloom.streaming.writers import write
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftloom-")
-    path = f"{root.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    path = shared_path(spark, "sink")
     write(df, fmt, path, **options)
     reader = spark.read.schema(df.schema)
     return (reader.option("header", "true") if fmt == "csv" else reader).format(fmt).load(path).select(*df.columns)
@@ -616,13 +682,110 @@ def k12_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, _wide(spark, sf_dir), "csv", header="true")
 
 
+_TWICE = f"""SELECT event_id, event_name, x, NULL::VARCHAR AS source FROM {_ENVELOPED}
+    UNION ALL SELECT event_id, event_name, x, 'second' AS source FROM {_ENVELOPED}"""
+
+
+@query("k9_merged_appends", _TWICE)
+def k9_merged_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned sink that is appended to twice, the second time with a further column."""
+    path, wide = shared_path(spark, "merged"), _wide(spark, sf_dir)
+    for rows in (wide, wide.withColumn("source", F.lit("second"))):
+        write(rows, "parquet", path, partition_by=("event_name",))
+    return read_merged(spark, path).select("event_id", F.col("event_name").cast("string"), "x", "source")
+
+
+@query("k9_catalog_table", f"SELECT event_id, event_name, x FROM {_ENVELOPED}")
+def k9_catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the catalog, by its name."""
+    path = shared_path(spark, "catalog")
+    name = f"driftloom_{path[-32:]}"
+    write(_wide(spark, sf_dir), "parquet", path, partition_by=("event_name",), table=name)
+    return spark.table(name).select("event_id", "event_name", "x")
+
+
 @query("k8_kafka_columns", f"SELECT event_name AS key, {_PAYLOAD} AS value FROM {_ENVELOPED}")
 def k8_kafka_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from driftloom.streaming.writers import for_kafka
-
     return for_kafka(j2_envelope(spark, sf_dir))
 
 
+# --- rules of specifications --------------------------------------------------------------
+
+_SOUND: dict[str, Any] = {
+    "generation_mode": "batch",
+    "batch_config": {"total_rows": 10},
+    "sink_config": {"type": "kinesis", "partition_key_field": "key"},
+    "common_fields": {
+        "event_name": {"event_type_id": True},
+        "key": {"type": "string", "values": ["a", "b"], "weights": [1, 2]},
+        "place": {"type": "struct", "fields": {"lat": {"type": "double"}, "who": {"type": "string", "faker": "name"}}},
+    },
+    "event_types": [
+        {"event_type_id": "x", "weight": 2, "fields": {"n": {"type": "int"}, "m": {"type": "map", "values": [{"a": "b"}]}}},
+        {"event_type_id": "y", "weight": 1, "fields": {"n": {"type": "int"}, "l": {"type": "array", "item_type": "int"}}},
+    ],
+    "derived_fields": {"twice": {"type": "int", "expr": "n * 2"}},
+}
+#: A change of the sound document for each rule that must reject it; "-" removes the key.
+_BREAKS: dict[str, tuple[str, Any]] = {
+    "sound": ("seed", 7),
+    "V1 event types": ("event_types", "-"),
+    "V1 one type at least": ("event_types", []),
+    "V1 mode": ("generation_mode", "-"),
+    "V1 sink": ("sink_config", "-"),
+    "V2 weight": ("event_types/0/weight", 0.6),
+    "V3 unique types": ("event_types/1/event_type_id", "x"),
+    "V4 whole weights of values": ("common_fields/key/weights", [0.2, 0.8]),
+    "V5 mode is known": ("generation_mode", "micro"),
+    "V6 settings of the mode": ("batch_config", "-"),
+    "V7 derived type and expression": ("derived_fields/twice", {"type": "int"}),
+    "V8 types are known": ("common_fields/key/type", "text"),
+    "V9 outliers": ("common_fields/key/outliers", [{"percent": 1.0, "expr": "1"}]),
+    "V10 nulls": ("common_fields/key/percent_nulls", 1.0),
+    "V11 nulls inside structs": ("common_fields/place/fields/lat/percent_nulls", 7),
+    "V11 outliers inside structs": ("common_fields/place/fields/lat/outliers", [{"percent": 2, "expr": "1"}]),
+    "V12 one type across event types": ("event_types/1/fields/n/type", "long"),
+    "V13 text is of strings": ("event_types/0/fields/n/faker", "name"),
+    "V13 text excludes values": ("common_fields/place/fields/who/values", ["a"]),
+    "V14 reserved names": ("common_fields/__row_id", {"type": "int"}),
+    "V15 discriminator is common": ("event_types/0/fields/kind", {"event_type_id": True}),
+    "V15 discriminator has no values": ("common_fields/event_name/values", ["a"]),
+    "V16 key is a field": ("sink_config/partition_key_field", "absent"),
+    "J4 payload format": ("serialization_format", "protobuf"),
+}
+
+
+def _rejected(path: str, value: Any) -> bool:
+    document = copy.deepcopy(_SOUND)
+    at: Any = document
+    *way, last = path.split("/")
+    for p in way:
+        at = at[int(p) if isinstance(at, list) else p]
+    if value == "-":
+        del at[last]
+    else:
+        at[last] = value
+    try:
+        load_config_from_dict(document)
+    except ConfigurationError:
+        return True
+    return False
+
+
+@query("v_rules", "SELECT * FROM (VALUES " + ", ".join(f"({r!r}, {r != 'sound'})" for r in _BREAKS) + ") t(rule, rejected)")
+def v_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule with a document that breaks just it, and the sound one, which passes."""
+    return spark.createDataFrame([(rule, _rejected(*change)) for rule, change in _BREAKS.items()], "rule string, rejected boolean")
+
+
+@query("v17_mapping", "SELECT 'kinesis' AS dotted, 5 AS missing, TRUE AS held, FALSE AS absent, 'batch' AS item")
+def v17_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration reads like a mapping, with dotted paths."""
+    c = load_config_from_dict(copy.deepcopy(_SOUND))
+    row = (c.get("sink_config.type"), c.get("batch_config.none", 5), "seed" in c or "event_types" in c, "draws" in c, c["generation_mode"])
+    return spark.createDataFrame([row], "dotted string, missing int, held boolean, absent boolean, item string")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -83,6 +83,8 @@ class Spec:
     partitions: int = DEFAULT_PARTITIONS
     rows_per_second: int | None = None
     partition_key: str | None = None
+    #: How envelopes hold a row: "json" or "avro".
+    serialization: str = "json"
     seed: int = 42
     #: "portable" draws can be recomputed by other SQL engines; "fast" ones are cheaper.
     draws: str = "fast"
@@ -191,6 +193,7 @@ class Config:
             partitions=self.get("batch_config.partitions", DEFAULT_PARTITIONS),
             rows_per_second=self.get("streaming_config.total_rows_per_second"),
             partition_key=self.get("sink_config.partition_key_field"),
+            serialization=self.get("serialization_format", "json"),
             seed=d.get("seed", 42),
             draws=d.get("draws", "fast"),
         )

@@ -41,6 +41,8 @@ def validate(data: dict) -> None:
     _mode(data)
     _need(isinstance(data["sink_config"], dict) and "type" in data["sink_config"], "sink_config.type", "is required")
     _need(data.get("draws", "fast") in ("fast", "portable"), "draws", "must be 'fast' or 'portable'")
+    formats = ("json", "avro")
+    _need(data.get("serialization_format", "json") in formats, "serialization_format", f"must be one of {formats}; others aren't written")
     _need(_is_whole(data.get("seed", 42)), "seed", "must be a whole number")
     for where, name, field in _top_fields(data):
         _need(not name.startswith(RESERVED_PREFIX), where, f"names that begin with {RESERVED_PREFIX!r} are reserved")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def envelope_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A replay of envelopes that were written to files."""
-    return spark.readStream.schema("partition_key string, data string").format(fmt).load(path)
+def envelope_stream(
+    spark: SparkSession, path: str, fmt: str = "parquet", start: str = "earliest", files_per_batch: int | None = None
+) -> DataFrame:
+    """A replay of envelopes that were written to files.
+
+    ``start`` is "earliest", "latest" (only files written from now on), or a time: files
+    written from then on.  ``files_per_batch`` bounds a micro-batch.
+    """
+    reader = spark.readStream.schema("partition_key string, data string").format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.load(path)
+    if start == "earliest":
+        return stream
+    since = F.lit(datetime.now(timezone.utc)) if start == "latest" else F.lit(start).cast("timestamp")
+    return stream.filter(F.col("_metadata.file_modification_time") >= since)

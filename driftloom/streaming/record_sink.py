@@ -3,14 +3,16 @@
 Rows have ``partition_key`` and ``data``.  Records go out in calls of at most 500; rows
 whose key or data is null are skipped and counted.  By default a failed record is
 counted and the batch still commits (at most once per record); with ``retries`` only
-the failed records of a call are sent again, with ``fail_on_error`` a task fails for
-what is left.
+the failed records of a call are sent again after ``retry_seconds`` (0.1), then twice as
+long each time; with ``fail_on_error`` a task fails for what is left.  An answer that
+counts failures but doesn't tell them is counted and not sent again.
 """
 
 from __future__ import annotations
 
 import importlib
 import logging
+import time
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -77,6 +79,7 @@ class _Writer:
         if bool(options.get("aws_access_key_id")) != bool(options.get("aws_secret_access_key")):
             raise ValueError("aws_access_key_id and aws_secret_access_key are required together")
         self.retries = int(options.get("retries", 0))
+        self.pause = float(options.get("retry_seconds", 0.1))
         self.fail_on_error = str(options.get("fail_on_error", "false")).lower() == "true"
         self.client = client
 
@@ -93,12 +96,12 @@ class _Writer:
         """Sent and failed records of a call."""
         left = chunk
         for attempt in range(self.retries + 1):
+            if attempt:
+                time.sleep(self.pause * 2 ** (attempt - 1))
             try:
                 said = client.put_records(StreamName=self.stream_name, Records=left)
             except Exception as error:
                 log.warning("a call of %d records failed: %s", len(left), error)
-                if attempt == self.retries:
-                    break
                 continue
             if not said.get("FailedRecordCount"):
                 return len(chunk), 0
@@ -106,7 +109,10 @@ class _Writer:
             codes = Counter(a["ErrorCode"] for a in answers if a.get("ErrorCode"))
             log.warning("%d records failed: %s", said["FailedRecordCount"], dict(codes))
             failed = [r for r, a in zip(left, answers, strict=False) if a.get("ErrorCode")]
-            left = failed if failed else left[: said["FailedRecordCount"]]
+            if not failed:
+                left = left[: said["FailedRecordCount"]]  # which ones isn't known: only their number counts
+                break
+            left = failed
         return len(chunk) - len(left), len(left)
 
     def write(self, iterator: Iterator[Row]) -> Sent:

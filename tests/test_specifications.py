@@ -99,6 +99,8 @@ BAD = [
     (["common_fields", "s"], {"type": "map", "values": [{"a": 1}], "weights": [1, 2]}),
     (["draws"], "quick"),
     (["seed"], "x"),
+    (["serialization_format"], "protobuf"),
+    (["serialization_format"], "binary"),
 ]
 
 

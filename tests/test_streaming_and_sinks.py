@@ -212,3 +212,76 @@ def test_percentiles_approximate(spark):
     near = {r.event_type: r.p50 for r in analytics.percentiles(events, "value", ("event_type",)).collect()}
     exact = {r.event_type: r.p50 for r in analytics.percentiles(events, "value", ("event_type",), exact=True).collect()}
     assert all(abs(near[k] - exact[k]) < 5 for k in exact)
+
+
+def test_an_answer_that_hides_its_failures_is_not_sent_again():
+    class Silent:
+        calls = 0
+
+        def put_records(self, StreamName, Records):  # noqa: N803
+            self.calls += 1
+            return {"FailedRecordCount": 2, "Records": [{} for _ in Records]}
+
+    client = Silent()
+    assert run(some(10), client, retries="3", retry_seconds="0") == Sent(8, 2, 0) and client.calls == 1
+
+
+def test_service_credential_gives_the_client(monkeypatch):
+    import sys
+    from types import ModuleType, SimpleNamespace
+
+    asked = []
+    module = ModuleType("own_credentials")
+    module.session = lambda name: SimpleNamespace(client=lambda kind, region_name: asked.append((name, kind, region_name)) or "client")
+    monkeypatch.setitem(sys.modules, "own_credentials", module)
+    monkeypatch.setitem(sys.modules, "boto3", ModuleType("boto3"))
+    options = {"service_credential": "cred", "credential_provider": "own_credentials:session", "region": "eu-west-1"}
+    assert stream_client(options) == "client" and asked == [("cred", "kinesis", "eu-west-1")]
+    with pytest.raises(ValueError, match="credential_provider"):
+        stream_client({"service_credential": "cred"})
+
+
+def test_replays_begin_where_they_are_told(spark, tmp_path):
+    path = str(tmp_path / "envelopes")
+    rows = lambda k: spark.createDataFrame([(f"k{k}", f"d{k}")], "partition_key string, data string")
+    rows(1).coalesce(1).write.mode("append").parquet(path)
+    rows(2).coalesce(1).write.mode("append").parquet(path)
+
+    def replay(name, **options):
+        out = str(tmp_path / name)
+        query = write(envelope_stream(spark, path, **options), "parquet", out, checkpoint=f"{out}-log", trigger={"availableNow": True})
+        query.awaitTermination()
+        return sorted(r.data for r in spark.read.parquet(out).collect()), len(query.recentProgress)
+
+    assert replay("all")[0] == ["d1", "d2"]
+    assert replay("none", start="latest")[0] == []
+    assert replay("since", start="2000-01-01 00:00:00")[0] == ["d1", "d2"]
+    found, batches = replay("small", files_per_batch=1)
+    assert found == ["d1", "d2"] and batches >= 2
+
+
+def test_a_stream_into_a_table(spark, tmp_path):
+    name = "driftloom_stream_table"
+    stream = envelope_stream(spark, _files(spark, tmp_path), start="earliest")
+    path = str(tmp_path / "table")
+    write(stream, "parquet", path, checkpoint=f"{path}-log", trigger={"availableNow": True}, table=name).awaitTermination()
+    assert spark.table(name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
+
+
+def _files(spark, tmp_path):
+    path = str(tmp_path / "source")
+    spark.createDataFrame([("k", f"d{k}") for k in range(3)], "partition_key string, data string").write.parquet(path)
+    return path
+
+
+def test_avro_payloads_need_their_package(spark):
+    from driftloom import ConfigurationError
+    from driftloom.operators.envelope import avro_envelope
+
+    try:
+        rows = avro_envelope(spark.createDataFrame([("a", 1)], "k string, n int"), "k").collect()
+    except ConfigurationError as error:
+        assert "Avro package" in str(error)
+    else:
+        assert isinstance(rows[0].data, bytes | bytearray)
