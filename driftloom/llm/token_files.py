@@ -70,11 +70,13 @@ def write_token_files(
 
     The texts are dealt by ranges of ``doc_id`` before they are encoded: a text is
     smaller than its ids.  Empty and null texts have the end id alone.  Rows that
-    repeat a ``doc_id`` all stay, in the order of their texts.  A null ``doc_id``
-    comes first.  Other columns of ``docs`` are left out.
+    repeat a ``doc_id`` all stay, in an order that their texts give; a frequent or null
+    one is dealt to several files by them.  A null ``doc_id`` comes first.  Other columns
+    of ``docs`` are left out, whatever their names; no rows, no result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ids = dealt.mapInArrow(_encode_part(end_id, tokenizer), FILE_SCHEMA)
     writer = ids.write
     for key, value in WRITER.items():
@@ -85,7 +87,7 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a token file set, with ``start``: all ids before each one.
 
-    ``start`` needs the metadata columns only.
+    ``start`` needs the metadata columns only; a filter on ``doc_id`` reaches the page index.
     """
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
@@ -114,7 +116,10 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of a token file set: doc_id, start, n_tokens, ids_crc32, as read back."""
+    """Per document of a token file set: doc_id, start, n_tokens, ids_crc32, as read back.
+
+    Rows that repeat, and a null ``doc_id``, each have their row; a set of no documents has none.
+    """
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)

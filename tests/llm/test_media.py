@@ -28,6 +28,46 @@ def test_a_lost_packet_is_noticed():
     assert media_ts.demux(lost).continuity_errors == 1
 
 
+def _packets(media):
+    return [media[k : k + 188] for k in range(0, len(media), 188)]
+
+
+def test_packets_may_be_sent_twice():
+    payload = b"abcd" * 5000
+    packets = _packets(media_ts.mux(payload))
+    twice = b"".join(p * 2 if k in (2, 5, 40) else p for k, p in enumerate(packets))
+    stream = media_ts.demux(twice)
+    assert (stream.payload, stream.continuity_errors) == (payload, 0)
+    assert media_ts.demux(b"".join([*packets[:6], packets[5], packets[5], *packets[6:]])).continuity_errors == 0
+
+
+def test_a_lost_unit_leaves_the_others():
+    payload = bytes(range(256)) * 128
+    packets = _packets(media_ts.mux(payload))
+    starts = [k for k, p in enumerate(packets) if p[1] & 0x40 and ((p[1] & 0x1F) << 8 | p[2]) == media_ts.STREAM_PID]
+    lost = b"".join(packets[: starts[1]] + packets[starts[2] :])
+    stream = media_ts.demux(lost)
+    unit = media_ts.UNIT
+    assert stream.payload == payload[:unit] + payload[2 * unit :] and len(stream.pts) == len(starts) - 1
+    assert stream.continuity_errors == ((starts[2] - starts[1]) % 16 != 0)
+
+
+def test_the_first_of_two_programs():
+    packets = _packets(media_ts.mux(b"abcd" * 100))
+    both = media_ts._section(0, 1, bytes([0, 1, 0xF0, 0x00, 0, 2, 0xF0, 0x01]))
+    other = packets[-1][:1] + bytes([0x01, 0x77]) + packets[-1][3:]
+    stream = media_ts.demux(b"".join([media_ts._table_packet(0, both, 0), packets[1], other, *packets[2:], other]))
+    assert (stream.programs, stream.payload, stream.continuity_errors) == (2, media_ts.demux(b"".join(packets)).payload, 0)
+
+
+def test_time_stamps_have_33_bits():
+    for pts in (0, 2**32 + 12345, 2**33 - 1, 2**33 + 5):
+        head = media_ts._pes_head(pts, 4) + b"data"
+        packets = _packets(media_ts.mux(b"abcd"))
+        body = media_ts._adaptation(184 - len(head), pts, True) + head
+        assert media_ts.demux(b"".join(packets[:2]) + packets[2][:4] + body).pts == [pts % 2**33]
+
+
 def test_damage_is_an_error():
     media = media_ts.mux(b"abcd" * 50)
     for bad in (media[:-1], b"x" + media[1:], media[:10] + b"\x55" + media[11:], b""):

@@ -53,6 +53,61 @@ def test_op2_odd(spark, request, which):
     assert [r.start for r in rows] == [int(x) for x in np.cumsum([0] + [r.n_tokens for r in rows])[:-1]]
 
 
+def test_files_can_be_read_in_part(spark, monkeypatch):
+    """Dictionary and delta encodings, bounded row groups and pages, page indexes; a range of ids reads few rows."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(token_files.WRITER, "parquet.block.size", str(1 << 20))
+    monkeypatch.setitem(token_files.WRITER, "parquet.page.row.count.limit", "500")
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(vocabulary, 60))) for k in range(20_000)], "doc_id long, text string")
+    path = shared_path(spark, "t")
+    token_files.write_token_files(docs, path)
+    files = sorted(f.path for f in _files(spark, path))
+    groups = 0
+    for name in files:
+        meta = pq.ParquetFile(name).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            by_name = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+            assert group.total_byte_size < 3 << 20
+            assert "RLE_DICTIONARY" in by_name["tokens"].encodings
+            assert {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"} & set(by_name["doc_id"].encodings)
+            assert all(c.has_column_index and c.has_offset_index for c in (by_name["doc_id"], by_name["n_tokens"]))
+            assert by_name["doc_id"].statistics.has_min_max
+        assert any("DELTA_BINARY_PACKED" in meta.row_group(g).column(c).encodings for g in range(meta.num_row_groups) for c in (0, 2, 3))
+    assert groups > len(files)
+    few = spark.read.schema(token_files.FILE_SCHEMA).parquet(path).filter("doc_id between 9000 and 9009")
+    assert few.count() == 10
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,9000), LessThanOrEqual(doc_id,9009)]" in plan
+    meta = spark.read.schema(token_files.FILE_SCHEMA).parquet(path).agg({"n_tokens": "sum"})._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<n_tokens:bigint>" in meta
+
+
+def _files(spark, path):
+    import os
+
+    return [e for e in os.scandir(path.removeprefix("file://")) if e.name.endswith(".parquet")]
+
+
+def test_a_frequent_id_goes_to_several_files(spark):
+    rows = [(7, f"text {k} of one id") for k in range(3000)] + [(k, "other") for k in range(20)]
+    path = shared_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as they are
+    try:
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = token_files.read_token_files(spark, path)
+    assert read.filter("doc_id = 7").select("file_no").distinct().count() > 1
+    got = sorted(read.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    assert [r.start for r in got] == [int(x) for x in np.cumsum([0] + [r.n_tokens for r in got])[:-1]]
+
+
 def _check_packing(texts, rows, window=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
