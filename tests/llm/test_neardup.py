@@ -50,9 +50,11 @@ def _brute(rows):
     return {d: root(d) for d, _ in rows}
 
 
-def test_op1_whole_table(spark, sf_dir):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    got = {r.doc_id: r.class_id for r in QUERIES["op1_bagminhash"](spark, sf_dir).collect()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op1_whole_table(spark, sf):
+    path = f"/root/testdata/{sf}"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in QUERIES["op1_bagminhash"](spark, path).collect()}
     assert got == _brute(rows)
 
 
