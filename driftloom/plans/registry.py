@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from driftloom.errors import ConfigurationError
 from driftloom.operators import analytics, envelope, sizing
 from driftloom.operators.generate import TYPE_PATH, Generator
-from driftloom.plans.spec import Config, load_config_from_dict
+from driftloom.plans.spec import Config, load_config, load_config_from_dict
 from driftloom.sources.rows import batch_rows, stream_rows
 from driftloom.sources.shared import shared_path
-from driftloom.sources.tables import table_stream
+from driftloom.sources.tables import envelope_stream, table_stream
+from driftloom.streaming import record_files
+from driftloom.streaming.monitor import progress
+from driftloom.streaming.record_sink import RecordSink
 from driftloom.streaming.writers import for_kafka, read_merged, write
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,7 +154,35 @@ def e6_many_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.groupBy("event_name").agg(F.count("*").alias("n"))
 
 
-# --- sources ------------------------------------------------------------------------------
+# --- specifications and sources -----------------------------------------------------------
+
+
+@query("s1_yaml_document", ORACLES["e1_weighted_type"])
+def s1_yaml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table from a YAML document, which the driver alone reads."""
+    import tempfile
+
+    import yaml
+
+    data = config({"event_name": {"event_type_id": True}, "device": _DEVICE}, _TWO).data
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as file:
+        yaml.safe_dump(data, file, sort_keys=False)
+        file.flush()
+        wide = over_events(spark, sf_dir, load_config(file.name))
+    return wide.groupBy("event_name", "device").agg(
+        F.count("*").alias("n"), F.sum("qty").alias("sum_qty"), F.round(F.avg("qty"), 6).alias("avg_qty")
+    )
+
+
+@query("s5_row_ids", "SELECT 1000 AS rows, 1000 AS ids, 1000 AS same")
+def s5_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row has an id of its own, whatever the partitions; it isn't a column."""
+    one, other = (
+        Generator(spark, config({"v": {"type": "uuid"}}, batch_config={"total_rows": 1000, "partitions": n}).spec()).batch() for n in (3, 7)
+    )
+    same = one.join(other, "v", "left_semi").agg(F.count("*")).scalar()
+    counts = one.agg(F.count("*").cast("int").alias("rows"), F.count_distinct("v").cast("int").alias("ids"))
+    return counts.select("rows", "ids", same.cast("int").alias("same"))
 
 
 @query("s3_batch_rows", "SELECT count(*) AS n, sum(r)::BIGINT AS total FROM range(1000) t(r)")
@@ -214,6 +245,7 @@ field(
     {"type": "uuid"},
     f"concat_ws('-', substr({hexes('v')},1,8), substr({hexes('v')},9,4), substr({hexes('v')},13,4), substr({hexes('v')},17,4), substr({hexes('v')},21,12))",
 )
+field("g10_timestamp_now", {"type": "timestamp"}, "TRUE", lambda: F.abs(F.unix_timestamp() - F.unix_timestamp("v")) < 3600)
 field("g2_int", {"type": "int", "range": [-20, 80]}, f"CAST(trunc({u('v')}*100::DOUBLE + -20::DOUBLE) AS INT)")
 field("g2_int_inclusive", {"type": "int", "range": [1, 6], "inclusive": True}, f"CAST(floor({u('v')}*6) + 1 AS INT)")
 field("g3_long", {"type": "long", "range": [1000000000, 9999999999]}, f"CAST(trunc({u('v')}*8999999999::DOUBLE + 1000000000::DOUBLE) AS BIGINT)")
@@ -704,6 +736,50 @@ def k9_catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("event_id", "event_name", "x")
 
 
+_SENT = {"stream_name": "s", "client_factory": record_files.FACTORY}
+_RECORDS = "partition_key string, data string"
+
+
+@query("k1_record_batch", f"SELECT event_name AS partition_key, {_PAYLOAD} AS data FROM {_ENVELOPED}")
+def k1_record_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All envelopes through the record sink, to a client that keeps them."""
+    spark.dataSource.register(RecordSink)
+    path = shared_path(spark, "records")
+    write(j2_envelope(spark, sf_dir), RecordSink.name(), records_path=path, **_SENT)
+    return spark.read.schema(_RECORDS).json(path)
+
+
+@query("k1_record_stream", f"SELECT event_name AS partition_key, {_PAYLOAD} AS data FROM {_ENVELOPED}")
+def k1_record_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, a replay of envelopes from files."""
+    spark.dataSource.register(RecordSink)
+    path, kept = shared_path(spark, "records"), shared_path(spark, "envelopes")
+    write(j2_envelope(spark, sf_dir), "parquet", kept)
+    log = shared_path(spark, "records-log")
+    replay = envelope_stream(spark, kept, files_per_batch=1)
+    write(replay, RecordSink.name(), checkpoint=log, trigger={"availableNow": True}, records_path=path, **_SENT).awaitTermination()
+    return spark.read.schema(_RECORDS).json(path)
+
+
+@query("k15_checkpoint", "SELECT event_id FROM events")
+def k15_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is started again with its checkpoint adds nothing twice."""
+    path, log = shared_path(spark, "stream"), shared_path(spark, "stream-log")
+    for _ in range(2):
+        stream = table_stream(spark, sf_dir, "events").select("event_id")
+        write(stream, "parquet", path, checkpoint=log, trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema("event_id long").parquet(path)
+
+
+@query("a18_progress", "SELECT count(*) AS input_rows, TRUE AS timed FROM events")
+def a18_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress rows of a stream say what it has read and how long that took."""
+    stream = table_stream(spark, sf_dir, "events").select("event_id")
+    started = write(stream, "noop", checkpoint=shared_path(spark, "progress-log"), trigger={"availableNow": True})
+    started.awaitTermination()
+    return progress(started).agg(F.sum("input_rows").alias("input_rows"), (F.min("batch_seconds") > 0).alias("timed"))
+
+
 @query("k8_kafka_columns", f"SELECT event_name AS key, {_PAYLOAD} AS value FROM {_ENVELOPED}")
 def k8_kafka_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return for_kafka(j2_envelope(spark, sf_dir))
