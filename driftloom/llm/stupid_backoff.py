@@ -124,19 +124,27 @@ def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, lows), len(keys))
 
 
+def _runs(by_order: list[np.ndarray], parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order, one after another: distinct hashes, their numbers, each n-gram's place among them, partitions' bounds."""
+    for keys in by_order:
+        distinct, place, number = np.unique(keys, return_inverse=True, return_counts=True)
+        yield distinct, number, place, _bounds(distinct, parts)
+
+
 def _ask(order: int, parts: int):
+    """Rows (p, unit, grams, n): a run of one unit's n-grams of one partition, by order and hash, and their numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit_threads()
-        for batch in batches:
+        for batch in _gather(batches):
             for row in batch.select(["unit", "counts", "words", "ids"]).to_pylist():
                 _, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
-                keys, number = np.unique(np.concatenate(by_order), return_counts=True)
-                bounds = _bounds(keys, parts)
-                out = [
-                    (p, pack_numbers(_differences(keys[a:b])), pack_numbers(number[a:b].astype(np.uint32)))
-                    for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
-                    if b > a
-                ]
+                runs = [(distinct, number.astype(np.uint32), bounds) for distinct, number, _, bounds in _runs(by_order, parts)]
+                del by_order
+                out = []
+                for p in range(parts):
+                    grams, n = (np.concatenate([r[k][r[2][p] : r[2][p + 1]] for r in runs]) for k in (0, 1))
+                    if len(grams):
+                        out.append((p, pack_numbers(_differences(grams)), pack_numbers(n)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in out], pa.int32()),
@@ -189,19 +197,30 @@ def score_words(
 _SUMS = "doc_id long, n_words long, n_single long, sum_log double"
 
 
-def _score(order: int, alpha: float, min_count: int):
+def _counts_of(by_order: list[np.ndarray], parts: int, said: dict[int, bytes]) -> list[np.ndarray]:
+    """Corpus counts of a unit's n-grams, by order, from the partitions' answers to its runs."""
+    answers = [unpack_numbers(said[p], np.uint64) if p in said else np.zeros(0, np.uint64) for p in range(parts)]
+    read, out = np.zeros(parts, np.int64), []
+    for distinct, _, place, bounds in _runs(by_order, parts):
+        sizes = np.diff(bounds)
+        counts = np.concatenate([x[a : a + n] for x, a, n in zip(answers, read.tolist(), sizes.tolist(), strict=True)])
+        if len(counts) != len(distinct):
+            raise ValueError("the documents differ between two readings; store them first")
+        read += sizes
+        out.append(counts[place].astype(np.float64))
+    if (read != [len(x) for x in answers]).any():
+        raise ValueError("the documents differ between two readings; store them first")
+    return out
+
+
+def _score(order: int, parts: int, alpha: float, min_count: int):
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
         limit_threads()
         out = []
         said = dict(zip(answers.column("p").to_pylist(), answers.column("n").to_pylist(), strict=True))
         for row in units.select(["doc_ids", "counts", "words", "ids"]).to_pylist():
             count, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
-            keys, number = np.unique(np.concatenate(by_order), return_inverse=True)
-            found = np.concatenate([unpack_numbers(said[p], np.uint64) for p in sorted(said)]) if said else np.zeros(0, np.uint64)
-            if len(found) != len(keys):
-                raise ValueError("the documents differ between two readings; store them first")
-            per_word = np.split(found[number].astype(np.float64), order)
-            logs, single = score_words(by_order, per_word, alpha, min_count)
+            logs, single = score_words(by_order, _counts_of(by_order, parts, said), alpha, min_count)
             doc = np.repeat(np.arange(len(count)), count)
             sums, singles = (np.bincount(doc, weights=x, minlength=len(count)) for x in (logs, single))
             ids = pa.array(row["doc_ids"], pa.int64())
@@ -226,9 +245,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     units = rows.mapInArrow(_gather, _UNIT)
     chars = rows.agg(F.sum(F.length("text").cast("long") + 1)).first()[0] or 0
     parts = 1 + chars // (UNIT_CHARS * UNITS_PER_PARTITION)
-    asked = units.mapInArrow(_ask(order, parts), "p int, unit long, grams binary, n binary").repartition(parts, "p")
+    asked = rows.mapInArrow(_ask(order, parts), "p int, unit long, grams binary, n binary").repartition(parts, "p")
     answers = asked.groupBy("p").applyInArrow(_answer, "unit long, p int, n binary").repartition(parts, "unit")
-    sums = units.repartition(parts, "unit").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score(order, alpha, min_count), _SUMS)
+    sums = units.repartition(parts, "unit").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score(order, parts, alpha, min_count), _SUMS)
     sums = stored(sums, "lm-sums")
     total = sums.agg(F.sum("n_words")).first()[0] or 1
     log = F.col("sum_log") - F.col("n_single") * float(np.log(total))
