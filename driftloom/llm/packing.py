@@ -173,7 +173,8 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str =
 
     earlier = Window.partitionBy("full", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    narrow = pieces.drop("tail_ids").join(bases, ["part", "full", "length"])
+    # they grow with the corpus, a row per part and length: the same plan at every size
+    narrow = pieces.drop("tail_ids").join(bases.hint("merge"), ["part", "full", "length"])
     ranked = narrow.withColumn("rank", F.col("rank") + F.col("base")).drop("base")
 
     result = ("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens")
