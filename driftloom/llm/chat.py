@@ -48,10 +48,13 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
         F.coalesce("text", F.lit("")).alias("text"),
     )
     gathered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    # neighbours by shifted arrays: an array that a lambda takes by position may be worked out for each element
-    roles = F.transform("t", lambda x: x["role"])
-    shift = lambda r, x: F.concat(F.array(F.lit(None).cast("string")), F.slice(r, 1, F.size(r) - 1)) if x < 0 else F.concat(F.slice(r, 2, F.size(r) - 1), F.array(F.lit(None).cast("string")))
-    beside = lambda r: F.zip_with(shift(r, -1), shift(r, 1), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+    none = F.array(F.lit(None).cast("string"))
+
+    def beside(roles: Column) -> Column:
+        # by shifted arrays: one that a lambda takes by position may be worked out for each element
+        before = F.concat(none, F.slice(roles, 1, F.size(roles) - 1))
+        after = F.concat(F.slice(roles, 2, F.size(roles) - 1), none)
+        return F.zip_with(before, after, lambda a, b: F.struct(a.alias("before"), b.alias("after")))
 
     def lay(x: Column, by: Column) -> Column:
         return F.struct(
@@ -63,7 +66,7 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
             (x["role"] == trained_role).alias("loss"),
         )
 
-    laid = gathered.withColumn("s", F.zip_with("t", let(roles, beside), lay))
+    laid = gathered.withColumn("s", F.zip_with("t", let(F.transform("t", lambda x: x["role"]), beside), lay))
     formatted = F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["body"], x["tail"])), "")
     sizes = F.transform("s", lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"]))
 

@@ -29,12 +29,9 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POWERS = _powers(_BASE, 1 << 12)
-_INVERSES = _powers(_BASE_INVERSE, 1 << 12)
-
-
-def _power(table: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
-    return table[:n] if n <= len(table) else _powers(base, n)
+#: Bytes that are hashed together, about; powers for these, kept.
+_BLOCK = 1 << 16
+_POWERS, _INVERSES = _powers(_BASE, 2 * _BLOCK), _powers(_BASE_INVERSE, 2 * _BLOCK)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,18 +79,20 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         out = np.empty(len(self.starts), np.uint64)
-        block = 1 << 16
-        step = np.searchsorted(self.starts, np.arange(0, len(self.bytes), block))
+        step = np.searchsorted(self.starts, np.arange(0, len(self.bytes), _BLOCK))
         for a, b in zip(step, np.append(step[1:], len(self.starts)), strict=True):
             if a == b:
                 continue
             lo, hi = int(self.starts[a]), int(self.ends[b - 1])
             n = hi - lo + 1
+            # a word longer than a block makes a longer one
+            kept = n <= len(_POWERS)
+            powers, inverses = (_POWERS[:n], _INVERSES[:n]) if kept else (_powers(_BASE, n), _powers(_BASE_INVERSE, n))
             sums = np.zeros(n, np.uint64)
-            weighted = (self.bytes[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[1:]
+            weighted = (self.bytes[lo:hi].astype(np.uint64) + np.uint64(1)) * powers[1:]
             np.cumsum(weighted, dtype=np.uint64, out=sums[1:])
             begin, end = self.starts[a:b] - lo, self.ends[a:b] - lo
-            out[a:b] = (sums[end] - sums[begin]) * _powers(_BASE_INVERSE, n)[begin]
+            out[a:b] = (sums[end] - sums[begin]) * inverses[begin]
         return mix(out)
 
     def code_points(self) -> np.ndarray:
