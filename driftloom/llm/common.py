@@ -19,12 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Bytes of an Arrow batch that a Python worker gets, and Spark's own default.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts may be long: unless the session has a setting of its own, batches for Python hold ``BATCH_BYTES``.
+
+    An executor holds a batch of each task several times, in the JVM and in Python.
+    """
+    if spark.conf.get(_BATCH_SETTING, "") == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     This cuts the lineage in a way that outlives executors.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, name)
     writer = df.write.option("compression", "zstd")
     for key, value in options.items():
@@ -56,6 +71,7 @@ def quoted(names: list[str]) -> list[str]:
 
 def map_rows(docs: DataFrame, run: Callable, schema: StructType) -> DataFrame:
     """``mapInArrow`` for columns of any name, dots and blanks included."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
     plain = StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(schema.fields)])
 

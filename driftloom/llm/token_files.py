@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.bpe import DEFAULT_TOKENIZER, encoder
-from driftloom.llm.common import whole_text
+from driftloom.llm.common import bound_batches, whole_text
 
 FILE_SCHEMA = "doc_id long, file_no int, start_in_file long, n_tokens long, tokens array<int>"
 #: Bytes of a row group, rows of a page: what a selective read must decode at least.
@@ -74,6 +74,7 @@ def write_token_files(
     one is dealt to several files by them.  A null ``doc_id`` comes first.  Other columns
     of ``docs`` are left out, whatever their names; no rows, no result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     order = ("doc_id", F.xxhash64("text"))
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
