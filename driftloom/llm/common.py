@@ -29,7 +29,7 @@ def bound_batches(spark: SparkSession) -> None:
 
     An executor holds a batch of each task several times, in the JVM and in Python.
     """
-    if spark.conf.get(_BATCH_SETTING, "") == _BATCH_DEFAULT:
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
