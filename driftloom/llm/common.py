@@ -33,21 +33,54 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
-def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
+#: Whether shuffle files go when the query that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    This cuts the lineage in a way that outlives executors.
-    """
+
+def _write(df: DataFrame, path: str, **options: object) -> DataFrame:
     spark = df.sparkSession
     bound_batches(spark)
-    path = shared_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    for key, value in options.items():
-        writer = writer.option(key.replace("__", "."), str(value))
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        for key, value in options.items():
+            writer = writer.option(key.replace("__", "."), str(value))
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    This cuts the lineage in a way that outlives executors.  The step's shuffle files go
+    when it has been written.
+    """
+    return _write(df, shared_path(df.sparkSession, name), **options)
+
+
+class Steps:
+    """The tables that one run of an operator writes, in a folder of its own.
+
+    ``drop`` removes a table as soon as no later step reads it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.written = spark, shared_path(spark, name), 0
+
+    def store(self, df: DataFrame, name: str, **options: object) -> DataFrame:
+        self.written += 1
+        return _write(df, f"{self.folder}/{self.written}-{name}", **options)
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for folder in {os.path.dirname(f) for t in tables for f in t.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def wider(schema: StructType, **kinds: str | DataType) -> StructType:
     """A schema with further columns."""
     out = StructType(list(schema.fields))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import chat, decontam, langid, media_ts, neardup, packing, pii, stupid_backoff, token_files, toxicity
+from driftloom.llm import chat, decontam, langid, media_ts, neardup, packing, pii, repeats, stupid_backoff, token_files, toxicity
 from driftloom.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.find(table(spark, sf_dir, "documents", "doc_id", "text"), keep="none"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bagminhash": op1_bagminhash,
     "op2_token_files": op2_token_files,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing_nnls": op8_packing_nnls,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_bm25_decontamination": op10_bm25_decontamination,
+    "op11_longest_previous_factor": op11_longest_previous_factor,
 }
 
 _SAID = "</s>[INST] ok [/INST]"
