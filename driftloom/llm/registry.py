@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import chat, decontam, langid, media_ts, neardup, packing, pii, repeats, stupid_backoff, token_files, toxicity
+from driftloom.llm import chat, decontam, divergence, langid, media_ts, neardup, packing, pii, repeats, stupid_backoff, token_files, toxicity
 from driftloom.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op11_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.find(table(spark, sf_dir, "documents", "doc_id", "text"), keep="none"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bagminhash": op1_bagminhash,
     "op2_token_files": op2_token_files,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_bm25_decontamination": op10_bm25_decontamination,
     "op11_longest_previous_factor": op11_longest_previous_factor,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _SAID = "</s>[INST] ok [/INST]"
@@ -100,7 +105,7 @@ FROM o GROUP BY conv_id"""
 
 #: SQL can't say what learned models, tokenizers and media formats give; tests compare
 #: those queries with plain versions.
-ORACLES: dict[str, str] = {"op4_chat_format": _CHAT}
+ORACLES: dict[str, str] = {"op4_chat_format": _CHAT, "op12_source_divergence": divergence.SQL}
 
 
 def queries() -> dict[str, Query]:
