@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import chat, decontam, divergence, langid, media_ts, neardup, packing, pii, repeats, stupid_backoff, token_files, toxicity
+from driftloom.llm import chat, decontam, divergence, langid, media_ts, neardup, packing, pii, repeats, spelling, stupid_backoff, token_files, toxicity
 from driftloom.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
 
 
+def op13_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bagminhash": op1_bagminhash,
     "op2_token_files": op2_token_files,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op10_bm25_decontamination": op10_bm25_decontamination,
     "op11_longest_previous_factor": op11_longest_previous_factor,
     "op12_source_divergence": op12_source_divergence,
+    "op13_spelling_halves": op13_spelling_halves,
 }
 
 _SAID = "</s>[INST] ok [/INST]"
