@@ -36,7 +36,7 @@ from driftloom.llm.words import mix
 #: Bytes of a repeated string, and of the grams among which its anchor is chosen.
 WINDOW, GRAM = 200, 50
 #: Classes of a gram that meet in one suffix array; classes of one task's suffix arrays.
-GROUP, BUCKET = 200, 4096
+GROUP, BUCKET = 1500, 4096
 #: Bytes that are hashed together.
 PIECE = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
