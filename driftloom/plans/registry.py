@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from driftloom.errors import ConfigurationError
 from driftloom.operators import analytics, envelope, sizing
 from driftloom.operators.generate import TYPE_PATH, Generator
+from driftloom.plans import relational  # noqa: F401  registers its queries
+from driftloom.plans.catalog import ORACLES, QUERIES, Query, query
 from driftloom.plans.spec import Config, load_config, load_config_from_dict
 from driftloom.sources.rows import batch_rows, stream_rows
 from driftloom.sources.shared import shared_path
@@ -26,22 +28,6 @@ from driftloom.streaming.monitor import progress
 from driftloom.streaming.record_sink import RecordSink
 from driftloom.streaming.writers import for_kafka, read_merged, write
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None) -> Callable[[Query], Query]:
-    def add(run: Query) -> Query:
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-
-    return add
-
-
 def u(path: str, role: str = "value", row_id: str = "event_id", seed: int = 42) -> str:
     return f"(('0x'||substr(md5('{seed}|{path}|{role}|'||{row_id}),1,12))::BIGINT/281474976710656::DOUBLE)"
 
