@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import joins, windows
+from driftloom.operators import grouping, joins, multisets, windows
 from driftloom.plans.catalog import query
 from driftloom.sources.tables import table
 from driftloom.streaming import stateful
@@ -210,3 +210,102 @@ def t8_once_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [first.unionByName(again(first)), again(first).unionByName(second).unionByName(again(second)).unionByName(again(second)), *rest]
     landed = stateful.replayed(spark, parts, lambda stream: stateful.once(stream, ("event_id",), "ts", "1 hour"))
     return landed.filter("event_id >= 0").select("event_id", _time("ts"), "event_type")
+
+
+_CUBE = """SELECT event_type, hour::INTEGER AS hour, grouping(event_type, hour)::BIGINT AS groups, count(*) AS rows, count(DISTINCT user_id) AS users
+    FROM (SELECT *, hour(ts) AS hour FROM events) GROUP BY {}"""
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("hour", F.hour("ts"))
+
+
+@query("t9_cube_distinct", _CUBE.format("CUBE (event_type, hour)"))
+def t9_cube_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and users by type and hour, each, both and neither."""
+    out = grouping.exact_grouping_sets(_hours(spark, sf_dir), ("event_type", "hour"), "cube", "user_id")
+    return out.withColumnRenamed("distinct_values", "users")
+
+
+@query("t9_grouping_sets_distinct", _CUBE.format("GROUPING SETS ((event_type), (hour), ())"))
+def t9_grouping_sets_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = grouping.exact_grouping_sets(_hours(spark, sf_dir), ("event_type", "hour"), [("event_type",), ("hour",), ()], "user_id")
+    return out.withColumnRenamed("distinct_values", "users")
+
+
+@query(
+    "t9_rollup_sketches",
+    f"""SELECT event_type, hour, groups, rows, round(total, 4) AS sum_value, users AS at_least, TRUE AS close FROM
+    (SELECT event_type, hour::INTEGER AS hour, grouping(event_type, hour)::BIGINT AS groups, count(*) AS rows, sum(value) AS total,
+      count(DISTINCT user_id) AS users FROM (SELECT *, hour(ts) AS hour FROM events) GROUP BY ROLLUP (event_type, hour))""",
+)
+def t9_rollup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, sums and users of a rollup from one scan, users by united sketches; beside them exact numbers, and whether the sketches are within 6 % or 2."""
+    e = _hours(spark, sf_dir)
+    about = grouping.grouping_sets(e, ("event_type", "hour"), "rollup", "user_id", "value")
+    exact = grouping.exact_grouping_sets(e, ("event_type", "hour"), "rollup", "user_id").select(
+        F.col("event_type").alias("t"), F.col("hour").alias("h"), F.col("groups").alias("g"), F.col("distinct_values").alias("at_least")
+    )
+    same = F.col("event_type").eqNullSafe(F.col("t")) & F.col("hour").eqNullSafe(F.col("h")) & (F.col("groups") == F.col("g"))
+    close = F.abs(F.col("distinct_about") - F.col("at_least")) <= F.greatest(0.06 * F.col("at_least"), F.lit(2.0))
+    return about.join(exact, same).select("event_type", "hour", "groups", "rows", F.round("sum_value", 4).alias("sum_value"), "at_least", close.alias("close"))
+
+
+@query(
+    "t10_top_by_key",
+    """SELECT event_type, event_id, value, place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INTEGER AS place FROM events)
+    WHERE place <= 10""",
+)
+def t10_top_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest values of each type."""
+    e = _events(spark, sf_dir).select("event_id", "event_type", "value")
+    return grouping.top_by_key(e, ("event_type",), [F.desc("value")], 10)
+
+
+@query(
+    "t10_top_with_ties",
+    """SELECT o_orderstatus, o_orderkey, o_orderdate::DATE::VARCHAR AS day, place FROM
+    (SELECT *, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate)::INTEGER AS place FROM orders) WHERE place <= 3""",
+)
+def t10_top_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three earliest orders of each status, and all of the same days."""
+    out = grouping.top_by_key(table(spark, sf_dir, "orders"), ("o_orderstatus",), [F.col("o_orderdate")], 3, ties=True)
+    return out.select("o_orderstatus", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "place")
+
+
+@query("t10_top", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
+def t10_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.top(_events(spark, sf_dir).select("event_id", "value"), [F.desc("value")], 100)
+
+
+_SENT = "SELECT event_type, user_id FROM events"
+_LANDED = """(SELECT event_type, user_id FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_type, user_id FROM events WHERE event_id % 5 = 0
+    UNION ALL SELECT 'foreign', user_id FROM events WHERE event_id % 50 = 0)"""
+
+
+def _both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as they were sent, and as they landed: some lost, some twice, some of others."""
+    e = _events(spark, sf_dir)
+    pick = lambda rows: rows.select("event_type", "user_id")
+    foreign = e.filter("event_id % 50 = 0").select(F.lit("foreign").alias("event_type"), "user_id")
+    return pick(e), pick(e.filter("event_id % 7 <> 0")).union(pick(e.filter("event_id % 5 = 0"))).union(foreign)
+
+
+@query(
+    "t11_reconcile",
+    f"""WITH s AS (SELECT event_type, user_id, count(*) AS n FROM ({_SENT}) GROUP BY ALL), l AS (SELECT event_type, user_id, count(*) AS n FROM {_LANDED} GROUP BY ALL),
+    b AS (SELECT event_type, user_id, coalesce(s.n, 0) AS sent, coalesce(l.n, 0) AS landed FROM s FULL JOIN l USING (event_type, user_id))
+    SELECT *, CASE WHEN sent = landed THEN 'ok' WHEN sent = 0 THEN 'foreign' WHEN landed < sent THEN 'lost' ELSE 'repeated' END AS state FROM b""",
+)
+def t11_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multisets.reconcile(*_both_sides(spark, sf_dir))
+
+
+@query("t11_except_all", f"{_SENT} EXCEPT ALL SELECT * FROM {_LANDED}")
+def t11_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multisets.except_all(*_both_sides(spark, sf_dir))
+
+
+@query("t11_intersect_all", f"{_SENT} INTERSECT ALL SELECT * FROM {_LANDED}")
+def t11_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multisets.intersect_all(*_both_sides(spark, sf_dir))
