@@ -4,14 +4,17 @@ S(w | context) is the n-gram's relative frequency where it occurs at least
 ``min_count`` times in the corpus, else ``alpha`` times S of the shorter context; of a
 single word its share of all words.  A document's score is the mean logarithm.
 
-The counts are a table of n-gram hashes, partitioned by ranges of the hash.  Documents
-are gathered to units of a bounded number of characters.  A unit's exploded n-grams,
-each distinct one once with its number, go to the partitions that own them (a frequent
-n-gram is one entry of a unit, however often it occurs), are summed up there and come
-back joined to the unit's n-grams, where their logarithms are summed per document.
-Between the two, hashes travel sorted, as differences in byte planes: a run of n-grams of
-one unit and one partition is one row.  There are never more rows than n-grams, and no
-row is larger than a unit.  Both sides of the join gather the units from the documents.
+The counts are a table of n-gram hashes.  Documents are gathered to units of a bounded
+number of characters, and a unit's exploded n-grams are rows: each distinct one once, with its
+number there, so that a frequent n-gram is one row of a unit, however often it occurs.
+Spark deals the rows by hash, sums their numbers per hash and joins the sums to the rows, by
+a window.  N-grams of ``min_count`` and more, and all single words, go back to
+their units; others are told by their absence.  There the logarithms are summed per
+document.  All this grows in proportion to the corpus: rows are n-grams, and nothing goes over
+pairs of units and partitions.
+
+Hashes are worked on in ``SLICES`` ranges, one after another, so that the files of an exchange
+are those of one range.
 """
 
 from __future__ import annotations
@@ -22,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import limit_threads, stored, whole_text
+from driftloom.llm.common import Steps, bound_batches, limit_threads, whole_text
 from driftloom.llm.words import Words, mix
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-#: Characters of a unit (one document at least), and units' worth of n-grams in a partition.
-UNIT_CHARS, UNITS_PER_PARTITION = 8_000_000, 2
+#: Characters of a unit (one document at least), and ranges of hashes that are counted one after another.
+UNIT_CHARS, SLICES = 8_000_000, 4
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -118,58 +121,37 @@ def _grams_of_unit(counts: bytes, words: bytes, ids: bytes, order: int) -> tuple
     return count, gram_keys(word, position, order)
 
 
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each partition's range of hashes begins in sorted ``keys``."""
-    lows = np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, lows), len(keys))
+def _lows(slices: int) -> np.ndarray:
+    """Where each range of hashes begins."""
+    return np.array([(k << 64) // slices for k in range(slices)], np.uint64)
 
 
-def _runs(by_order: list[np.ndarray], parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order, one after another: distinct hashes, their numbers, each n-gram's place among them, partitions' bounds."""
-    for keys in by_order:
-        distinct, place, number = np.unique(keys, return_inverse=True, return_counts=True)
-        yield distinct, number, place, _bounds(distinct, parts)
+#: Bits of an n-gram's place among the distinct ones of its unit, order and range.
+_PLACE = 40
+_GRAM = "h long, unit long, at long, n long"
 
 
-def _ask(order: int, parts: int):
-    """Rows (p, unit, grams, n): a run of one unit's n-grams of one partition, by order and hash, and their numbers."""
+def _explode(order: int, slices: int, k: int):
+    """Rows of the distinct n-grams of each unit whose hashes are in range ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = _lows(slices)[k]
+        high = _lows(slices)[k + 1] - np.uint64(1) if k + 1 < slices else np.uint64(0xFFFFFFFFFFFFFFFF)
         for batch in _gather(batches):
             for row in batch.select(["unit", "counts", "words", "ids"]).to_pylist():
                 _, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
-                runs = [(distinct, number.astype(np.uint32), bounds) for distinct, number, _, bounds in _runs(by_order, parts)]
-                del by_order
-                out = []
-                for p in range(parts):
-                    grams, n = (np.concatenate([r[k][r[2][p] : r[2][p + 1]] for r in runs]) for k in (0, 1))
-                    if len(grams):
-                        out.append((p, pack_numbers(_differences(grams)), pack_numbers(n)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in out], pa.int32()),
-                        pa.array([row["unit"]] * len(out), pa.int64()),
-                        pa.array([x[1] for x in out], pa.binary()),
-                        pa.array([x[2] for x in out], pa.binary()),
-                    ],
-                    ["p", "unit", "grams", "n"],
-                )
+                for n, keys in enumerate(by_order):
+                    own = keys[(keys >= low) & (keys <= high) & (keys != 0)]
+                    grams, number = np.unique(own, return_counts=True)
+                    at = np.arange(len(grams)) | (n * slices + k) << _PLACE
+                    for a in range(0, len(grams), 1 << 16):
+                        part = slice(a, a + (1 << 16))
+                        columns = [grams[part].view(np.int64), np.full(len(grams[part]), row["unit"], np.int64), at[part], number[part].astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "unit", "at", "n"])
 
     return run
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """Counts over all units, for each unit's n-grams of one partition, in its order."""
-    limit_threads()
-    keys = [np.cumsum(unpack_numbers(x, np.uint64), dtype=np.uint64) for x in asked.column("grams").to_pylist()]
-    own = [unpack_numbers(x, np.uint32) for x in asked.column("n").to_pylist()]
-    sizes = np.cumsum([len(k) for k in keys])[:-1]
-    _, number = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(number, weights=np.concatenate(own)).astype(np.uint64)
-    answers = [pack_numbers(x) for x in np.split(total[number], sizes)]
-    return pa.table({"unit": asked.column("unit"), "p": asked.column("p"), "n": pa.array(answers, pa.binary())})
-
-
 def score_words(
     by_order: list[np.ndarray], count_of: list[np.ndarray], alpha: float, min_count: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -197,30 +179,31 @@ def score_words(
 _SUMS = "doc_id long, n_words long, n_single long, sum_log double"
 
 
-def _counts_of(by_order: list[np.ndarray], parts: int, said: dict[int, bytes]) -> list[np.ndarray]:
-    """Corpus counts of a unit's n-grams, by order, from the partitions' answers to its runs."""
-    answers = [unpack_numbers(said[p], np.uint64) if p in said else np.zeros(0, np.uint64) for p in range(parts)]
-    read, out = np.zeros(parts, np.int64), []
-    for distinct, _, place, bounds in _runs(by_order, parts):
-        sizes = np.diff(bounds)
-        counts = np.concatenate([x[a : a + n] for x, a, n in zip(answers, read.tolist(), sizes.tolist(), strict=True)])
-        if len(counts) != len(distinct):
+def _counts_of(by_order: list[np.ndarray], slices: int, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Corpus counts of a unit's n-grams by order, 0 where nothing has come back."""
+    where, place = at >> _PLACE, at & ((1 << _PLACE) - 1)
+    out = []
+    for k, keys in enumerate(by_order):
+        distinct, number = np.unique(keys, return_inverse=True)
+        none = int(len(distinct) > 0 and distinct[0] == 0)  # no n-gram ends there
+        begins = np.searchsorted(distinct[none:], _lows(slices)) + none
+        counts = np.zeros(len(distinct))
+        own = where // slices == k
+        counts[begins[where[own] % slices] + place[own]] = n[own]
+        if k == 0 and len(distinct) and not counts[none:].all():
             raise ValueError("the documents differ between two readings; store them first")
-        read += sizes
-        out.append(counts[place].astype(np.float64))
-    if (read != [len(x) for x in answers]).any():
-        raise ValueError("the documents differ between two readings; store them first")
+        out.append(counts[number])
     return out
 
 
-def _score(order: int, parts: int, alpha: float, min_count: int):
-    def run(units: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(order: int, slices: int, alpha: float, min_count: int):
+    def run(units: pa.Table, counted: pa.Table) -> pa.Table:
         limit_threads()
         out = []
-        said = dict(zip(answers.column("p").to_pylist(), answers.column("n").to_pylist(), strict=True))
+        at, n = (counted.column(c).to_numpy() for c in ("at", "n"))
         for row in units.select(["doc_ids", "counts", "words", "ids"]).to_pylist():
             count, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
-            logs, single = score_words(by_order, _counts_of(by_order, parts, said), alpha, min_count)
+            logs, single = score_words(by_order, _counts_of(by_order, slices, at, n), alpha, min_count)
             doc = np.repeat(np.arange(len(count)), count)
             sums, singles = (np.bincount(doc, weights=x, minlength=len(count)) for x in (logs, single))
             ids = pa.array(row["doc_ids"], pa.int64())
@@ -238,17 +221,24 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     Words are runs of letters and digits, case folded.  A null text counts as empty; a
     text without words has sum 0 and a null score.  Rows that repeat, also a doc_id,
     count and are scored each for itself.  Other columns are left out, whatever their
-    names; no rows, no result.  ``docs`` is read twice and must say the same each time, as
-    tables do.
+    names; no rows, no result.  ``docs`` is read again for each range and must say the same
+    each time, in the same partitions, as tables do; otherwise it is an error.
     """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    steps = Steps(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    counted = None
+    for k in range(SLICES):
+        grams = rows.mapInArrow(_explode(order, SLICES, k), _GRAM)
+        total = grams.select("unit", "at", F.sum("n").over(Window.partitionBy("h")).alias("n"))
+        single = F.shiftright("at", _PLACE) < SLICES
+        part = steps.store(total.filter(single | (F.col("n") >= min_count)), "counts")
+        counted = part if counted is None else counted.unionByName(part)
     units = rows.mapInArrow(_gather, _UNIT)
-    chars = rows.agg(F.sum(F.length("text").cast("long") + 1)).first()[0] or 0
-    parts = 1 + chars // (UNIT_CHARS * UNITS_PER_PARTITION)
-    asked = rows.mapInArrow(_ask(order, parts), "p int, unit long, grams binary, n binary").repartition(parts, "p")
-    answers = asked.groupBy("p").applyInArrow(_answer, "unit long, p int, n binary").repartition(parts, "unit")
-    sums = units.repartition(parts, "unit").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_score(order, parts, alpha, min_count), _SUMS)
-    sums = stored(sums, "lm-sums")
+    sums = units.groupBy("unit").cogroup(counted.groupBy("unit")).applyInArrow(_score(order, SLICES, alpha, min_count), _SUMS)
+    sums = steps.store(sums, "sums")
+    steps.drop(counted)
     total = sums.agg(F.sum("n_words")).first()[0] or 1
     log = F.col("sum_log") - F.col("n_single") * float(np.log(total))
     return sums.select(
