@@ -13,8 +13,8 @@ their units; others are told by their absence.  There the logarithms are summed
 document.  All this grows in proportion to the corpus: rows are n-grams, and nothing goes over
 pairs of units and partitions.
 
-Hashes are worked on in ``SLICES`` ranges, one after another, so that the files of an exchange
-are those of one range.
+Hashes are worked on in ``SLICES`` ranges, one after another, and units in as many shares when
+their counts come back, so that the files of an exchange are those of one range or share.
 """
 
 from __future__ import annotations
@@ -92,22 +92,30 @@ def _to_unit(unit: int, ids: list, texts: list[str]) -> pa.RecordBatch:
     )
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _share(unit: int) -> int:
+    """Which of the ``SLICES`` shares of units one belongs to."""
+    return ((unit >> 32) + (unit & 0xFFFFFFFF)) % SLICES
+
+
+def _gather(batches: Iterator[pa.RecordBatch], share: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The units of a partition; only those of one share where that is given."""
     limit_threads()
     part, seq, size = TaskContext.get().partitionId(), 0, 0
     ids: list = []
     texts: list[str] = []
+    asked = lambda: share is None or _share(part << 32 | seq) == share
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if texts and size + len(text) > UNIT_CHARS:
-                    yield _to_unit(part << 32 | seq, ids, texts)
+                    if asked():
+                        yield _to_unit(part << 32 | seq, ids, texts)
                     ids, texts, size, seq = [], [], 0, seq + 1
                 ids.append(i)
                 texts.append(text)
                 size += len(text) + 1
-    if texts:
+    if texts and asked():
         yield _to_unit(part << 32 | seq, ids, texts)
 
 
@@ -235,9 +243,14 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         single = F.shiftright("at", _PLACE) < SLICES
         part = steps.store(total.filter(single | (F.col("n") >= min_count)), "counts")
         counted = part if counted is None else counted.unionByName(part)
-    units = rows.mapInArrow(_gather, _UNIT)
-    sums = units.groupBy("unit").cogroup(counted.groupBy("unit")).applyInArrow(_score(order, SLICES, alpha, min_count), _SUMS)
-    sums = steps.store(sums, "sums")
+    sums = None
+    slices = SLICES
+    for k in range(slices):
+        units = rows.mapInArrow(lambda batches, k=k: _gather(batches, k), _UNIT)
+        share = F.pmod(F.shiftright("unit", 32) + F.col("unit").bitwiseAND(0xFFFFFFFF), F.lit(slices)) == k
+        scored = units.groupBy("unit").cogroup(counted.filter(share).groupBy("unit")).applyInArrow(_score(order, slices, alpha, min_count), _SUMS)
+        part = steps.store(scored, "sums")
+        sums = part if sums is None else sums.unionByName(part)
     steps.drop(counted)
     total = sums.agg(F.sum("n_words")).first()[0] or 1
     log = F.col("sum_log") - F.col("n_single") * float(np.log(total))

@@ -8,5 +8,5 @@ def test_all_queries_are_registered():
 
     names = entry.queries()
     numbers = sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11)) and "pipeline" in names
+    assert numbers == list(range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
