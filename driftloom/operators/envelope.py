@@ -55,6 +55,7 @@ def from_envelope(envelopes: DataFrame, schema: StructType | str) -> DataFrame:
 
 
 def extract(envelopes: DataFrame, fields: dict[str, str], data: str = "data", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Single fields of a payload by name: {column: type}."""
-    text = F.col(data).cast("string")
-    return envelopes.select(*keep, *(F.get_json_object(text, f"$.{n}").cast(t).alias(n) for n, t in fields.items()))
+    """Single fields of a payload by name: {column: type}; it is parsed once."""
+    kind = ", ".join(f"`{n}` string" for n in fields)
+    said = envelopes.select(*keep, F.from_json(F.col(data).cast("string"), kind).alias("said"))
+    return said.select(*keep, *(F.col("said")[n].cast(t).alias(n) for n, t in fields.items()))

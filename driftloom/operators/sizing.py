@@ -27,6 +27,15 @@ def expected_rows(spec: Spec) -> dict[str, float]:
     return {e.id: (spec.rows or 0) * e.weight / total for e in spec.event_types}
 
 
+def spread(types: DataFrame, weight: str, total: float | Column, name: str) -> DataFrame:
+    """A table of event types and weights with each type's share of ``total``: rows per second, or of a batch.
+
+    Null weights have no share.
+    """
+    whole = types.agg(F.sum(weight)).scalar()
+    return types.withColumn(name, total * F.col(weight) / whole)
+
+
 def rates_table(spark: SparkSession, spec: Spec) -> DataFrame:
     return spark.createDataFrame(list(rates(spec).items()), "event_type string, rows_per_second double")
 
@@ -45,6 +54,10 @@ def cost_per_million(dollars_per_hour: Column, events_per_second: Column) -> Col
     return dollars_per_hour / (events_per_second * 3600 / 1e6)
 
 
+#: Shares above which a resource is the bottleneck.
+CPU_HIGH, MEMORY_HIGH, GC_HIGH, NETWORK_HIGH = 0.80, 0.85, 0.10, 0.80
+
+
 def action(metrics: dict[str, str] | None = None) -> Column:
     """What to do about a pipeline, from columns of its metrics.
 
@@ -55,9 +68,9 @@ def action(metrics: dict[str, str] | None = None) -> Column:
     return (
         F.when(~c["backlog_growing"], "healthy")
         .when(c["mixed"], "split_pipeline")
-        .when(c["cpu_min"] > 0.80, "scale_out")
-        .when((c["memory"] > 0.85) | (c["gc"] > 0.10), "scale_up")
-        .when(c["network"] > 0.80, "optimize_shuffle")
+        .when(c["cpu_min"] > CPU_HIGH, "scale_out")
+        .when((c["memory"] > MEMORY_HIGH) | (c["gc"] > GC_HIGH), "scale_up")
+        .when(c["network"] > NETWORK_HIGH, "optimize_shuffle")
         .otherwise("check_skew_source_sink_code")
     )
 
@@ -105,13 +118,16 @@ def load_profile(spark: SparkSession, kind: str, seconds: int, base: float, peak
     return spark.range(0, seconds, step).select(F.col("id").alias("second"), rate[kind].alias("rate"))
 
 
-def backlog(profile: DataFrame, capacity: float, every: float = 1.0) -> DataFrame:
-    """Backlog over a profile at a fixed capacity: second, rate, backlog.
+def backlog(profile: DataFrame, capacity: float | Column, every: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Backlog over a load at a fixed capacity: ``keys``, second, rate, backlog.
 
-    The backlog is the running sum of what is over capacity, less its lowest value so
-    far: it never goes below nothing.
+    ``profile`` has the rate of each step of ``every`` seconds, made or measured.  The
+    backlog is the running sum of what is over capacity, less its lowest value so
+    far: it never goes below nothing.  With ``keys`` each pipeline is one task's
+    window; without, the steps are one series.
     """
-    order = Window.orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    total = profile.withColumn("sum", F.sum((F.col("rate") - F.lit(float(capacity))) * every).over(order))
+    order = Window.partitionBy(*keys).orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
+    over = F.col("rate") - (capacity if isinstance(capacity, Column) else F.lit(float(capacity)))
+    total = profile.withColumn("sum", F.sum(over * every).over(order))
     lowest = F.least(F.lit(0.0), F.min("sum").over(order))
-    return total.select("second", "rate", (F.col("sum") - lowest).alias("backlog"))
+    return total.select(*keys, "second", "rate", (F.col("sum") - lowest).alias("backlog"))

@@ -7,6 +7,7 @@ the SQL of such a draw.
 from __future__ import annotations
 
 import copy
+import json
 import time
 from collections.abc import Callable
 from typing import Any
@@ -14,17 +15,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.errors import ConfigurationError
 from driftloom.operators import analytics, envelope, sizing
 from driftloom.operators.generate import TYPE_PATH, Generator
-from driftloom.plans import relational  # noqa: F401  registers its queries
+from driftloom.plans import documents, relational  # noqa: F401  registers its queries
 from driftloom.plans.catalog import ORACLES, QUERIES, Query, query
 from driftloom.plans.spec import Config, load_config, load_config_from_dict
 from driftloom.sources.rows import batch_rows, stream_rows
 from driftloom.sources.shared import shared_path
 from driftloom.sources.tables import envelope_stream, table_stream
 from driftloom.streaming import record_files
-from driftloom.streaming.monitor import progress
+from driftloom.streaming.monitor import ProgressLog
 from driftloom.streaming.record_sink import RecordSink
 from driftloom.streaming.writers import for_kafka, read_merged, write
 
@@ -105,15 +105,25 @@ def e2_discriminator_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over_events(spark, sf_dir, config({"kind": {"event_type_id": True}}, _TWO)).select("event_id", "kind")
 
 
-@query("e3_rates", "SELECT * FROM (VALUES ('page', 600.0::DOUBLE), ('buy', 400.0::DOUBLE)) t(event_type, rows_per_second)")
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types with as many as a weight as there are rows of them."""
+    return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("weight"))
+
+
+@query("e3_rates", "SELECT event_type, 1000.0 * count(*) / sum(count(*)) OVER () AS rows_per_second FROM events GROUP BY 1")
 def e3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = config(events=_TWO, generation_mode="streaming", streaming_config={"total_rows_per_second": 1000})
-    return sizing.rates_table(spark, c.spec())
+    """A thousand rows per second, shared as the types of the table are."""
+    return sizing.spread(_measured(spark, sf_dir), "weight", 1000.0, "rows_per_second").drop("weight")
 
 
-@query("e4_expected_rows", "SELECT * FROM (VALUES ('page', 600.0::DOUBLE), ('buy', 400.0::DOUBLE)) t(event_type, rows)")
+@query(
+    "e4_expected_rows",
+    "SELECT event_type, (SELECT count(*) FROM orders)::DOUBLE * count(*) / sum(count(*)) OVER () AS rows FROM events GROUP BY 1",
+)
 def e4_expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(sizing.expected_rows(config(events=_TWO).spec()).items()), "event_type string, rows double")
+    """A batch of as many rows as there are orders, shared likewise."""
+    total = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.count("*").cast("double")).scalar()
+    return sizing.spread(_measured(spark, sf_dir), "weight", total, "rows").drop("weight")
 
 
 @query(
@@ -160,20 +170,23 @@ def s1_yaml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("s5_row_ids", "SELECT 1000 AS rows, 1000 AS ids, 1000 AS same")
+@query("s5_row_ids", "SELECT count(*) AS rows, count(*) AS ids, count(*) AS same FROM events")
 def s5_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row has an id of its own, whatever the partitions; it isn't a column."""
-    one, other = (
-        Generator(spark, config({"v": {"type": "uuid"}}, batch_config={"total_rows": 1000, "partitions": n}).spec()).batch() for n in (3, 7)
-    )
-    same = one.join(other, "v", "left_semi").agg(F.count("*")).scalar()
-    counts = one.agg(F.count("*").cast("int").alias("rows"), F.count_distinct("v").cast("int").alias("ids"))
-    return counts.select("rows", "ids", same.cast("int").alias("same"))
+    """As many rows as the table has: each has an id of its own, whatever the partitions, and the table's ids give the same."""
+    n = events(spark, sf_dir).count()
+    made = lambda parts: Generator(spark, config({"v": {"type": "uuid"}}, batch_config={"total_rows": n, "partitions": parts}).spec()).batch()
+    onto = over_events(spark, sf_dir, config({"v": {"type": "uuid"}}))
+    same = made(3).join(onto, "v", "left_semi").agg(F.count("*")).scalar()
+    counts = made(7).agg(F.count("*").alias("rows"), F.count_distinct("v").alias("ids"))
+    return counts.select("rows", "ids", same.alias("same"))
 
 
-@query("s3_batch_rows", "SELECT count(*) AS n, sum(r)::BIGINT AS total FROM range(1000) t(r)")
+@query("s3_batch_rows", "SELECT event_id, event_type FROM events")
 def s3_batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_rows(spark, 1000, 8).agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+    """Ids of a batch as large as the table, with the rows that have them."""
+    e = events(spark, sf_dir).select("event_id", "event_type")
+    ids = batch_rows(spark, e.count(), 8).select(F.col("id").alias("event_id"))
+    return ids.join(e, "event_id", "left")
 
 
 @query("s7_table_scan", "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND value > 50")
@@ -199,19 +212,21 @@ def _shown_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-@query("s4_rate_rows", "SELECT range AS id, 1 AS n FROM range(1000)")
+@query("s4_rate_rows", "SELECT event_id, event_type FROM events")
 def s4_rate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thousand ids of the endless stream: each of them, once."""
-    path, first = shared_path(spark, "rate"), 1000
-    stream = write(stream_rows(spark, 5000, 2), "parquet", path, checkpoint=shared_path(spark, "rate-log"))
-    until = time.monotonic() + 120
-    while sum(p["numInputRows"] for p in stream.recentProgress) < first:
+    """Ids of an endless stream, joined with the table as they come, until all its rows have come; each once."""
+    path, e = shared_path(spark, "rate"), events(spark, sf_dir).select("event_id", "event_type")
+    first = e.count()
+    ids = stream_rows(spark, max(5000, first // 2), 2).select(F.col("id").alias("event_id"))
+    stream = write(ids.join(e, "event_id"), "parquet", path, checkpoint=shared_path(spark, "rate-log"))
+    until, seen = time.monotonic() + 300, {}
+    while sum(seen.values()) < first:
+        seen |= {p["batchId"]: p["numInputRows"] for p in stream.recentProgress if p["numInputRows"]}
         if not stream.isActive or time.monotonic() > until:
             raise RuntimeError(f"the stream of rows stopped: {stream.exception()}")
         time.sleep(0.2)
     stream.stop()
-    rows = spark.read.parquet(path).filter(F.col("id") < first)
-    return rows.groupBy("id").agg(F.count("*").cast("int").alias("n"))
+    return spark.read.schema("event_id long, event_type string").parquet(path)
 
 
 @query("a5_stream_watermark", f"""SELECT w.* FROM ({_WINDOW_SQL}) w
@@ -593,16 +608,28 @@ def a10_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "rows", F.round("share", 9).alias("share"), "expected")
 
 
-_PROGRESS = [(1, 1000.0, 1200.0, 0.5), (2, 1000.0, 800.0, 0.6), (3, 1000.0, 1100.0, 0.9), (4, 1000.0, 1001.0, 1.2)]
+_HOURLY = """(SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS second, count(*)::DOUBLE AS n FROM events GROUP BY ALL)"""
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each type and hour, the measured load of a pipeline."""
+    second = (F.floor(seconds("ts") / 3600) * 3600).alias("second")
+    return events(spark, sf_dir).groupBy("event_type", second).agg(F.count("*").cast("double").alias("n"))
 
 
 @query(
     "a11_health",
-    """SELECT * FROM (VALUES (1, 'healthy'), (2, 'backlog_growing'), (3, 'near_trigger'), (4, 'over_trigger')) t(batch, state)""",
+    f"""WITH p AS (SELECT event_type, second, n AS input_rate, 4 + second // 3600 % 3 AS processing_rate FROM {_HOURLY})
+    SELECT event_type, second, CASE WHEN processing_rate < input_rate THEN 'backlog_growing' WHEN input_rate / processing_rate > 1 THEN 'over_trigger'
+      WHEN input_rate / processing_rate > 0.8 THEN 'near_trigger' ELSE 'healthy' END AS state FROM p""",
 )
 def a11_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_PROGRESS, "batch int, input_rate double, processing_rate double, batch_seconds double")
-    return analytics.health(rows, 1.0).select("batch", "state")
+    """Each hour's load of each type against what a pipeline gets through, which changes by the hour."""
+    rows = _hourly(spark, sf_dir).select(
+        "event_type", "second", F.col("n").alias("input_rate"), (4 + F.floor(F.col("second") / 3600) % 3).cast("double").alias("processing_rate")
+    )
+    rows = rows.withColumn("batch_seconds", F.col("input_rate") / F.col("processing_rate"))
+    return analytics.health(rows, 1.0).select("event_type", "second", "state")
 
 
 @query(
@@ -632,27 +659,29 @@ def a13_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderstatus", F.round(sizing.cost_per_million(F.lit(12.0), F.col("rate")), 9).alias("dollars"))
 
 
-_STEPS = [(1, 1000.0, 1200.0), (2, 1500.0, 1650.0), (3, 2000.0, 2100.0), (4, 2500.0, 2200.0), (5, 3000.0, 2150.0)]
-_STEPS_SQL = f"(VALUES {', '.join(str(x) for x in _STEPS)}) t(step, input_rate, processing_rate)"
-
-
 @query(
     "a14_breaking_point",
-    f"""SELECT max(processing_rate)::DOUBLE AS max_rate, max(CASE WHEN (processing_rate-input_rate)/input_rate >= 0.05 THEN input_rate END)::DOUBLE AS capacity,
-    min(CASE WHEN processing_rate < input_rate THEN input_rate END)::DOUBLE AS breaking_rate FROM {_STEPS_SQL}""",
+    """WITH s AS (SELECT hour(ts) AS step, count(*)::DOUBLE AS input_rate FROM events GROUP BY 1),
+    m AS (SELECT *, least(1.2 * input_rate, 0.97 * max(input_rate) OVER ()) AS processing_rate FROM s)
+    SELECT max(processing_rate)::DOUBLE AS max_rate, max(CASE WHEN (processing_rate-input_rate)/input_rate >= 0.05 THEN input_rate END)::DOUBLE AS capacity,
+    min(CASE WHEN processing_rate < input_rate THEN input_rate END)::DOUBLE AS breaking_rate FROM m""",
 )
 def a14_breaking_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sizing.breaking_point(spark.createDataFrame(_STEPS, "step int, input_rate double, processing_rate double"))
+    """Hours of the day as load steps, for a pipeline that gets through a fifth more than comes, up to a limit."""
+    steps = events(spark, sf_dir).groupBy(F.hour("ts").alias("step")).agg(F.count("*").cast("double").alias("input_rate"))
+    limit = F.lit(0.97) * steps.agg(F.max("input_rate")).scalar()
+    return sizing.breaking_point(steps.withColumn("processing_rate", F.least(1.2 * F.col("input_rate"), limit)))
 
 
 @query(
     "a15_burst_backlog",
-    """WITH p AS (SELECT s AS second, CASE WHEN s >= 1200 AND s < 1800 THEN 3000.0 ELSE 1000.0 END::DOUBLE AS rate FROM range(0, 3000, 60) t(s)),
-    c AS (SELECT second, rate, sum((rate - 1500)*60) OVER (ORDER BY second) AS total FROM p)
-    SELECT second, rate, (total - least(0, min(total) OVER (ORDER BY second)))::DOUBLE AS backlog FROM c""",
+    f"""WITH c AS (SELECT event_type, second, n AS rate, sum((n - 3.0) * 3600) OVER (PARTITION BY event_type ORDER BY second) AS total FROM {_HOURLY})
+    SELECT event_type, second, rate, (total - least(0, min(total) OVER (PARTITION BY event_type ORDER BY second)))::DOUBLE AS backlog FROM c""",
 )
 def a15_burst_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sizing.backlog(sizing.load_profile(spark, "burst", 3000, 1000, 3000, 60), 1500, 60)
+    """What is left over at the end of each hour if a pipeline of each type gets through three rows an hour."""
+    load = _hourly(spark, sf_dir).withColumnRenamed("n", "rate")
+    return sizing.backlog(load, 3.0, 3600.0, ("event_type",))
 
 
 @query(
@@ -761,9 +790,25 @@ def k15_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a18_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress rows of a stream say what it has read and how long that took."""
     stream = table_stream(spark, sf_dir, "events").select("event_id")
-    started = write(stream, "noop", checkpoint=shared_path(spark, "progress-log"), trigger={"availableNow": True})
-    started.awaitTermination()
-    return progress(started).agg(F.sum("input_rows").alias("input_rows"), (F.min("batch_seconds") > 0).alias("timed"))
+    with ProgressLog(spark) as log:
+        started = write(stream, "noop", checkpoint=shared_path(spark, "progress-log"), trigger={"availableNow": True})
+        started.awaitTermination()
+        return log.progress(started).agg(F.sum("input_rows").alias("input_rows"), (F.min("batch_seconds") > 0).alias("timed"))
+
+
+@query("s6_record_reader", f"SELECT event_name AS partition_key, {_PAYLOAD} AS data FROM {_ENVELOPED}")
+def s6_record_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes sent to a stream of four shards and read from it, with a restart between two halves."""
+    spark.dataSource.register(RecordSink)
+    sent, out, log = (shared_path(spark, n) for n in ("shards", "shards-out", "shards-log"))
+    options = _SENT | {"records_path": sent, "records_shards": "4"}
+    rows = j2_envelope(spark, sf_dir).withColumn("half", F.crc32("data") % 2)
+    for half in range(2):
+        write(rows.filter(F.col("half") == half).drop("half"), RecordSink.name(), **options)
+        reader = spark.readStream.format(RecordSink.name()).options(**options, settle_seconds="0")
+        time.sleep(0.01)  # what arrives in a batch's last millisecond belongs to the next one
+        write(reader.load(), "parquet", out, checkpoint=log, trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema(_RECORDS).parquet(out)
 
 
 @query("k8_kafka_columns", f"SELECT event_name AS key, {_PAYLOAD} AS value FROM {_ENVELOPED}")
@@ -817,7 +862,8 @@ _BREAKS: dict[str, tuple[str, Any]] = {
 }
 
 
-def _rejected(path: str, value: Any) -> bool:
+def _broken(path: str, value: Any) -> str:
+    """The sound document with one change, as JSON."""
     document = copy.deepcopy(_SOUND)
     at: Any = document
     *way, last = path.split("/")
@@ -827,25 +873,41 @@ def _rejected(path: str, value: Any) -> bool:
         del at[last]
     else:
         at[last] = value
-    try:
-        load_config_from_dict(document)
-    except ConfigurationError:
-        return True
-    return False
+    return json.dumps(document)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each customer: of all changes one after another, with the customer's own names in it."""
+    made = F.array(*(F.lit(_broken(*change)) for change in _BREAKS.values()))
+    names = F.array(*map(F.lit, _BREAKS))
+    number = (F.col("c_custkey") % len(_BREAKS) + 1).cast("int")
+    own = F.replace(F.element_at(made, number), F.lit('"x"'), F.concat(F.lit('"x'), F.col("c_custkey").cast("string"), F.lit('"')))
+    own = F.replace(own, F.lit('"kinesis"'), F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit('"')))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return customers.select("c_custkey", "c_mktsegment", F.element_at(names, number).alias("rule"), own.alias("document"))
 
 
-@query("v_rules", "SELECT * FROM (VALUES " + ", ".join(f"({r!r}, {r != 'sound'})" for r in _BREAKS) + ") t(rule, rejected)")
+_RULES = "list_value(" + ", ".join(repr(r) for r in _BREAKS) + f")[c_custkey % {len(_BREAKS)} + 1]"
+
+
+@query("v_rules", f"SELECT c_custkey, {_RULES} AS rule, {_RULES} <> 'sound' AS rejected FROM customer")
 def v_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each rule with a document that breaks just it, and the sound one, which passes."""
-    return spark.createDataFrame([(rule, _rejected(*change)) for rule, change in _BREAKS.items()], "rule string, rejected boolean")
+    """Each rule with documents that break just it, and sound ones, which pass: a document for each customer."""
+    checked = documents.check_documents(_documents(spark, sf_dir), "document")
+    return checked.select("c_custkey", "rule", (~F.col("valid")).alias("rejected"))
 
 
-@query("v17_mapping", "SELECT 'kinesis' AS dotted, 5 AS missing, TRUE AS held, FALSE AS absent, 'batch' AS item")
+@query(
+    "v17_mapping",
+    f"""SELECT c_custkey, c_mktsegment AS dotted, 'batch' AS item, NULL::VARCHAR AS absent, '2' AS weight, 'x' || c_custkey AS first_type
+    FROM customer WHERE {_RULES} = 'sound'""",
+)
 def v17_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A configuration reads like a mapping, with dotted paths."""
-    c = load_config_from_dict(copy.deepcopy(_SOUND))
-    row = (c.get("sink_config.type"), c.get("batch_config.none", 5), "seed" in c or "event_types" in c, "draws" in c, c["generation_mode"])
-    return spark.createDataFrame([row], "dotted string, missing int, held boolean, absent boolean, item string")
+    """Valid documents read like mappings, with dotted paths."""
+    sound = _documents(spark, sf_dir).filter("rule = 'sound'")
+    read = documents.read_documents(sound, "document", {"dotted": "sink_config.type", "item": "generation_mode", "absent": "batch_config.none", "types": "event_types"})
+    first = F.from_json("types", "array<struct<event_type_id:string,weight:string>>")[0]
+    return read.select("c_custkey", "dotted", "item", "absent", first["weight"].alias("weight"), first["event_type_id"].alias("first_type"))
 
 
 def queries() -> dict[str, Query]:

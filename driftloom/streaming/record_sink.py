@@ -6,6 +6,9 @@ counted and the batch still commits (at most once per record); with ``retries``
 the failed records of a call are sent again after ``retry_seconds`` (0.1), then twice as
 long each time; with ``fail_on_error`` a task fails for what is left.  An answer that
 counts failures but doesn't tell them is counted and not sent again.
+
+Writers get Arrow batches and work on whole columns; calls go out of a bounded queue as soon
+as a thread is free.  The same source reads records, see ``record_source``.
 """
 
 from __future__ import annotations
@@ -15,20 +18,24 @@ import logging
 import time
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from itertools import islice
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Row
 from pyspark.sql.datasource import (
     DataSource,
-    DataSourceStreamWriter,
-    DataSourceWriter,
+    DataSourceArrowWriter,
+    DataSourceStreamArrowWriter,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
+from driftloom.streaming.record_source import RecordStreamReader
+
 log = logging.getLogger(__name__)
 
 #: Fixed values of the service: records of a call; threads of a task.
@@ -58,14 +65,22 @@ def stream_client(options: dict[str, str]) -> Any:
     except ImportError as error:
         raise ImportError("this sink needs boto3, or a client_factory of your own") from error
     region = options.get("region", "us-east-1")
+    pool: dict[str, Any] = {}
+    try:
+        from botocore.config import Config
+
+        # as many kept connections as a task has threads
+        pool = {"config": Config(max_pool_connections=THREADS, tcp_keepalive=True)}
+    except ImportError:
+        log.debug("no botocore: the client's own pool of connections is used")
     provider = options.get("credential_provider")
     if options.get("service_credential"):
         if not provider:
             raise ValueError("service_credential needs credential_provider, 'module:function' that returns a session")
         module, _, name = provider.partition(":")
-        return getattr(importlib.import_module(module), name)(options["service_credential"]).client("kinesis", region_name=region)
+        return getattr(importlib.import_module(module), name)(options["service_credential"]).client("kinesis", region_name=region, **pool)
     keys = {k: options[k] for k in ("aws_access_key_id", "aws_secret_access_key", "aws_session_token") if options.get(k)}
-    return boto3.client("kinesis", region_name=region, **keys)
+    return boto3.client("kinesis", region_name=region, **keys, **pool)
 
 
 class _Writer:
@@ -83,14 +98,16 @@ class _Writer:
         self.fail_on_error = str(options.get("fail_on_error", "false")).lower() == "true"
         self.client = client
 
-    def records(self, rows: Iterable[Row], message: Sent) -> Iterator[dict]:
-        for row in rows:
-            values = row.asDict()
-            data, key = values.get("data"), values.get("partition_key")
-            if data is None or key is None:
-                message.skipped += 1
-                continue
-            yield {"Data": data.encode() if isinstance(data, str) else bytes(data), "PartitionKey": str(key)}
+    def records(self, items: Iterable[pa.RecordBatch | Row], message: Sent) -> Iterator[dict]:
+        for item in items:
+            batch = item if isinstance(item, pa.RecordBatch) else pa.RecordBatch.from_pylist([item.asDict()])
+            data, key = (batch.column(n) if n in batch.schema.names else pa.nulls(batch.num_rows) for n in ("data", "partition_key"))
+            if pa.types.is_string(data.type) or pa.types.is_large_string(data.type):
+                data = data.cast(pa.large_binary())
+            good = pc.and_(pc.is_valid(data), pc.is_valid(key))
+            message.skipped += batch.num_rows - (pc.sum(good).as_py() or 0)
+            for d, k in zip(data.filter(good).to_pylist(), key.filter(good).cast(pa.string()).to_pylist(), strict=True):
+                yield {"Data": d if isinstance(d, bytes) else str(d).encode(), "PartitionKey": k}
 
     def send(self, client: Any, chunk: list[dict]) -> tuple[int, int]:
         """Sent and failed records of a call."""
@@ -115,15 +132,25 @@ class _Writer:
             left = failed
         return len(chunk) - len(left), len(left)
 
-    def write(self, iterator: Iterator[Row]) -> Sent:
+    def write(self, iterator: Iterator[pa.RecordBatch | Row]) -> Sent:
         message, client = Sent(), self.client(self.options)
         records = self.records(iterator, message)
+        pending: set[Future] = set()
+
+        def count(done: set[Future]) -> None:
+            for call in done:
+                sent, failed = call.result()
+                message.sent += sent
+                message.failed += failed
+
         with ThreadPoolExecutor(THREADS) as pool:
-            # as many calls at a time as there are threads: a partition isn't held in memory
-            while calls := list(islice(iter(lambda: list(islice(records, CALL_RECORDS)), []), THREADS)):
-                for sent, failed in pool.map(lambda c: self.send(client, c), calls):
-                    message.sent += sent
-                    message.failed += failed
+            # two calls a thread wait or run at a time: a partition isn't held in memory, and no call waits for a slow one
+            while call := list(islice(records, CALL_RECORDS)):
+                if len(pending) >= 2 * THREADS:
+                    done, pending = wait(pending, return_when=FIRST_COMPLETED)
+                    count(done)
+                pending.add(pool.submit(self.send, client, call))
+            count(pending)
         if message.failed and self.fail_on_error:
             raise RuntimeError(f"{message.failed} of {message.sent + message.failed} records failed")
         return message
@@ -134,7 +161,7 @@ class _Writer:
         return Sent(sum(m.sent for m in known), sum(m.failed for m in known), sum(m.skipped for m in known))
 
 
-class RecordStreamWriter(_Writer, DataSourceStreamWriter):
+class RecordStreamWriter(_Writer, DataSourceStreamArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
         total = self.total(messages)
         log.info("batch %d: sent %d, failed %d, skipped %d", batchId, total.sent, total.failed, total.skipped)
@@ -143,7 +170,7 @@ class RecordStreamWriter(_Writer, DataSourceStreamWriter):
         log.error("batch %d was aborted; %d records had been sent", batchId, self.total(messages).sent)
 
 
-class RecordBatchWriter(_Writer, DataSourceWriter):
+class RecordBatchWriter(_Writer, DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         total = self.total(messages)
         log.info("sent %d, failed %d, skipped %d", total.sent, total.failed, total.skipped)
@@ -160,7 +187,7 @@ class RecordSink(DataSource):
         return "driftloom_records"
 
     def schema(self) -> str:
-        return "partition_key string, data string"
+        return "partition_key string, data string, sequence_number string, shard string, arrived timestamp"
 
     def writer(self, schema: StructType, overwrite: bool) -> RecordBatchWriter:
         return RecordBatchWriter(self.options)
@@ -168,5 +195,8 @@ class RecordSink(DataSource):
     def streamWriter(self, schema: StructType, overwrite: bool) -> RecordStreamWriter:
         return RecordStreamWriter(self.options)
 
+    def streamReader(self, schema: StructType) -> RecordStreamReader:  # noqa: N802
+        return RecordStreamReader(self.options, stream_client)
+
 
 KinesisDataSource = RecordSink

@@ -90,9 +90,11 @@ def route(events: DataFrame, key: str, groups: dict[str, tuple[str, ...]], sink:
 
     def split(batch: DataFrame, _: int) -> None:
         batch.persist()
-        for name, types in groups.items():
-            sink(batch.filter(F.col(key).isin(*types)), name)
-        batch.unpersist()
+        try:
+            for name, types in groups.items():
+                sink(batch.filter(F.col(key).isin(*types)), name)
+        finally:
+            batch.unpersist()
 
     start = {"checkpointLocation": shared_path(events.sparkSession, "route")} | start
     writer = events.writeStream.foreachBatch(split)
