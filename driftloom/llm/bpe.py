@@ -6,8 +6,9 @@ piece goes through the library once and is remembered as bytes.  Pieces are cut
 the same pattern with its classes spelled out up to U+024F, which is much faster;
 texts with characters beyond go through the library whole.
 
-Strings of special tokens inside a text are ordinary text
-(``encode_special_tokens``): a document can't forge a control id.
+A string of an added token inside a text gets that token's id, as in the library's plain call;
+such texts go through the library whole.  With ``specials_as_text`` these strings are ordinary text
+(``encode_special_tokens``): then a document can't forge a control id.
 """
 
 from __future__ import annotations
@@ -44,13 +45,15 @@ _word = re.compile(f" ?[{_L}]+").fullmatch
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials_as_text: bool = False) -> None:
         limit_threads()
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = specials_as_text
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if not (specials_as_text and t.special)]
+        self._added = re.compile("|".join(map(re.escape, added))).search if added else None
         self._tokenizer.model._resize_cache(0)  # what comes here is new
         self._known: dict[str, bytes] = {}
         (self._newline,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
@@ -91,6 +94,8 @@ class PieceEncoder:
             known = self._known = dict(islice(known.items(), MEMO_PIECES // 2))
         get = known.get
         beyond = [not t.isascii() and _beyond(t) is not None for t in texts]
+        if self._added:
+            beyond = [far or self._added(t) is not None for t, far in zip(texts, beyond, strict=True)]
         pieces = [[] if far else _split(t) for t, far in zip(texts, beyond, strict=True)]
         parts = [list(map(get, own)) for own in pieces]
         gaps = [[k for k, ids in enumerate(own) if ids is None] if None in own else () for own in parts]
@@ -114,6 +119,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str = DEFAULT_TOKENIZER) -> PieceEncoder:
+def encoder(path: str = DEFAULT_TOKENIZER, specials_as_text: bool = False) -> PieceEncoder:
     """This Python worker's encoder."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, specials_as_text)

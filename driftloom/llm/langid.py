@@ -32,7 +32,7 @@ def remainder(doc_id: str, n: int) -> Column:
 
 
 def drawn(known: DataFrame, label: str, per_label: int) -> DataFrame:
-    """About ``per_label`` rows of each label, the same on every run; never more than twice as many.
+    """About ``per_label`` rows of each label, the same on every run; never more than twice as many of all.
 
     Rows of ``known`` are taken by a hash of their doc_id against the label's share.  So
     the sample is bounded by the number of labels, of which a model has a row of weights each.
@@ -42,7 +42,9 @@ def drawn(known: DataFrame, label: str, per_label: int) -> DataFrame:
     for r in sizes:
         share = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, per_label / r["count"]))).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return known.filter(draw < share).limit(2 * per_label * len(sizes))
+    # in an order, as a doc_id that repeats very often is drawn as a whole
+    order = F.xxhash64(*(F.col(f"`{c}`") for c in known.columns))
+    return known.filter(draw < share).orderBy(order).limit(2 * per_label * len(sizes))
 
 
 def in_order(rows: list, label: str) -> list:

@@ -113,10 +113,10 @@ def plan_windows(hist: np.ndarray, window: int) -> tuple[list[tuple], list[tuple
     return segments, stream, windows
 
 
-def _cut(window: int, end_id: int, tokenizer: str):
+def _cut(window: int, end_id: int, tokenizer: str, specials_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        codec, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        codec, end = encoder(tokenizer, specials_as_text), np.array([end_id], dtype="<u4").tobytes()
         fulls, row, ranks = 0, 0, np.zeros(window, dtype=np.int64)
         width = 4 * window
         for whole in batches:
@@ -148,7 +148,7 @@ def _cut(window: int, end_id: int, tokenizer: str):
     return run
 
 
-def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str = DEFAULT_TOKENIZER, specials_as_text: bool = False) -> DataFrame:
     """Pack every whole ``text`` of ``docs`` into sequences of ``window`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, window: int = 1024, end_id: int = 0, tokenizer: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    pieces = stored(rows.mapInArrow(_cut(window, end_id, tokenizer), PIECE_SCHEMA), "pieces")
+    pieces = stored(rows.mapInArrow(_cut(window, end_id, tokenizer, specials_as_text), PIECE_SCHEMA), "pieces")
 
     counts = stored(pieces.groupBy("part", "full", "length").agg(F.count("*").alias("n")), "piece-counts")
     hist = np.zeros(window, dtype=np.int64)

@@ -37,10 +37,10 @@ WRITER = {
 }
 
 
-def _encode_part(end_id: int, tokenizer: str):
+def _encode_part(end_id: int, tokenizer: str, specials_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        codec, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        codec, end = encoder(tokenizer, specials_as_text), np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -64,7 +64,7 @@ def _encode_part(end_id: int, tokenizer: str):
 
 
 def write_token_files(
-    docs: DataFrame, path: str, end_id: int = 2, tokenizer: str = DEFAULT_TOKENIZER
+    docs: DataFrame, path: str, end_id: int = 2, tokenizer: str = DEFAULT_TOKENIZER, specials_as_text: bool = False
 ) -> None:
     """Encode every whole ``text`` of ``docs`` and write a token file set to ``path``.
 
@@ -78,7 +78,7 @@ def write_token_files(
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     order = ("doc_id", F.xxhash64("text"))
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    ids = dealt.mapInArrow(_encode_part(end_id, tokenizer), FILE_SCHEMA)
+    ids = dealt.mapInArrow(_encode_part(end_id, tokenizer, specials_as_text), FILE_SCHEMA)
     writer = ids.write
     for key, value in WRITER.items():
         writer = writer.option(key, value)

@@ -12,12 +12,12 @@ from driftloom.llm.common import shared_path
 from driftloom.llm.registry import QUERIES
 
 
-def _library(texts, end):
+def _library(texts, end, specials_as_text=False):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = specials_as_text
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -32,6 +32,13 @@ def test_ids_equal_the_librarys(texts):
     assert own == [x[:-1] for x in _library(texts, 0)]
 
 
+@pytest.mark.parametrize("specials_as_text", [False, True])
+def test_strings_of_special_tokens(specials_as_text):
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "é <|endoftext|><|endoftext|>", "<|endoftext", "你<|endoftext|>"]
+    own = [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(specials_as_text=specials_as_text).encode(texts)]
+    assert own == [x[:-1] for x in _library(texts, 0, specials_as_text)]
+
+
 def test_op2_whole_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     want, start = {}, 0
