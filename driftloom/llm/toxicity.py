@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) ->
     """
     ids = drawn(labels.filter(F.col("toxic").isin(0, 1)), "toxic", per_label)
     found = docs.filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-    rows = in_order(found.limit(4 * per_label).collect(), "toxic")
+    rows = in_order(found.orderBy(F.xxhash64("doc_id", "text")).limit(4 * per_label).collect(), "toxic")
     words = Words([r["text"] for r in rows])
     toxic = np.array([r["toxic"] == 1 for r in rows], dtype=bool)
     mark = seed_marks(words, toxic)
