@@ -306,3 +306,38 @@ def media_digests(media: DataFrame) -> DataFrame:
     their row; no streams, no result.
     """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, _DIGESTS)
+
+
+def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first, samples = [], []
+        for part, begin, end in zip(*(batch.column(c).to_pylist() for c in ("part", "begin", "end")), strict=True):
+            stream = demux(part) if part else Stream()
+            units = [k for k, pts in enumerate(stream.pts) if pts < end and pts + UNIT * CLOCK // RATE > begin]
+            first.append(stream.pts[units[0]] if units else None)
+            samples.append(stream.payload[units[0] * UNIT : (units[-1] + 1) * UNIT] if units else b"")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(first, pa.int64()), pa.array(samples, pa.binary())], ["doc_id", "first_pts", "samples"])
+
+
+def seek(media: DataFrame, begin_seconds: float, end_seconds: float) -> DataFrame:
+    """The access units that are presented between two times: doc_id, first_pts, samples.
+
+    ``media`` is what ``store_media`` returns.  The stored time stamps tell the units, and the
+    stored offsets the random-access points before the first and after the last of them; only
+    the tables and the packets between these points leave the column.  A time beyond a
+    stream's end gives null and no samples.  Rows that repeat, and a null ``doc_id``, each have
+    their row.
+    """
+    begin, end = round(begin_seconds * CLOCK), round(end_seconds * CLOCK)
+    length = UNIT * CLOCK // RATE
+    before = F.size(F.filter("pts", lambda t: t + length <= begin))
+    upto = F.size(F.filter("pts", lambda t: t < end))
+    start = F.element_at("random_access", F.least(F.floor(before / RAP_EVERY) + 1, F.size("random_access")).cast("int"))
+    after = F.ceil(upto / RAP_EVERY) + 1
+    stop = F.when(after <= F.size("random_access"), F.element_at("random_access", F.least(after, F.size("random_access")).cast("int"))).otherwise(F.length("media"))
+    # the tables come first; those of a random-access point stand before it
+    tables = F.substring("media", F.lit(1), F.lit(2 * PACKET))
+    between = F.substring("media", (start + 1).cast("int"), (stop - start).cast("int"))
+    part = F.when(before < upto, F.concat(tables, between))
+    asked = media.select("doc_id", part.alias("part"), F.lit(begin).alias("begin"), F.lit(end).alias("end"))
+    return asked.mapInArrow(_sought, "doc_id long, first_pts long, samples binary")

@@ -102,3 +102,23 @@ def test_op7_odd(request, which):
     docs = request.getfixturevalue(which)
     rows = media_ts.media_digests(media_ts.store_media(docs)).collect()
     _check(rows, {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_seeking_reads_from_a_random_access_point(spark):
+    """Stored stamps and offsets lead to the units of a time, from a part of the stream."""
+    import numpy as np
+    from driftloom.llm import media_ts
+
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(32, 127, n))) for n in (10, 8192, 100_000, 200_001)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    media = media_ts.store_media(docs)
+    unit = media_ts.UNIT
+    for begin, end in ((0.0, 0.5), (5.0, 5.1), (4.2, 17.0), (20.0, 1000.0), (3.072, 3.072 + 1e-4)):
+        got = {r.doc_id: r for r in media_ts.seek(media, begin, end).collect()}
+        for k, text in enumerate(texts):
+            payload, _ = media_ts.to_payload(text or "")
+            units = [u for u in range(-(-len(payload) // unit)) if u * unit / 8000 < end and (u + 1) * unit / 8000 > begin]
+            want = b"".join(payload[u * unit : (u + 1) * unit] for u in units)
+            assert bytes(got[k].samples) == want
+            assert got[k].first_pts == (units[0] * unit * 90_000 // 8000 if units else None)
