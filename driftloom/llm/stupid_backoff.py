@@ -13,7 +13,7 @@ their units; others are told by their absence.  There the logarithms are summed
 document.  All this grows in proportion to the corpus: rows are n-grams, and nothing goes over
 pairs of units and partitions.
 
-Hashes are worked on in ``SLICES`` ranges, one after another, and units in as many shares when
+Hashes are worked on in ``SLICES`` ranges, one after another, and units in ``SHARES`` shares when
 their counts come back, so that the files of an exchange are those of one range or share.
 """
 
@@ -32,8 +32,8 @@ from driftloom.llm.common import Steps, bound_batches, limit_threads, whole_text
 from driftloom.llm.words import Words, mix
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-#: Characters of a unit (one document at least), and ranges of hashes that are counted one after another.
-UNIT_CHARS, SLICES = 8_000_000, 4
+#: Characters of a unit (one document at least); ranges of hashes that are counted, and shares of units that are scored, one after another.
+UNIT_CHARS, SLICES, SHARES = 8_000_000, 3, 2
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -72,19 +72,20 @@ def gram_keys(word: np.ndarray, position: np.ndarray, order: int) -> list[np.nda
 _UNIT = "unit long, doc_ids array<long>, counts binary, words binary, ids binary"
 
 
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and how many each text has."""
+    parts = [Words(texts[a : a + 512], digits=True) for a in range(0, len(texts), 512)]
+    return np.concatenate([w.hashes() for w in parts]), np.concatenate([w.counts for w in parts])
+
+
 def _to_unit(unit: int, ids: list, texts: list[str]) -> pa.RecordBatch:
-    hashes, counts = [], []
-    for a in range(0, len(texts), 512):
-        w = Words(texts[a : a + 512], digits=True)
-        hashes.append(w.hashes())
-        counts.append(w.counts)
-    h = np.concatenate(hashes)
+    h, counts = _word_hashes(texts)
     distinct, number = np.unique(h, return_inverse=True)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([unit], pa.int64()),
             pa.array([ids], pa.list_(pa.int64())),
-            pa.array([pack_numbers(np.concatenate(counts).astype(np.uint32))], pa.binary()),
+            pa.array([pack_numbers(counts.astype(np.uint32))], pa.binary()),
             pa.array([pack_numbers(_differences(distinct))], pa.binary()),
             pa.array([pack_numbers(number.astype(np.uint32))], pa.binary()),
         ],
@@ -93,12 +94,12 @@ def _to_unit(unit: int, ids: list, texts: list[str]) -> pa.RecordBatch:
 
 
 def _share(unit: int) -> int:
-    """Which of the ``SLICES`` shares of units one belongs to."""
-    return ((unit >> 32) + (unit & 0xFFFFFFFF)) % SLICES
+    """Which of the ``SHARES`` shares of units one belongs to."""
+    return ((unit >> 32) + (unit & 0xFFFFFFFF)) % SHARES
 
 
-def _gather(batches: Iterator[pa.RecordBatch], share: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The units of a partition; only those of one share where that is given."""
+def _units(batches: Iterator[pa.RecordBatch], share: int | None = None) -> Iterator[tuple[int, list, list[str]]]:
+    """The units of a partition, with ids and texts; only those of one share where that is given."""
     limit_threads()
     part, seq, size = TaskContext.get().partitionId(), 0, 0
     ids: list = []
@@ -110,13 +111,18 @@ def _gather(batches: Iterator[pa.RecordBatch], share: int | None = None) -> Iter
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if texts and size + len(text) > UNIT_CHARS:
                     if asked():
-                        yield _to_unit(part << 32 | seq, ids, texts)
+                        yield part << 32 | seq, ids, texts
                     ids, texts, size, seq = [], [], 0, seq + 1
                 ids.append(i)
                 texts.append(text)
                 size += len(text) + 1
     if texts and asked():
-        yield _to_unit(part << 32 | seq, ids, texts)
+        yield part << 32 | seq, ids, texts
+
+
+def _gather(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    for unit, ids, texts in _units(batches, share):
+        yield _to_unit(unit, ids, texts)
 
 
 def _grams_of_unit(counts: bytes, words: bytes, ids: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -125,8 +131,12 @@ def _grams_of_unit(counts: bytes, words: bytes, ids: bytes, order: int) -> tuple
     distinct = np.cumsum(unpack_numbers(words, np.uint64), dtype=np.uint64)
     number = unpack_numbers(ids, np.uint32)
     word = distinct[number] if len(number) else np.zeros(0, np.uint64)
-    position = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-    return count, gram_keys(word, position, order)
+    return count, gram_keys(word, _positions(count), order)
+
+
+def _positions(count: np.ndarray) -> np.ndarray:
+    """Each word's place in its document."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _lows(slices: int) -> np.ndarray:
@@ -145,17 +155,16 @@ def _explode(order: int, slices: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = _lows(slices)[k]
         high = _lows(slices)[k + 1] - np.uint64(1) if k + 1 < slices else np.uint64(0xFFFFFFFFFFFFFFFF)
-        for batch in _gather(batches):
-            for row in batch.select(["unit", "counts", "words", "ids"]).to_pylist():
-                _, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
-                for n, keys in enumerate(by_order):
-                    own = keys[(keys >= low) & (keys <= high) & (keys != 0)]
-                    grams, number = np.unique(own, return_counts=True)
-                    at = np.arange(len(grams)) | (n * slices + k) << _PLACE
-                    for a in range(0, len(grams), 1 << 16):
-                        part = slice(a, a + (1 << 16))
-                        columns = [grams[part].view(np.int64), np.full(len(grams[part]), row["unit"], np.int64), at[part], number[part].astype(np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "unit", "at", "n"])
+        for unit, _, texts in _units(batches):
+            word, count = _word_hashes(texts)
+            for n, keys in enumerate(gram_keys(word, _positions(count), order)):
+                own = keys[(keys >= low) & (keys <= high) & (keys != 0)]
+                grams, number = np.unique(own, return_counts=True)
+                at = np.arange(len(grams)) | (n * slices + k) << _PLACE
+                for a in range(0, len(grams), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    columns = [grams[part].view(np.int64), np.full(len(grams[part]), unit, np.int64), at[part], number[part].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "unit", "at", "n"])
 
     return run
 
@@ -244,11 +253,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         part = steps.store(total.filter(single | (F.col("n") >= min_count)), "counts")
         counted = part if counted is None else counted.unionByName(part)
     sums = None
-    slices = SLICES
-    for k in range(slices):
+    shares = SHARES
+    for k in range(shares):
         units = rows.mapInArrow(lambda batches, k=k: _gather(batches, k), _UNIT)
-        share = F.pmod(F.shiftright("unit", 32) + F.col("unit").bitwiseAND(0xFFFFFFFF), F.lit(slices)) == k
-        scored = units.groupBy("unit").cogroup(counted.filter(share).groupBy("unit")).applyInArrow(_score(order, slices, alpha, min_count), _SUMS)
+        share = F.pmod(F.shiftright("unit", 32) + F.col("unit").bitwiseAND(0xFFFFFFFF), F.lit(shares)) == k
+        scored = units.groupBy("unit").cogroup(counted.filter(share).groupBy("unit")).applyInArrow(_score(order, SLICES, alpha, min_count), _SUMS)
         part = steps.store(scored, "sums")
         sums = part if sums is None else sums.unionByName(part)
     steps.drop(counted)
