@@ -33,7 +33,7 @@ from driftloom.llm.words import Words, mix
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Characters of a unit (one document at least); ranges of hashes that are counted, and shares of units that are scored, one after another.
-UNIT_CHARS, SLICES, SHARES = 8_000_000, 3, 2
+UNIT_CHARS, SLICES, SHARES = 8_000_000, 3, 4
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
