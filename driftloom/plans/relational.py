@@ -192,12 +192,12 @@ def t6_stream_sliding_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "t7_silent_users",
     f"""WITH n AS (SELECT user_id, ts AS last_seen, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM
       (SELECT DISTINCT user_id, date_trunc('millisecond', ts) AS ts FROM events)),
-    s AS (SELECT user_id, last_seen, last_seen + INTERVAL 120 MINUTE AS silent_at FROM n WHERE next IS NULL OR next > last_seen + INTERVAL 120 MINUTE)
+    s AS (SELECT user_id, last_seen, last_seen + INTERVAL 720 MINUTE AS silent_at FROM n WHERE next IS NULL OR next > last_seen + INTERVAL 720 MINUTE)
     SELECT user_id, {_sql_time("last_seen")}, {_sql_time("silent_at")} FROM s""",
 )
 def t7_silent_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users who haven't been heard of for two hours, by timers of event time."""
-    told = lambda stream: stateful.silences(stream, "user_id", "ts", 120, "10 minutes")
+    """Users who haven't been heard of for twelve hours, by timers of event time."""
+    told = lambda stream: stateful.silences(stream, "user_id", "ts", 720, "10 minutes")
     out = stateful.replayed(spark, _parts(_events(spark, sf_dir)), told).filter("user_id >= 0")
     return out.select("user_id", _time("last_seen"), _time("silent_at"))
 

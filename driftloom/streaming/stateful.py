@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from driftloom.sources.shared import shared_path
 from driftloom.streaming.writers import write
@@ -85,30 +85,40 @@ def once(stream: DataFrame, ids: tuple[str, ...], time: str, watermark: str) ->
 
 
 class _Silence(StatefulProcessor):
-    """Keeps the times of a key until its silence after each is decided."""
+    """Keeps the times of a key until its silence after each is decided.
+
+    A time that another one follows in time needs no timer; the last of each run does.
+    """
 
     def __init__(self, millis: int) -> None:
         self.millis = millis
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getMapState("times", StructType([StructField("time", LongType())]), StructType([StructField("n", LongType())]))
+        self.times = handle.getValueState("times", StructType([StructField("times", ArrayType(LongType()))]))
+
+    def _known(self) -> list[int]:
+        return list(self.times.get()[0]) if self.times.exists() else []
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        for row in rows:
-            time = row.at
-            if not self.times.containsKey((time,)):
-                self.times.updateValue((time,), (1,))
-                # event-time timers fire when the watermark is past them: ends count as inside
+        fresh = {row.at for row in rows}
+        times = sorted(fresh.union(self._known()))
+        self.times.update((times,))
+        for time, after in zip(times, [*times[1:], None], strict=True):
+            if time in fresh and (after is None or after > time + self.millis):
                 self.handle.registerTimer(time + self.millis)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         due = expiredTimerInfo.getExpiryTimeInMs()
         time = due - self.millis
-        heard = any(time < t[0] <= due for t in self.times.keys())
-        self.times.removeKey((time,))
-        if not heard:
+        # what is still to come is later than the watermark, which has passed ``due``
+        left = [t for t in self._known() if t > time]
+        if left:
+            self.times.update((left,))
+        else:
+            self.times.clear()
+        if not left or left[0] > due:
             yield Row(key=key[0], last=time, due=due)
 
     def close(self) -> None:
@@ -118,8 +128,8 @@ class _Silence(StatefulProcessor):
 def silences(stream: DataFrame, key: str, time: str, minutes: int, watermark: str) -> DataFrame:
     """Times at which a ``key`` has been silent for ``minutes``: key, last_seen, silent_at.
 
-    A timer of event time is set for each row, and tells when the watermark has passed it
-    whether another row came until then (one at the very end counts).  Rows in any order
+    A timer of event time is set for each row that none is known to follow in time, and tells
+    when the watermark has passed it whether one came until then (one at the very end counts).  Rows in any order
     within the watermark's delay give the same result, as the state holds all times that
     aren't decided, ``minutes`` and the delay at most.  Times are in milliseconds.  Null
     keys are a key; rows with a null time are left out.  Of equal times one counts.

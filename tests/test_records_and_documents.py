@@ -116,6 +116,22 @@ def test_writers_take_whole_columns():
     assert [(r["PartitionKey"], r["Data"]) for c in calls for r in c] == [("1", "é".encode()), ("x", b"\xff"), ("y", b"")]
 
 
+def test_client_keeps_a_connection_for_each_thread(monkeypatch):
+    import sys
+    from types import ModuleType
+
+    from driftloom.streaming.record_sink import THREADS, stream_client
+
+    made = []
+    boto3, botocore, config = ModuleType("boto3"), ModuleType("botocore"), ModuleType("botocore.config")
+    config.Config = lambda **k: k
+    boto3.client = lambda kind, **k: made.append((kind, k)) or "client"
+    for name, module in (("boto3", boto3), ("botocore", botocore), ("botocore.config", config)):
+        monkeypatch.setitem(sys.modules, name, module)
+    assert stream_client({"stream_name": "s"}) == "client"
+    assert made == [("kinesis", {"region_name": "us-east-1", "config": {"max_pool_connections": THREADS, "tcp_keepalive": True}})]
+
+
 def test_slow_calls_do_not_hold_up_others():
     """One call takes long; all others are done by then."""
     done = []
