@@ -110,7 +110,7 @@ FROM o GROUP BY conv_id"""
 
 #: SQL can't say what learned models, tokenizers and media formats give; tests compare
 #: those queries with plain versions.
-ORACLES: dict[str, str] = {"op4_chat_format": _CHAT, "op12_source_divergence": divergence.SQL}
+ORACLES: dict[str, str] = {"op4_chat_format": _CHAT, "op11_longest_previous_factor": repeats.SQL, "op12_source_divergence": divergence.SQL}
 
 
 def queries() -> dict[str, Query]:

@@ -434,3 +434,18 @@ def digests(found: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: What the query returns over ``documents``, in DuckDB SQL: every window of every text.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT id, i, md5(b[i + 1 : i + {WINDOW}]) AS h FROM (SELECT id, b, unnest(range(0, octet_length(b)::BIGINT - {WINDOW - 1})) AS i FROM d)),
+c AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+g AS (SELECT id, i, i > coalesce(lag(i) OVER (PARTITION BY id ORDER BY i) + {WINDOW}, -1) AS fresh FROM w SEMI JOIN c USING (h)),
+s AS (SELECT id, i, sum(fresh::INT) OVER (PARTITION BY id ORDER BY i) AS no FROM g),
+p AS (SELECT id, no, min(i) AS a, max(i) + {WINDOW} AS e FROM s GROUP BY ALL),
+k AS (SELECT id, a, e, coalesce(lag(e) OVER (PARTITION BY id ORDER BY a), 0) AS before FROM p),
+q AS (SELECT id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(hex(b[before + 1 : a]), '' ORDER BY a) AS kept
+  FROM k JOIN d USING (id) GROUP BY id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1 : octet_length(b)::BIGINT]))) AS kept_sha256 FROM d LEFT JOIN q USING (id)"""

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from driftloom.llm import repeats
@@ -125,6 +126,12 @@ def test_query(spark, sf_dir):
     for i, body, spans in plain(rows, "none"):
         kept = b"".join(body[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(body)], strict=True))
         want[i] = (len(body), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest())
-    result = registry.queries()["op11_longest_previous_factor"](spark, sf_dir).collect()
+    query = registry.queries()["op11_longest_previous_factor"](spark, sf_dir)
+    result = query.collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in result} == want
     assert sum(w[1] for w in want.values()) > 0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    relation = con.sql(registry.oracle_sql()["op11_longest_previous_factor"])
+    assert relation.columns == query.columns
+    assert sorted(relation.fetchall()) == sorted(tuple(r) for r in result)
