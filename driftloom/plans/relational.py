@@ -162,13 +162,14 @@ def t5_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SLIDING = f"""WITH w AS (SELECT *, unnest(range(0, 24)) AS k FROM events),
   x AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR * k AS window_start, event_type, value FROM w),
-  g AS (SELECT window_start, event_type, count(*) AS event_count, round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value,
-    round(stddev_samp(value), 6) AS stddev_value FROM x GROUP BY ALL)
+  g AS (SELECT window_start, event_type, count(*) AS event_count, round(avg(value), 9) AS avg_value, min(value) AS min_value, max(value) AS max_value,
+    round(stddev_samp(value), 9) AS stddev_value FROM x GROUP BY ALL)
 SELECT {_sql_time("window_start")}, event_type, event_count, avg_value, min_value, max_value, stddev_value FROM g"""
 
 
 def _shown_windows(out: DataFrame) -> DataFrame:
-    rounded = (F.round(c, 6).alias(c) for c in ("avg_value", "stddev_value"))
+    # at fewer digits averages of a few rows lie just between two rounded values
+    rounded = (F.round(c, 9).alias(c) for c in ("avg_value", "stddev_value"))
     return out.select(_time("window_start"), "event_type", "event_count", "min_value", "max_value", *rounded)
 
 
