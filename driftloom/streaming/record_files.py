@@ -65,12 +65,13 @@ class FileClient:
                 rows = lines.read().decode().splitlines()
             arrived = datetime.fromtimestamp(int(own[:15]) / 1000, timezone.utc)
             first = line if own == name else 0
-            for k, row in enumerate(rows[first : first + Limit - len(out)], first):
+            upto = min(len(rows), first + Limit - len(out))
+            for k, row in enumerate(rows[first:upto], first):
                 said = json.loads(row)
                 out.append(
                     {"Data": said["data"].encode(), "PartitionKey": said["partition_key"], "SequenceNumber": f"{own[:-5]}-{k:06d}", "ApproximateArrivalTimestamp": arrived}
                 )
-            name, line = own, min(len(rows), first + Limit)
+            name, line = own, upto
             if len(out) >= Limit:
                 break
         return {"Records": out, "NextShardIterator": json.dumps([shard, name, line if names else 0]), "MillisBehindLatest": 0}

@@ -98,6 +98,18 @@ def test_answers_are_bounded(tmp_path):
     assert max(sizes) == 10 and seen == sorted(seen) == list(range(30))
 
 
+def test_answers_that_end_within_a_later_file_leave_nothing_out(tmp_path):
+    client = record_files.client({"records_path": f"file://{tmp_path}/records"})
+    for first in (0, 7):
+        client.put_records("s", [{"PartitionKey": "k", "Data": str(i).encode()} for i in range(first, 25)])
+        time.sleep(0.005)
+    at, seen = client.get_shard_iterator("", "TRIM_HORIZON")["ShardIterator"], []
+    while (said := client.get_records(at, 10))["Records"]:
+        seen += [int(r["Data"]) for r in said["Records"]]
+        at = said["NextShardIterator"]
+    assert seen == [*range(25), *range(7, 25)]
+
+
 def test_writers_take_whole_columns():
     calls = []
 
