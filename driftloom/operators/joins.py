@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.shared import checkpointed
+
 #: Rows of a key above which it is cut or dealt out; ranges of time for such a key at most.
 HOT_ROWS, RANGES = 1_000_000, 256
 #: Keys that may count as heavy: the only rows that are broadcast.
@@ -60,6 +62,8 @@ def asof(
     if some_hot:
         shares = [k / RANGES for k in range(1, RANGES)]
         edges = both.join(hot, names, "left_semi").groupBy(*names).agg(F.array_distinct(F.percentile_approx(micros, shares)).alias(cuts))
+        # quantiles depend on the order in which parts are merged, so they are taken once: rows and ends need the same ranges
+        edges = checkpointed(edges)
         binned = both.join(edges, names, "left").withColumn(bin_, F.coalesce(F.size(F.filter(cuts, lambda c: c <= micros)), F.lit(0))).drop(cuts)
         binned = binned.withColumn(bin_, F.when(F.col(bin_) < 0, 0).otherwise(F.col(bin_)))
     else:
