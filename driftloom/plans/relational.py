@@ -130,8 +130,13 @@ def t4_split_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for how in ("inner", "left", "left_semi", "left_anti"):
         met = joins.split_join(lines, customers, "k", how, hot_rows=_HOT, parts=8)
-        segment = F.col("c_mktsegment") if "c_mktsegment" in met.columns else F.lit(None).cast("string")
-        found = met.groupBy(F.lit(how).alias("how"), segment.alias("segment")).agg(F.count("*").alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+        totals = F.count("*").alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity")
+        if "c_mktsegment" in met.columns:
+            found = met.groupBy(F.col("c_mktsegment").alias("segment")).agg(*totals)
+        else:
+            # one row, also where no line is left
+            found = met.agg(*totals).withColumn("segment", F.lit(None).cast("string"))
+        found = found.select(F.lit(how).alias("how"), "segment", "rows", "quantity")
         out = found if out is None else out.unionByName(found)
     return out
 

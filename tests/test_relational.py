@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from driftloom.operators import grouping, joins, multisets, windows
+from driftloom.plans import relational
 from driftloom.streaming import stateful
 from pyspark.sql import functions as F
 
@@ -138,6 +139,14 @@ def test_split_join_equals_the_plain_one(spark):
         joins.split_join(a, b, "k", "full")
 
 
+def test_a_total_of_no_lines_is_a_row(spark, tmp_path):
+    spark.range(60).selectExpr("id as l_orderkey", "CAST(id AS DOUBLE) as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(60).selectExpr("id as c_custkey", "'A' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    total = float(sum(range(60)))
+    want = [("inner", "A", 60, total), ("left", "A", 60, total), ("left_semi", None, 60, total), ("left_anti", None, 0, None)]
+    assert rows(relational.t4_split_join(spark, str(tmp_path))) == sorted(want, key=str)
+
+
 def test_heavy_rows_are_dealt_to_several_tasks(spark):
     a = spark.range(4000).selectExpr("id as i", "IF(id % 2 = 0, 7L, id + 10) as k")
     b = spark.range(10).selectExpr("id as k", "id as v")
