@@ -142,6 +142,51 @@ def within_intervals(
     return met.unionByName(points.join(held, same, "left_anti"), allowMissingColumns=True)
 
 
+def interval_totals(
+    points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, totals: dict[str, Column], keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """All intervals with sums over the points that they hold: start <= point < end, whole numbers.
+
+    No pair of point and interval is made: the points' sums are carried on along the times that
+    occur, and an interval's are what lies between its two ends.  Times are cut into ranges of
+    about equal numbers of them, each sorted by itself; what is carried into a range comes from a
+    small table of the ranges' sums.  So work grows with the rows, however many points an interval holds.
+
+    ``totals`` names the sums and says what each adds up, whole numbers or decimals, for which
+    differences are exact; nulls in it count as 0.  Intervals that hold nothing, are empty
+    (end <= start), or have a null bound or key have sums of 0.  Null points are in none; repeated
+    rows count each for itself.  Other names of ``points`` may be those of ``intervals``.
+    """
+    clash = sorted(set(totals) & set(intervals.columns))
+    if clash:
+        raise ValueError(f"{clash} are columns of the intervals; rename the sums")
+    at, part, low, high = (_unused(n, points, intervals) for n in ("totals_at", "totals_part", "totals_low", "totals_high"))
+    valued = points.select(*keys, F.col(point).cast("long").alias(at), *(c.alias(n) for n, c in totals.items()))
+    rough = sorted(n for n, kind in valued.dtypes if n in totals and kind not in ("tinyint", "smallint", "int", "bigint") and not kind.startswith("decimal"))
+    if rough:
+        raise ValueError(f"{rough} aren't whole numbers or decimals")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = lambda over=None: (zero(F.sum(n) if over is None else F.sum(n).over(over)).alias(n) for n in totals)
+    sound = intervals.filter(F.col(start) < F.col(end))
+    ends = sound.select(*keys, F.explode(F.array(F.col(start).cast("long"), F.col(end).cast("long"))).alias(at))
+    both = valued.unionByName(ends, allowMissingColumns=True).dropna(subset=[*keys, at])
+    steps = both.groupBy(*keys, at).agg(*sums())
+    # the ranges come from a sample: they are taken once
+    steps = checkpointed(steps.repartitionByRange(*keys, at).withColumn(part, F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = steps.groupBy(*keys, part).agg(*sums()).select(*keys, part, F.struct(*sums(ranges)).alias(low))
+    here = steps.select(*keys, part, at, F.struct(*sums(inside)).alias(high)).join(earlier, [*keys, part])
+    before = here.select(*keys, at, F.struct(*((F.col(low)[n] + F.col(high)[n]).alias(n) for n in totals)).alias(low))
+    out = intervals
+    for bound, name in ((start, low), (end, high)):
+        known = before.select(*(F.col(k).alias(f"{at}{i}") for i, k in enumerate(keys)), F.col(at), F.col(low).alias(name))
+        on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{at}{i}") for i, k in enumerate(keys)], F.col(bound) == F.col(at))
+        out = out.join(known, on, "left").drop(at, *(f"{at}{i}" for i in range(len(keys))))
+    held = F.col(start) < F.col(end)
+    return out.select(*intervals.columns, *(zero(F.when(held, F.col(high)[n] - F.col(low)[n])).alias(n) for n in totals))
+
+
 def _floor_div(x: Column, by: Column) -> Column:
     """Whole-number division toward minus infinity."""
     return F.call_function("div", x - F.pmod(x, by), by)

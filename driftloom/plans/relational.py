@@ -106,10 +106,15 @@ def t3_interval_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("at", F.unix_micros("ts"))
     lasts = F.when(F.col("event_id") % 97 == 0, 20_000).otherwise(F.col("event_id") % 60 + 1) * 60_000_000
     errors = e.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("at").alias("since"), (F.col("at") + lasts).alias("until"))
-    bought = e.filter("event_type = 'purchase'").select("event_id", "value", "at")
-    met = joins.within_intervals(bought, errors, "at", "since", "until").groupBy("error_id").agg(F.count("*").alias("purchases"), F.sum("value").alias("spent"))
-    out = errors.select("error_id").join(met, "error_id", "left")
-    return out.select("error_id", F.coalesce("purchases", F.lit(0)).alias("purchases"), F.round(F.coalesce("spent", F.lit(0.0)), 4).alias("spent"))
+    bought = e.filter("event_type = 'purchase'").select("event_id", "value", "at").withColumn("exact", F.expr("try_cast(value AS DECIMAL(30, 14))"))
+    sums = {"purchases": F.col("event_id").isNotNull().cast("long"), "spent": F.col("exact")}
+    met = joins.interval_totals(bought, errors, "at", "since", "until", sums).groupBy("error_id").agg(F.sum("purchases").alias("purchases"), F.sum("spent").cast("double").alias("spent"))
+    # values beyond decimals, as NaN, are added by their pairs
+    odd = bought.filter("value IS NOT NULL AND exact IS NULL")
+    if not odd.isEmpty():
+        beyond = joins.within_intervals(odd, errors, "at", "since", "until").groupBy("error_id").agg(F.sum("value").alias("beyond"))
+        met = met.join(beyond, "error_id", "left").withColumn("spent", F.coalesce("spent", F.lit(0.0)) + F.coalesce("beyond", F.lit(0.0)))
+    return met.select("error_id", "purchases", F.round(F.coalesce("spent", F.lit(0.0)), 4).alias("spent"))
 
 
 _KEYED = "(SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE l_orderkey % 40000 END AS k FROM lineitem)"

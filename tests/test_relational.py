@@ -104,6 +104,42 @@ def test_intervals_equal_plain(spark):
     assert joins.within_intervals(a.limit(0), b, "p", "a", "b", ("k",), "left").count() == 0
 
 
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_interval_totals_equal_plain(spark, keys):
+    rng = random.Random(5)
+    spans = [(i, rng.choice([None, 1, 1, 2]), a, a + rng.choice([-1, 0, 1, 7, 64, 5000])) for i, a in enumerate(rng.randint(-400, 400) for _ in range(80))]
+    spans += [(90, 1, None, 5), (91, 1, 5, None), (92, 1, -(1 << 61), 1 << 61), (92, 1, -(1 << 61), 1 << 61)]
+    points = [(rng.choice([None, 1, 1, 2]), rng.choice([None, rng.randint(-420, 420)]), rng.choice([None, rng.randint(-9, 9)])) for _ in range(150)] * 2
+    a, b = spark.createDataFrame(points, "k int, p long, v int"), spark.createDataFrame(spans, "j int, k int, a long, b long")
+    same = lambda k, m: not keys or (k is not None and k == m)
+    want = []
+    for j, m, lo, hi in spans:
+        held = [v for k, p, v in points if None not in (p, lo, hi) and same(k, m) and lo <= p < hi]
+        want.append((j, m, lo, hi, len(held), sum(v or 0 for v in held)))
+    sums = {"n": F.lit(1), "total": F.col("v")}
+    assert rows(joins.interval_totals(a, b, "p", "a", "b", sums, keys)) == sorted(want, key=str)
+    none = [(*s, 0, 0) for s in spans]
+    assert rows(joins.interval_totals(a.limit(0), b, "p", "a", "b", sums, keys)) == sorted(none, key=str)
+    assert rows(joins.interval_totals(a, b.limit(0), "p", "a", "b", sums, keys)) == []
+    with pytest.raises(ValueError, match="decimals"):
+        joins.interval_totals(a, b, "p", "a", "b", {"x": F.col("v") / 2}, keys)
+
+
+def test_interval_totals_make_no_pairs(spark, tmp_path):
+    """No step of the query has more rows than times and intervals, though each interval holds most points."""
+    made = spark.range(4000).selectExpr(
+        "id * 97 as event_id", "timestamp_seconds(id) as ts", "1L as user_id", "IF(id % 2 = 0, 'error', 'purchase') as event_type", "IF(id = 3999, double('NaN'), 0.1D) as value"
+    )
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    got = relational.t3_interval_bins(spark, str(tmp_path))
+    assert {r.error_id // 97: r.purchases for r in got.collect()} == {i: 2000 - i // 2 for i in range(0, 4000, 2)}
+    assert all(r.spent != r.spent for r in got.collect())
+    made.filter("NOT isnan(value)").write.parquet(f"{tmp_path}/sound/events.parquet")
+    got = relational.t3_interval_bins(spark, f"{tmp_path}/sound")
+    assert {r.error_id // 97: r.spent for r in got.collect()} == {i: round((1999 - i // 2) / 10, 4) for i in range(0, 4000, 2)}
+    assert "bin_size" not in plan(got)
+
+
 def test_intervals_are_an_equi_join(spark):
     a, b = spark.range(100).selectExpr("id as p"), spark.range(100).selectExpr("id as a", "id + 5 as b")
     text = plan(joins.within_intervals(a, b, "p", "a", "b"))
