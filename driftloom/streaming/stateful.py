@@ -87,7 +87,8 @@ def once(stream: DataFrame, ids: tuple[str, ...], time: str, watermark: str) ->
 class _Silence(StatefulProcessor):
     """Keeps the times of a key until its silence after each is decided.
 
-    A time that another one follows in time needs no timer; the last of each run does.
+    A key has one timer, for the first of its times that no other one follows in time.  When it
+    is due, all silences that the watermark has passed are told at once.
     """
 
     def __init__(self, millis: int) -> None:
@@ -98,28 +99,42 @@ class _Silence(StatefulProcessor):
         self.times = handle.getValueState("times", StructType([StructField("times", ArrayType(LongType()))]))
 
     def _known(self) -> list[int]:
-        return list(self.times.get()[0]) if self.times.exists() else []
+        return list((self.times.get() or ([],))[0])
+
+    def _silent(self, times: list[int]) -> Iterator[int]:
+        """Those of the sorted times that none of them follows in time."""
+        for time, after in zip(times, [*times[1:], None], strict=True):
+            if after is None or after > time + self.millis:
+                yield time
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        fresh = {row.at for row in rows}
-        times = sorted(fresh.union(self._known()))
+        known = self._known()
+        times = sorted({row.at for row in rows}.union(known))
         self.times.update((times,))
-        for time, after in zip(times, [*times[1:], None], strict=True):
-            if time in fresh and (after is None or after > time + self.millis):
-                self.handle.registerTimer(time + self.millis)
+        # the timer that is there is due no later than the first silence that was known
+        first = next(self._silent(times))
+        if not known or first < next(self._silent(known)):
+            self.handle.registerTimer(first + self.millis)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        time = due - self.millis
-        # what is still to come is later than the watermark, which has passed ``due``
-        left = [t for t in self._known() if t > time]
+        known = self._known()
+        if not known:
+            return
+        # what is still to come isn't before the watermark, so it changes nothing that was due by then
+        watermark = timerValues.getCurrentWatermarkInMs()
+        passed = max(watermark, expiredTimerInfo.getExpiryTimeInMs() + 1)
+        silent = list(self._silent(known))
+        open_ = [t for t in silent if t + self.millis >= passed]
+        left = sorted({t for t in known if t >= watermark and t + self.millis >= passed}.union(open_))
         if left:
             self.times.update((left,))
+            self.handle.registerTimer(next(self._silent(left)) + self.millis)
         else:
             self.times.clear()
-        if not left or left[0] > due:
-            yield Row(key=key[0], last=time, due=due)
+        for time in silent:
+            if time + self.millis < passed:
+                yield Row(key=key[0], last=time, due=time + self.millis)
 
     def close(self) -> None:
         pass
@@ -128,10 +143,11 @@ class _Silence(StatefulProcessor):
 def silences(stream: DataFrame, key: str, time: str, minutes: int, watermark: str) -> DataFrame:
     """Times at which a ``key`` has been silent for ``minutes``: key, last_seen, silent_at.
 
-    A timer of event time is set for each row that none is known to follow in time, and tells
-    when the watermark has passed it whether one came until then (one at the very end counts).  Rows in any order
+    A timer of event time is set for a key's first row that none is known to follow in time, and tells
+    when the watermark has passed it whether one came until then (one at the very end counts),
+    for all rows that the watermark has passed by ``minutes``.  Rows in any order
     within the watermark's delay give the same result, as the state holds all times that
-    aren't decided, ``minutes`` and the delay at most.  Times are in milliseconds.  Null
+    aren't decided or may still follow one, ``minutes`` and the delay at most.  Times are in milliseconds.  Null
     keys are a key; rows with a null time are left out.  Of equal times one counts.
     """
     kind = stream.schema[key].dataType

@@ -8,6 +8,7 @@ import pytest
 from driftloom.operators import grouping, joins, multisets, windows
 from driftloom.plans import relational
 from driftloom.streaming import stateful
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 T0 = datetime(2024, 1, 1)
@@ -292,6 +293,43 @@ def test_silence_is_the_same_in_any_order(spark):
     assert rows(out) == sorted(want, key=str)
 
 
+def test_a_key_has_one_timer_for_all_its_silences():
+    """Timers and calls to the state grow with keys, not with silences."""
+    calls, kept = Counter(), [None]
+
+    class State:
+        def exists(self):
+            return kept[0] is not None
+
+        def get(self):
+            return kept[0]
+
+        def update(self, value):
+            calls["update"] += 1
+            kept[0] = value
+
+        def clear(self):
+            kept[0] = None
+
+    class Handle:
+        getValueState = lambda *_: State()
+        registerTimer = lambda _, due: calls.update([due])
+
+    due = lambda watermark, expiry: (type("W", (), {"getCurrentWatermarkInMs": lambda _: watermark})(), type("E", (), {"getExpiryTimeInMs": lambda _: expiry})())
+    told = stateful._Silence(10)
+    told.init(Handle())
+    list(told.handleInputRows((1,), iter([Row(at=t) for t in range(0, 2000, 20)]), None))
+    assert calls == {10: 1, "update": 1}
+    got = list(told.handleExpiredTimer((1,), *due(1005, 10)))
+    assert [(r.last, r.due) for r in got] == [(t, t + 10) for t in range(0, 995, 20)]
+    assert kept[0][0] == list(range(1000, 2000, 20)) and calls[1010] == 1
+    # a late one before the first of these, and one that follows it
+    list(told.handleInputRows((1,), iter([Row(at=1006), Row(at=1990)]), None))
+    got = list(told.handleExpiredTimer((1,), *due(10_000, 1010)))
+    assert [r.last for r in got] == [t for t in range(1006, 2000) if (t % 20 == 0 and t != 1980) or t in (1006, 1990)]
+    assert kept[0] is None and list(told.handleExpiredTimer((1,), *due(10_000, 1016))) == []
+
+
 # --- groups and sets -----------------------------------------------------------------------
 
 
