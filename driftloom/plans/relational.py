@@ -196,7 +196,7 @@ def t6_stream_sliding_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(_events(spark, sf_dir))
     # windows end up to a day after the last event, so the closing row comes two days later
     later = [p if k < 2 else p.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")) for k, p in enumerate(parts)]
-    return _shown_windows(stateful.replayed(spark, later, panes).filter("event_type <> 'closing'"))
+    return _shown_windows(stateful.replayed(spark, later, panes, few_groups=True).filter("event_type <> 'closing'"))
 
 
 @query(

@@ -19,33 +19,40 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from driftloom.sources.shared import shared_path
 from driftloom.streaming.writers import write
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _SHUFFLE = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their state in RocksDB."""
-    before = spark.conf.get(_PROVIDER)
+def rocksdb_state(spark: SparkSession, few_groups: bool = False) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, with ``few_groups`` in a partition per core at most.
+
+    Each micro-batch loads and commits a store for each partition and stateful step, whatever is in it.
+    """
+    before = {k: spark.conf.get(k) for k in (_PROVIDER, _SHUFFLE)}
     spark.conf.set(_PROVIDER, _ROCKSDB)
+    if few_groups:
+        spark.conf.set(_SHUFFLE, min(int(before[_SHUFFLE]), spark.sparkContext.defaultParallelism))
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, value in before.items():
+            spark.conf.set(k, value)
 
 
-def replayed(spark: SparkSession, parts: list[DataFrame], query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replayed(spark: SparkSession, parts: list[DataFrame], query: Callable[[DataFrame], DataFrame], few_groups: bool = False) -> DataFrame:
     """What a stream's ``query`` has put out after ``parts`` of a table came one after another.
 
     Each part is written to a folder and the stream is started again from its checkpoint, until
-    it has read all there is; so each restart has to find its state.
+    it has read all there is; so each restart has to find its state.  ``few_groups`` says that
+    the state is of groups, far fewer than rows, and needs no more partitions than there are cores.
     """
     source, out, log = (shared_path(spark, n) for n in ("replay", "replay-out", "replay-log"))
     result = None
     for part in parts:
         part.write.mode("append").parquet(source)
         stream = query(spark.readStream.schema(part.schema).parquet(source))
-        with rocksdb_state(spark):
+        with rocksdb_state(spark, few_groups):
             started = write(stream, "parquet", out, checkpoint=log, trigger={"availableNow": True})
         started.awaitTermination()
         result = stream.schema

@@ -293,6 +293,21 @@ def test_silence_is_the_same_in_any_order(spark):
     assert rows(out) == sorted(want, key=str)
 
 
+def test_few_groups_have_a_store_for_each_core_at_most(spark):
+    """Stores are loaded and committed in each micro-batch, however little is in them."""
+    cores, shuffle = spark.sparkContext.defaultParallelism, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(shuffle)
+    spark.conf.set(shuffle, 50)
+    try:
+        with stateful.rocksdb_state(spark, few_groups=True):
+            assert int(spark.conf.get(shuffle)) == cores
+        with stateful.rocksdb_state(spark):
+            assert int(spark.conf.get(shuffle)) == 50
+        assert int(spark.conf.get(shuffle)) == 50
+    finally:
+        spark.conf.set(shuffle, before)
+
+
 def test_a_key_has_one_timer_for_all_its_silences():
     """Timers and calls to the state grow with keys, not with silences."""
     calls, kept = Counter(), [None]
