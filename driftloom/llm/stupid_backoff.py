@@ -13,19 +13,25 @@ their units; others are told by their absence.  There the logarithms are summed
 document.  All this grows in proportion to the corpus: rows are n-grams, and nothing goes over
 pairs of units and partitions.
 
+The shorter n-grams are counted first.  One of the full length occurs ``min_count`` times only
+if it does so without its first word and without its last one, so only those where both do are
+rows; the others back off without being counted.  How much the logarithm changes where such
+an n-gram doesn't back off depends on its words alone, so that its count is all that goes back.
+
 Hashes are worked on in ``SLICES`` ranges, one after another, and units in ``SHARES`` shares when
 their counts come back, so that the files of an exchange are those of one range or share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import Steps, bound_batches, limit_threads, whole_text
@@ -33,7 +39,7 @@ from driftloom.llm.words import Words, mix
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Characters of a unit (one document at least); ranges of hashes that are counted, and shares of units that are scored, one after another.
-UNIT_CHARS, SLICES, SHARES = 8_000_000, 3, 4
+UNIT_CHARS, SLICES, SHARES = 8_000_000, 2, 4
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -149,22 +155,47 @@ _PLACE = 40
 _GRAM = "h long, unit long, at long, n long"
 
 
+def _range(slices: int, k: int) -> tuple[np.uint64, np.uint64]:
+    """The least and the greatest hash of range ``k``."""
+    high = _lows(slices)[k + 1] - np.uint64(1) if k + 1 < slices else np.uint64(0xFFFFFFFFFFFFFFFF)
+    return _lows(slices)[k], high
+
+
+def _gram_rows(unit: int, grams: np.ndarray, at: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(grams), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        columns = [grams[part].view(np.int64), np.full(len(grams[part]), unit, np.int64), at[part], number[part].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "unit", "at", "n"])
+
+
 def _explode(order: int, slices: int, k: int):
     """Rows of the distinct n-grams of each unit whose hashes are in range ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = _lows(slices)[k]
-        high = _lows(slices)[k + 1] - np.uint64(1) if k + 1 < slices else np.uint64(0xFFFFFFFFFFFFFFFF)
+        low, high = _range(slices, k)
         for unit, _, texts in _units(batches):
             word, count = _word_hashes(texts)
             for n, keys in enumerate(gram_keys(word, _positions(count), order)):
                 own = keys[(keys >= low) & (keys <= high) & (keys != 0)]
                 grams, number = np.unique(own, return_counts=True)
                 at = np.arange(len(grams)) | (n * slices + k) << _PLACE
-                for a in range(0, len(grams), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    columns = [grams[part].view(np.int64), np.full(len(grams[part]), unit, np.int64), at[part], number[part].astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "unit", "at", "n"])
+                yield from _gram_rows(unit, grams, at, number)
+
+    return run
+
+
+def _explode_longest(slices: int, k: int):
+    """Rows of each unit's distinct n-grams of the full length that may be frequent, of range ``k``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit_threads()
+        low, high = _range(slices, k)
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = np.cumsum(unpack_numbers(row["grams"], np.uint64), dtype=np.uint64)
+                own = slice(np.searchsorted(grams, low), np.searchsorted(grams, high, side="right"))
+                at = np.arange(own.start, own.stop)
+                yield from _gram_rows(row["unit"], grams[own], at, unpack_numbers(row["n"], np.uint32)[own])
 
     return run
 
@@ -213,25 +244,98 @@ def _counts_of(by_order: list[np.ndarray], slices: int, at: np.ndarray, n: np.nd
     return out
 
 
-def _score(order: int, slices: int, alpha: float, min_count: int):
+#: A unit's documents, scored by shorter n-grams, and its n-grams of the full length that may be frequent:
+#: hashes, numbers, what their logarithm is compared with, the documents' numbers of them, and which they are.
+_SCORED = (
+    "unit long, doc_ids array<long>, n_words array<long>, n_single array<long>, sum_log array<double>, "
+    "grams binary, n binary, loss binary, in_doc binary, number binary"
+)
+_LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
+_SUM_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+_SCORED_KINDS = [pa.int64(), _LONGS, _LONGS, _LONGS, _DOUBLES, *[pa.binary()] * 5]
+
+
+def _on_units(of_unit: Callable[[dict, np.ndarray, np.ndarray], list], schema: str, kinds: list[pa.DataType]):
+    """Columns that ``of_unit`` makes of each unit and the places and numbers that have come back to it."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
     def run(units: pa.Table, counted: pa.Table) -> pa.Table:
         limit_threads()
-        out = []
         at, n = (counted.column(c).to_numpy() for c in ("at", "n"))
-        for row in units.select(["doc_ids", "counts", "words", "ids"]).to_pylist():
-            count, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
-            logs, single = score_words(by_order, _counts_of(by_order, slices, at, n), alpha, min_count)
-            doc = np.repeat(np.arange(len(count)), count)
-            sums, singles = (np.bincount(doc, weights=x, minlength=len(count)) for x in (logs, single))
-            ids = pa.array(row["doc_ids"], pa.int64())
-            out.append(pa.table([ids, pa.array(count), pa.array(singles.astype(np.int64)), pa.array(sums.astype(np.float64))], names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names)
-
-    names = [f.split()[0] for f in _SUMS.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        out = [[pa.array(x, k) for x, k in zip(of_unit(row, at, n), kinds, strict=True)] for row in units.to_pylist()]
+        return pa.concat_tables([pa.table(c, names) for c in out or [[pa.array([], k) for k in kinds]]])
+
     return run
 
 
+def _by_doc(count: np.ndarray, *of_word: np.ndarray) -> list[np.ndarray]:
+    """Sums per document of what its words, ``count`` each, have."""
+    doc = np.repeat(np.arange(len(count)), count)
+    return [np.bincount(doc, weights=x, minlength=len(count)).astype(np.float64) for x in of_word]
+
+
+def _score_words(slices: int, alpha: float, min_count: int):
+    """The documents' sums by single words."""
+
+    def of_unit(row: dict, at: np.ndarray, n: np.ndarray) -> list:
+        count, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], 1)
+        sums, singles = _by_doc(count, *score_words(by_order, _counts_of(by_order, slices, at, n), alpha, min_count))
+        return [row["doc_ids"], count, singles.astype(np.int64), sums]
+
+    return _on_units(of_unit, _SUMS, _SUM_KINDS)
+
+
+def _score_shorter(order: int, slices: int, alpha: float, min_count: int):
+    """Scores by n-grams of less than ``order`` words (2 at least), and the n-grams of ``order`` that may be frequent."""
+
+    def of_unit(row: dict, at: np.ndarray, n: np.ndarray) -> list:
+        count, by_order = _grams_of_unit(row["counts"], row["words"], row["ids"], order)
+        longest, shorter = by_order[-1], by_order[:-1]
+        count_of = _counts_of(shorter, slices, at, n)
+        logs, single = score_words(shorter, count_of, alpha, min_count)
+        logs[longest != 0] += np.log(alpha)
+        sums, singles = _by_doc(count, logs, single)
+        frequent = count_of[-1] >= min_count
+        # the n-gram without its last word ends a word earlier
+        rows = np.flatnonzero((longest != 0) & frequent & np.concatenate([[False], frequent])[: len(frequent)])
+        grams, number, times = np.unique(longest[rows], return_inverse=True, return_counts=True)
+        loss = np.zeros(len(grams))
+        loss[number] = np.log(count_of[-1][rows - 1]) + logs[rows]
+        in_doc = np.bincount(np.repeat(np.arange(len(count)), count)[rows], minlength=len(count))
+        blobs = [_differences(grams), times.astype(np.uint32), loss, in_doc.astype(np.uint32), number.astype(np.uint32)]
+        lists = [row["doc_ids"], count, singles.astype(np.int64), sums]
+        return [[row["unit"]], *([x] for x in lists), *([pack_numbers(x)] for x in blobs)]
+
+    return _on_units(of_unit, _SCORED, _SCORED_KINDS)
+
+
+def _score_longest(order: int):
+    """The documents' sums, where numbers of n-grams of ``order`` words have come back."""
+
+    def of_unit(row: dict, at: np.ndarray, n: np.ndarray) -> list:
+        loss, number, in_doc = (unpack_numbers(row[c], k) for c, k in (("loss", np.float64), ("number", np.uint32), ("in_doc", np.uint32)))
+        gain, found = np.zeros(len(loss)), np.zeros(len(loss))
+        gain[at] = np.log(n) - loss[at]
+        found[at] = order == 2  # before, the word backed off to a single one
+        gains, founds = _by_doc(in_doc.astype(np.int64), gain[number], found[number])
+        return [row["doc_ids"], row["n_words"], np.array(row["n_single"], np.int64) - founds.astype(np.int64), row["sum_log"] + gains]
+
+    return _on_units(of_unit, _SUMS, _SUM_KINDS)
+
+
+def _count_rows(grams: DataFrame, kept: Column) -> DataFrame:
+    """Each n-gram's row with its number in the whole corpus, where ``kept`` holds."""
+    return grams.select("unit", "at", F.sum("n").over(Window.partitionBy("h")).alias("n")).filter(kept)
+
+
+def _of_share(df: DataFrame, k: int) -> DataFrame:
+    return df.filter(F.pmod(F.shiftright("unit", 32) + F.col("unit").bitwiseAND(0xFFFFFFFF), F.lit(SHARES)) == k)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """Score every whole ``text`` of ``docs``: doc_id, n_words, sum_log, score (mean log S).
 
@@ -245,22 +349,29 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     bound_batches(spark)
     steps = Steps(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    counted = None
-    for k in range(SLICES):
-        grams = rows.mapInArrow(_explode(order, SLICES, k), _GRAM)
-        total = grams.select("unit", "at", F.sum("n").over(Window.partitionBy("h")).alias("n"))
-        single = F.shiftright("at", _PLACE) < SLICES
-        part = steps.store(total.filter(single | (F.col("n") >= min_count)), "counts")
-        counted = part if counted is None else counted.unionByName(part)
-    sums = None
-    shares = SHARES
-    for k in range(shares):
+    single, frequent = F.shiftright("at", _PLACE) < SLICES, F.col("n") >= min_count
+    shorter = max(order - 1, 1)
+    counted = _together(
+        [steps.store(_count_rows(rows.mapInArrow(_explode(shorter, SLICES, k), _GRAM), single | frequent), "counts") for k in range(SLICES)]
+    )
+    run, kind = (_score_words(SLICES, alpha, min_count), _SUMS) if order == 1 else (_score_shorter(order, SLICES, alpha, min_count), _SCORED)
+    scored = []
+    for k in range(SHARES):
         units = rows.mapInArrow(lambda batches, k=k: _gather(batches, k), _UNIT)
-        share = F.pmod(F.shiftright("unit", 32) + F.col("unit").bitwiseAND(0xFFFFFFFF), F.lit(shares)) == k
-        scored = units.groupBy("unit").cogroup(counted.filter(share).groupBy("unit")).applyInArrow(_score(order, SLICES, alpha, min_count), _SUMS)
-        part = steps.store(scored, "sums")
-        sums = part if sums is None else sums.unionByName(part)
+        both = units.groupBy("unit").cogroup(_of_share(counted, k).groupBy("unit"))
+        scored.append(steps.store(both.applyInArrow(run, kind), "scored"))
     steps.drop(counted)
+    if order > 1:
+        longest = _together(scored).select("unit", "grams", "n")
+        counted = _together(
+            [steps.store(_count_rows(longest.mapInArrow(_explode_longest(SLICES, k), _GRAM), frequent), "counts") for k in range(SLICES)]
+        )
+        for k, units in enumerate(scored):
+            both = units.drop("grams", "n").groupBy("unit").cogroup(_of_share(counted, k).groupBy("unit"))
+            scored[k] = steps.store(both.applyInArrow(_score_longest(order), _SUMS), "sums")
+            steps.drop(units)
+        steps.drop(counted)
+    sums = _together(scored)
     total = sums.agg(F.sum("n_words")).first()[0] or 1
     log = F.col("sum_log") - F.col("n_single") * float(np.log(total))
     return sums.select(
